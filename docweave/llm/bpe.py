@@ -34,7 +34,7 @@ OVERLAP_CHARS = 1_024
 #: A match is sure if the chunk goes on this far behind it: contractions look 3 characters ahead.
 AHEAD = 4
 #: The cache of encoded pieces starts anew at this size; it only saves work.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 def default_ranks_path() -> str:
@@ -207,8 +207,8 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", ranks_path: str
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         vocabulary = codec(path).vocabulary
         column = batch.column(ids)
-        flat, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_numpy().tolist()
-        return [pa.array([b"".join(map(vocabulary.__getitem__, flat[a:b])) for a, b in zip(offsets, offsets[1:])], pa.binary())]
+        flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+        return [pa.array((b"".join(map(vocabulary.__getitem__, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])), pa.binary(), size=len(column))]
 
     return append_columns(df, T.StructType([T.StructField(out, T.BinaryType(), False)]), work)
 
