@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.bpe import op3_byte_level_bpe
+from docweave.llm.language import op10_language_id
+from docweave.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_level_bpe": op3_byte_level_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
