@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.bpe import op3_byte_level_bpe
 from docweave.llm.language import op10_language_id
+from docweave.llm.minhash import op7_minhash_near_dedup
+from docweave.llm.pii import op2_pii
 from docweave.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_byte_level_bpe": op3_byte_level_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_language_id": op10_language_id,
 }
 
