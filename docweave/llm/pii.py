@@ -29,7 +29,7 @@ MOST_TOKENS = 14
 #: Tokens around what the patterns left that a window takes in.
 AROUND = 8
 #: A span is added if its score beats leaving its tokens outside by so much (log odds).
-MARGIN = 1.0
+MARGIN = 0.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -107,9 +107,13 @@ def span_features(text: str, a: int, b: int, tokens: int, left: str) -> list[str
     out.append(f"at{min(at, 2)}")
     if at:
         tail = re.split(r"@|[\[({<]\s?(?:at|arroba)\s?[\])}>]|\s(?:at|arroba)\s", low)[-1]
-        has = re.search(r"(?:\.|dot|punkt|point|punto|\))[\])}>\s]*([a-z]{2,6})$", tail)
+        has = re.search(r"(?:\.|dot|punkt|point|punto|\))[\])}>\s]*([a-z]{2,7})$", tail)
         mark = "@" if "@" in low else "[" if re.search(r"[\[({<]\s?(?:at|arroba)", low) else "word"
         point = "[" if re.search(r"[\[({<]\s?(?:dot|punkt|point|punto|\.)\s?[\])}>]", tail) else "word" if re.search(r"\s(?:dot|punkt|point|punto)\s", tail) else "tight" if re.search(r"\S\.\S", tail) else "loose"
+        out.append("suffix" if has and has.group(1) in _SUFFIXES else "nosuffix")
+        local = re.split(r"\s?@|\s?[\[({<]\s?(?:at|arroba)|\s(?:at|arroba)\s", low)[0]
+        out.append("spacedlocal" if re.search(r"[^\s\])}]\s+(?!(?:dot|punkt|point|punto)\b)[^\s\[({]|[.,;:]\s", re.sub(r"\s(?:dot|punkt|point|punto)\s", "", local)) else "local")
+        out.append("sentence" if re.search(r"[^\s.]\.\s", s) and point != "loose" else "nosentence")
         out.append(f"address{mark}{point}" if has and at == 1 and low[0].isalnum() else "noaddress")
     parts = re.split(r"[\[({<\s]*(?:\.|dot|punkt|point|punto)[\])}>\s]*", low)
     if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
@@ -136,6 +140,7 @@ def span_features(text: str, a: int, b: int, tokens: int, left: str) -> list[str
     return out
 
 
+_SUFFIXES = frozenset("com net org de fr es uk io edu gov info example".split())
 _CUES = frozenset("tel phone call fax mobile mail email contact ip host server address card visa account password key id no nr ref order version isbn page".split())
 
 
