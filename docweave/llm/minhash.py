@@ -181,5 +181,28 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     return _confirm(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), sets, percent)
 
 
+def drop_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id, and one of equal rows. Rows without an id stay.
+
+    Only rows whose id is in a bit set of the dropped and the repeated ids are shuffled; all others pass the scan.
+    """
+    judged = materialise(near_duplicates(docs.select("doc_id", "text"), percent).filter("doc_id is not null").select("doc_id", "kept"))
+    dropped = judged.filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    repeated = judged.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("id"))
+    packed, bits = _members(dropped.union(repeated))
+    wanted = docs.sparkSession.sparkContext.broadcast(packed)
+    place, flag = "__dw_place", "__dw_flag"
+
+    def mark(batch: pa.RecordBatch) -> list[pa.Array]:
+        at = batch.column(place).fill_null(0).to_numpy(zero_copy_only=False)
+        return [pa.array((np.frombuffer(wanted.value, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))]
+
+    placed = docs.withColumn(place, F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(bits))))
+    marked = append_columns(placed, T.StructType([T.StructField(flag, T.BooleanType())]), mark)
+    unsure = F.col(flag) & F.col("doc_id").isNotNull()
+    some = marked.filter(unsure).select(docs.columns).join(dropped, F.col("doc_id") == F.col("id"), "left_anti").dropDuplicates()
+    return marked.filter(~unsure).select(docs.columns).unionByName(some)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docweave.llm.bpe import op3_byte_level_bpe
 from docweave.llm.language import op10_language_id
 from docweave.llm.minhash import op7_minhash_near_dedup
+from docweave.llm.mixing import OP8_SQL, op8_mixing
 from docweave.llm.pii import op2_pii
 from docweave.llm.toxicity import op6_toxicity
 
@@ -17,7 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_level_bpe": op3_byte_level_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
+}
