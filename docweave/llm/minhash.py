@@ -107,7 +107,8 @@ def _members(ids: DataFrame) -> tuple[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["bits"])
 
     places = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("place")).distinct()
-    return bytes(places.repartition(1).mapInArrow(pack, "bits binary").first().bits), bits
+    packed = places.repartition(1).mapInArrow(pack, "bits binary").first()
+    return bytes(packed.bits) if packed else bytes(bits // 8), bits
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.bpe import op3_byte_level_bpe
+from docweave.llm.covertree import OP5_SQL, op5_exact_top_k
+from docweave.llm.hnsw import op9_hnsw
 from docweave.llm.language import op10_language_id
 from docweave.llm.minhash import op7_minhash_near_dedup
 from docweave.llm.mixing import OP8_SQL, op8_mixing
@@ -16,12 +18,15 @@ from docweave.llm.toxicity import op6_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_byte_level_bpe": op3_byte_level_bpe,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_toxicity": op6_toxicity,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_mixing": op8_mixing,
+    "op9_hnsw": op9_hnsw,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_exact_top_k": OP5_SQL,
     "op8_mixing": OP8_SQL,
 }
