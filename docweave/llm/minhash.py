@@ -172,13 +172,19 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     open_bands = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
     left = materialise(placed.join(open_bands.select("band"), "band", "left_semi").select("id", "component").distinct())
     items = sets.join(left, "id").select("id", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
-    # Elements of one component only can't link two; they still count for a set's prefix, as the rarest.
-    common = items.groupBy("item").agg(F.count("*").alias("df"), F.min("component").alias("least"), F.max("component").alias("most"))
-    ranked = items.join(common, "item").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item", (F.col("least") < F.col("most")).alias("mixed")))).alias("ranked"))
-    prefix = ranked.select("id", "component", "n", F.explode(F.slice("ranked", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("x")).filter("x.mixed").select("id", "component", "n", F.col("x.item").alias("item"))
+    # Rarest first, of all these sets; elements of one component still count for the places of the others.
+    common = items.groupBy("item").agg(F.count("*").alias("df"))
+    ranked = items.join(common, "item").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ranked"))
+    longest = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    prefix = ranked.select("id", "component", "n", F.posexplode(F.slice("ranked", F.lit(1), longest)).alias("place", "x")).select("id", "component", "n", "place", F.col("x.item").alias("item"))
+    mixed = prefix.groupBy("item").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("item")
+    prefix = prefix.join(mixed, "item", "left_semi")
     a, b = prefix.alias("a"), prefix.alias("b")
-    sized = (F.least(F.col("a.n"), F.col("b.n")) * 100 >= F.greatest(F.col("a.n"), F.col("b.n")) * percent)
-    pairs = a.join(b, F.col("a.item") == F.col("b.item")).filter((F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & sized)
+    sized = F.least(F.col("a.n"), F.col("b.n")) * 100 >= F.greatest(F.col("a.n"), F.col("b.n")) * percent
+    # The first common element of a pair that has to be linked leaves room behind it, in both, for the overlap needed.
+    overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
+    room = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= overlap
+    pairs = a.join(b, F.col("a.item") == F.col("b.item")).filter((F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & sized & room)
     return _confirm(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), sets, percent)
 
 
