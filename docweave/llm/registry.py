@@ -14,10 +14,12 @@ from docweave.llm.minhash import op7_minhash_near_dedup
 from docweave.llm.mixing import OP8_SQL, op8_mixing
 from docweave.llm.pii import op2_pii
 from docweave.llm.toxicity import op6_toxicity
+from docweave.llm.urls import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_byte_level_bpe": op3_byte_level_bpe,
+    "op4_url_filter": op4_url_filter,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_toxicity": op6_toxicity,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
