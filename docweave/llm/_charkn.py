@@ -53,6 +53,20 @@ def _context(hashes: np.ndarray, order: int) -> np.ndarray:
     return mix(hashes + U((order * 0xA0761D6478BD642F + 1) % 2**64))
 
 
+def _unique_by_parts(values: np.ndarray, bits: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with first places and inverse, a range of values at a time, for less memory."""
+    top = (values >> U(64 - bits)).astype(np.int8)
+    keys, first, back, n = [], [], np.empty(len(values), np.int32), 0
+    for part in range(1 << bits):
+        at = np.flatnonzero(top == part)
+        k, f, b = np.unique(values[at], return_index=True, return_inverse=True)
+        back[at] = b + n
+        keys.append(k)
+        first.append(at[f])
+        n += len(k)
+    return np.concatenate(keys), np.concatenate(first), back
+
+
 @dataclass
 class CharKN:
     order: int
@@ -64,21 +78,29 @@ class CharKN:
     def fit(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, order: int = 5, shared: int = 2) -> CharKN:
         """counts: of each word in each class, a row for a word."""
         text, place, _ = padded(data, starts, ends)
-        word = np.repeat(np.arange(len(starts)), ends - starts + 2)
+        place = np.minimum(place, order).astype(np.int8)
+        word = np.repeat(np.arange(len(starts), dtype=np.int32), ends - starts + 2)
         classes = counts.shape[1]
-        found, rolled = [], []
-        for n in range(1, order + 1):
-            rolled.append(_roll(text, rolled[-1] if rolled else None))
-            at = np.flatnonzero((place >= n - 1) & (place > 0))
-            keys, first, back = np.unique(_gram(rolled[-1][at], n), return_index=True, return_inverse=True)
+
+        def found(n: int, rolled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Different n-grams: keys, a place of each, tokens by class; all their places, and which they are."""
+            at = np.flatnonzero((place >= n - 1) & (place > 0)).astype(np.int32)
+            keys, first, back = _unique_by_parts(_gram(rolled[at], n))
             tokens = np.stack([np.bincount(back, weights=counts[word[at], c], minlength=len(keys)) for c in range(classes)], axis=1)
-            found.append((keys, at[first], tokens, at, back))
+            return keys, at[first], tokens, at, back
+
+        # Only two orders are held at a time.
         grams, contexts = [], []
+        shorter, rolled = None, _roll(text, None)
+        now = found(1, rolled)
         for n in range(1, order + 1):
-            keys, first, tokens, at, back = found[n - 1]
+            keys, first, tokens, at, back = now
+            if n < order:
+                after = _roll(text, rolled)
+                now = found(n + 1, after)
             if n < order and len(keys):
-                _, longer_first, longer, _, _ = found[n]
-                of = np.full(len(text), -1, np.int64)
+                _, longer_first, longer, _, _ = now
+                of = np.full(len(text), -1, np.int32)
                 of[at] = back
                 suffix = of[longer_first]
                 inner = suffix >= 0
@@ -88,12 +110,14 @@ class CharKN:
                 counted = np.stack([np.bincount(suffix[inner], weights=kinds[inner, c], minlength=len(keys)) for c in range(classes)], axis=1)
                 anchored = place[first] == n - 1
                 counted[anchored] = tokens[anchored] if n > shared else tokens[anchored].sum(axis=1, keepdims=True)
+                del of, suffix, inner, kinds
             else:
                 counted = tokens if n > shared else np.repeat(tokens.sum(axis=1, keepdims=True), classes, axis=1)
+            at = back = None
             if n >= PRUNE_FROM:
                 keep = tokens.sum(axis=1) > 1
                 keys, first, counted = keys[keep], first[keep], counted[keep]
-            before = rolled[n - 2][first - 1] if n > 1 else np.zeros(len(first), np.uint64)
+            before = shorter[first - 1] if n > 1 else np.zeros(len(first), np.uint64)
             outer, back = np.unique(_context(before, n), return_inverse=True)
             total = np.stack([np.bincount(back, weights=counted[:, c], minlength=len(outer)) for c in range(classes)], axis=1)
             kinds = np.stack([np.bincount(back, weights=counted[:, c] > 0, minlength=len(outer)) for c in range(classes)], axis=1)
@@ -102,6 +126,7 @@ class CharKN:
             weight = np.where(total > 0, DISCOUNT * kinds / some, 1.0)
             grams.append((Index(keys), np.vstack([share, np.zeros((1, classes))]).astype(np.float32)))
             contexts.append((Index(outer), np.vstack([weight, np.ones((1, classes))]).astype(np.float32)))
+            shorter, rolled = rolled, after if n < order else None
         return CharKN(order, classes, grams, contexts)
 
     def log_likelihoods(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 21) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from docweave.llm._charkn import CharKN
 from docweave.llm._words import slices, text_buffers, words
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def bounded_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:

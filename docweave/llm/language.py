@@ -25,7 +25,7 @@ from docweave.llm._classes import SLICE_BYTES, bounded_sample, fit, sample_hash
 from docweave.llm._frames import append_columns, held_out, materialise, read
 from docweave.llm._words import slices, words
 
-ROWS_PER_LANGUAGE = 1_500
+ROWS_PER_LANGUAGE = 1_000
 ORDER = 4
 #: Words that are taken to be in one language together.
 RUN_WORDS = 6
