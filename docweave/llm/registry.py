@@ -10,6 +10,7 @@ from docweave.llm.bpe import op3_byte_level_bpe
 from docweave.llm.covertree import OP5_SQL, op5_exact_top_k
 from docweave.llm.hnsw import op9_hnsw
 from docweave.llm.language import op10_language_id
+from docweave.llm.lm import op1_ef_trie_lm
 from docweave.llm.minhash import op7_minhash_near_dedup
 from docweave.llm.mixing import OP8_SQL, op8_mixing
 from docweave.llm.pii import op2_pii
@@ -17,6 +18,7 @@ from docweave.llm.toxicity import op6_toxicity
 from docweave.llm.urls import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ef_trie_lm": op1_ef_trie_lm,
     "op2_pii": op2_pii,
     "op3_byte_level_bpe": op3_byte_level_bpe,
     "op4_url_filter": op4_url_filter,
