@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import tree_queries
+from docweave.plans import row_queries, search_queries, tree_queries
 
-_MODULES = (tree_queries,)
+_MODULES = (tree_queries, search_queries, row_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree_queries.graph_expand(spark, sf_dir)
+    return search_queries.hybrid_retrieve(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
