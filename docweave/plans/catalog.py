@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import row_queries, search_queries, tree_queries
+from docweave.plans import row_queries, rule_queries, search_queries, tree_queries
 
-_MODULES = (tree_queries, search_queries, row_queries)
+_MODULES = (tree_queries, search_queries, row_queries, rule_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
