@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._charkn import CharKN
+from docweave.llm._frames import release
 from docweave.llm._words import slices, text_buffers, words
 
 SLICE_BYTES = 4 << 20
@@ -53,6 +54,8 @@ def fit(sample: DataFrame, classes: int, order: int, shared: int) -> bytes | Non
         data, offsets = text_buffers(table.column("word").combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
         counts = np.stack([table.column(f"n{c}").to_numpy() for c in range(classes)], axis=1)
         blob = CharKN.fit(data, offsets[:-1], offsets[1:], counts, order, shared).dump()
+        del table, data, offsets, counts
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
     made = summed.repartition(1).mapInArrow(learn, T.StructType([T.StructField("blob", T.BinaryType())])).collect()

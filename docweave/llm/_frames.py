@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -48,14 +50,42 @@ def held_out(doc_id, modulus: int, remainder: int = 2):
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
 
 
-def append_columns(df: DataFrame, added: T.StructType, work: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
-    """mapInArrow that keeps the columns in keep (all by default) and adds those that work makes of a batch."""
+#: Batches are worked on, and handed back, in row ranges of about so many bytes.
+PART_BYTES = 8 << 20
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back: workers live on for the next tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def append_columns(df: DataFrame, added: T.StructType, work: Callable[..., list[pa.Array]], keep: list[str] | None = None, state: Callable[[], object] | None = None) -> DataFrame:
+    """mapInArrow that keeps the columns in keep (all by default) and adds those that work makes of a batch.
+
+    state makes what work gets besides the batch; it lives as long as one partition.
+    """
     keep = df.columns if keep is None else keep
     schema = T.StructType([df.schema[c] for c in keep] + list(added.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = work(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[f.name for f in schema.fields])
+        have = [state()] if state else []
+        try:
+            for batch in batches:
+                for part in parts(batch):
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + work(part, *have), names=[f.name for f in schema.fields])
+        finally:
+            have.clear()
+            release()
 
     return df.mapInArrow(run, schema)

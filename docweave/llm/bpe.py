@@ -34,7 +34,7 @@ OVERLAP_CHARS = 1_024
 #: A match is sure if the chunk goes on this far behind it: contractions look 3 characters ahead.
 AHEAD = 4
 #: The cache of encoded pieces starts anew at this size; it only saves work.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 
 def default_ranks_path() -> str:
@@ -70,7 +70,8 @@ class Codec:
                     self[piece] = ids
                 return ids
 
-        self.ids = Cache().__getitem__
+        self.cache = Cache()
+        self.ids = self.cache.__getitem__
 
     def encode(self, text: str) -> Iterator[int]:
         return chain.from_iterable(map(self.ids, self.find(text)))
@@ -89,6 +90,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def fresh_codec(path: str) -> Codec:
+    """The worker's codec with an empty cache, for a new partition."""
+    found = codec(path)
+    found.cache.clear()
+    return found
+
+
 def _lists(flat: array, offsets: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.empty(0, np.int32)))
 
@@ -104,14 +112,14 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str
     body = F.coalesce(F.col(text), F.lit(""))
     added = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
-    def whole(batch: pa.RecordBatch) -> list[pa.Array]:
-        c, flat, offsets = codec(path), array("i"), [0]
+    def whole(batch: pa.RecordBatch, c: Codec) -> list[pa.Array]:
+        flat, offsets = array("i"), [0]
         for value in batch.column(text):
             flat.extend(c.encode(value.as_py() or ""))
             offsets.append(len(flat))
         return [_lists(flat, offsets)]
 
-    short = append_columns(df.filter(F.length(body) <= chunk_chars), added, whole, others)
+    short = append_columns(df.filter(F.length(body) <= chunk_chars), added, whole, others, lambda: fresh_codec(path))
     return short.unionByName(_encode_long(df.filter(F.length(body) > chunk_chars), text, ids, path, chunk_chars, overlap_chars))
 
 
@@ -171,14 +179,14 @@ def _encode_long(df: DataFrame, text: str, ids: str, path: str, size: int, overl
     cut = marked.groupBy(row).applyInArrow(stitch, spans).repartition(row, chunk)
     flats = T.StructType([T.StructField(flat, T.ArrayType(T.IntegerType(), False), False)])
 
-    def encode_span(batch: pa.RecordBatch) -> list[pa.Array]:
-        c, out, offsets = codec(path), array("i"), [0]
+    def encode_span(batch: pa.RecordBatch, c: Codec) -> list[pa.Array]:
+        out, offsets = array("i"), [0]
         for part, n in zip(batch.column(piece), batch.column(PREFIX + "n")):
             out.extend(chain.from_iterable(map(c.ids, c.pieces_until(part.as_py(), n.as_py()))))
             offsets.append(len(out))
         return [_lists(out, offsets)]
 
-    encoded = append_columns(cut, flats, encode_span, [row, chunk, rest])
+    encoded = append_columns(cut, flats, encode_span, [row, chunk, rest], lambda: fresh_codec(path))
     joined = encoded.groupBy(row).agg(F.max(F.col(rest)).alias(rest) if _orderable(encoded.schema[rest].dataType) else F.first(rest, ignorenulls=True).alias(rest), F.array_sort(F.collect_list(F.struct(chunk, flat))).alias(flat))
     columns = [F.col(f"{rest}.{c}").alias(c) for c in others]
     return joined.select(*columns, F.flatten(F.transform(flat, lambda x: x[flat])).alias(ids))

@@ -34,18 +34,6 @@ MOST_LANGUAGES = 4
 #: Part of a run's likelihood that each language gets whatever the run says, so that one odd word decides nothing.
 FLOOR = 1e-4
 
-_loaded: dict[int, CharKN] = {}
-
-
-def _model(shared) -> CharKN:
-    """The broadcast model, unpacked once in each Python worker."""
-    key = id(shared.value)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = CharKN.load(shared.value)
-    return _loaded[key]
-
-
 def _proportions(like: np.ndarray, first: np.ndarray, sizes: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """EM for many documents at once: proportions among the allowed languages, and the log-likelihood."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
@@ -105,13 +93,13 @@ def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = ROWS
         return append_columns(docs, added, lambda batch: [pa.array(["und"] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows))], keep)
     model = spark.sparkContext.broadcast(blob)
 
-    def judge(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = mixtures(_model(model), batch.column("text"))
+    def judge(batch: pa.RecordBatch, kn: CharKN) -> list[pa.Array]:
+        found = mixtures(kn, batch.column("text"))
         return [pa.array(np.asarray(languages, dtype=object)[found.argmax(axis=1)], pa.string()), pa.array(np.clip(found.max(axis=1), 0, 1))]
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     flag = "__dw_letters"
-    judged = append_columns(docs.withColumn(flag, letters), added, judge, [*keep, flag])
+    judged = append_columns(docs.withColumn(flag, letters), added, judge, [*keep, flag], lambda: CharKN.load(model.value))
     return judged.select(*keep, F.when(F.col(flag), F.col(lang)).otherwise(F.lit("und")).alias(lang), F.when(F.col(flag), F.col(out)).otherwise(F.lit(0.0)).alias(out))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._components import components
-from docweave.llm._frames import append_columns, materialise, read
+from docweave.llm._frames import append_columns, materialise, read, release
 from docweave.llm._words import U, mix, slices, words
 
 SHINGLE_WORDS = 5
@@ -126,6 +126,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 flat, begins = shingle_sets(part.column("text").slice(a, b - a))
                 items = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id").slice(a, b - a), items], names=["id", "items"])
+        release()
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias(place))
     return rows.mapInArrow(work, "id long, items array<long>").join(ids, "id", "left_semi")

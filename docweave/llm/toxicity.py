@@ -32,18 +32,6 @@ WINDOW_WORDS = 16
 THRESHOLD = 0.3
 FEATURES = 4
 
-_loaded: dict[int, CharKN] = {}
-
-
-def _model(shared) -> CharKN:
-    """The broadcast model, unpacked once in each Python worker."""
-    key = id(shared.value)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = CharKN.load(shared.value)
-    return _loaded[key]
-
-
 def features(model: CharKN, column: pa.Array) -> np.ndarray:
     """Of each text: log-likelihood ratio a byte, of the worst window a word, of words clearly toxic, of the worst word."""
     out = np.zeros((len(column), FEATURES))
@@ -99,10 +87,12 @@ def score(docs: DataFrame, labels: DataFrame, eligible=None, rows_per_class: int
     model = spark.sparkContext.broadcast(blob)
     names = [f"{PREFIX}f{k}" for k in range(FEATURES)]
 
-    def measure(batch: pa.RecordBatch) -> list[pa.Array]:
-        return list(map(pa.array, features(_model(model), batch.column("text")).T.copy()))
+    load = lambda: CharKN.load(model.value)
+
+    def measure(batch: pa.RecordBatch, kn: CharKN) -> list[pa.Array]:
+        return list(map(pa.array, features(kn, batch.column("text")).T.copy()))
 
-    seen = append_columns(sample.filter("fold"), T.StructType([T.StructField(n, T.DoubleType()) for n in names]), measure, ["label"]).toPandas()
+    seen = append_columns(sample.filter("fold"), T.StructType([T.StructField(n, T.DoubleType()) for n in names]), measure, ["label"], load).toPandas()
     x, y = seen[names].to_numpy(), seen["label"].to_numpy().astype(float)
     if len(set(y)) < 2:
         fitted = np.zeros(FEATURES + 1)
@@ -110,11 +100,11 @@ def score(docs: DataFrame, labels: DataFrame, eligible=None, rows_per_class: int
         weight = np.array([shares[int(v)] / max(1, (y == v).sum()) for v in y])
         fitted = logistic(x, y, weight * len(y) / weight.sum())
 
-    def judge(batch: pa.RecordBatch) -> list[pa.Array]:
-        z = features(_model(model), batch.column("text")) @ fitted[1:] + fitted[0]
+    def judge(batch: pa.RecordBatch, kn: CharKN) -> list[pa.Array]:
+        z = features(kn, batch.column("text")) @ fitted[1:] + fitted[0]
         return [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))]
 
-    return append_columns(docs, field, judge, keep)
+    return append_columns(docs, field, judge, keep, load)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
