@@ -75,6 +75,7 @@ def append_columns(df: DataFrame, added: T.StructType, work: Callable[..., list[
 
     state makes what work gets besides the batch; it lives as long as one partition.
     """
+    prepare(df.sparkSession)
     keep = df.columns if keep is None else keep
     schema = T.StructType([df.schema[c] for c in keep] + list(added.fields))
 
