@@ -35,9 +35,11 @@ def token_links(documents: DataFrame, terms: DataFrame, most_words: int = 4) ->
     covers it and is itself kept; of chains of overlaps the leftmost is taken first, in the document's own array.
     """
     words = F.filter(F.split(F.regexp_replace(F.lower(F.col("text")), "[^a-z0-9]+", " "), " "), lambda x: x != "")
-    rows = documents.select("id", words.alias("w")).select("id", "w", F.posexplode("w").alias("at", "first"))
-    grams = rows.select("id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("at"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("term")))).alias("g"))
-    hits = grams.select("id", "at", "g.n", "g.term").join(terms.select("term").distinct(), "term")
+    rows = documents.select("id", words.alias("w")).filter(F.size("w") > 0)
+    sequences = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - i)), lambda n: F.array_join(F.slice("w", i + 1, n), " "))
+    placed = rows.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("at"), sequences(i).alias("terms")))).alias("g"))
+    grams = placed.select("id", "g.at", F.posexplode("g.terms").alias("n", "term"))
+    hits = grams.select("id", "at", (F.col("n") + 1).alias("n"), "term").join(terms.select("term").distinct(), "term")
     best = hits.groupBy("id", "at").agg(F.max_by(F.struct("n", "term"), F.col("n")).alias("m"))
     ordered = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("m.n").alias("n"), F.col("m.term").alias("term")))).alias("found"))
     start = F.struct(F.lit(-1).cast("int").alias("end"), F.array().cast("array<string>").alias("kept"))
