@@ -71,12 +71,13 @@ def release() -> None:
 
 
 def append_columns(df: DataFrame, added: T.StructType, work: Callable[..., list[pa.Array]], keep: list[str] | None = None, state: Callable[[], object] | None = None) -> DataFrame:
-    """mapInArrow that keeps the columns in keep (all by default) and adds those that work makes of a batch.
+    """mapInArrow that keeps the columns in keep (all by default) and adds those that work makes of a batch. A column of an added name is replaced.
 
     state makes what work gets besides the batch; it lives as long as one partition.
     """
     prepare(df.sparkSession)
-    keep = df.columns if keep is None else keep
+    names = {f.name for f in added.fields}
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     schema = T.StructType([df.schema[c] for c in keep] + list(added.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ boundary (one pre-token longer than the overlap) the two chunks are joined and e
 Decoding concatenates the bytes of the ids.
 
 Defined results: a null or empty text has no ids; equal rows are encoded alike and all kept; an unknown or
-null id is an error; other columns are kept as they are.
+null id is an error; other columns are kept as they are, one of the name of an added column is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -44,7 +43,7 @@ def default_ranks_path() -> str:
 
 
 class Codec:
-    """Ranks and pattern in one Python worker."""
+    """Ranks and pattern, for one partition in a Python worker."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -85,18 +84,6 @@ class Codec:
         return pieces
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
-
-
-def fresh_codec(path: str) -> Codec:
-    """The worker's codec with an empty cache, for a new partition."""
-    found = codec(path)
-    found.cache.clear()
-    return found
-
-
 def _lists(flat: array, offsets: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.empty(0, np.int32)))
 
@@ -106,9 +93,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str
     path = ranks_path or default_ranks_path()
     if not 4 * AHEAD <= overlap_chars < chunk_chars:
         raise ValueError("the overlap has to be shorter than a chunk")
-    others = [c for c in df.columns if c != text]
-    if ids in others:
-        raise ValueError(f"there is a column {ids} already")
+    others = [c for c in df.columns if c not in (text, ids)]
     body = F.coalesce(F.col(text), F.lit(""))
     added = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
@@ -119,13 +104,13 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str
             offsets.append(len(flat))
         return [_lists(flat, offsets)]
 
-    short = append_columns(df.filter(F.length(body) <= chunk_chars), added, whole, others, lambda: fresh_codec(path))
+    short = append_columns(df.filter(F.length(body) <= chunk_chars), added, whole, others, lambda: Codec(path))
     return short.unionByName(_encode_long(df.filter(F.length(body) > chunk_chars), text, ids, path, chunk_chars, overlap_chars))
 
 
 def _encode_long(df: DataFrame, text: str, ids: str, path: str, size: int, overlap: int) -> DataFrame:
     row, chunk, piece, rest, flat = (PREFIX + x for x in ("row", "chunk", "piece", "rest", "flat"))
-    others = [c for c in df.columns if c != text]
+    others = [c for c in df.columns if c not in (text, ids)]
     rest_of = F.struct(*[F.col(c) for c in others]) if others else F.struct(F.lit(0).alias(PREFIX + "none"))
     # The row's number is stable: the plan below is a scan whose order does not change when it is run again.
     chunks = (
@@ -136,9 +121,9 @@ def _encode_long(df: DataFrame, text: str, ids: str, path: str, size: int, overl
     )
     edges = T.StructType([T.StructField(PREFIX + x, T.ArrayType(T.IntegerType(), False), False) for x in ("head", "tail")])
 
-    def pretokenise(batch: pa.RecordBatch) -> list[pa.Array]:
+    def pretokenise(batch: pa.RecordBatch, c: Codec) -> list[pa.Array]:
         """Sure boundaries in the first and the last overlap, relative to the chunk's start."""
-        c, heads, tails = codec(path), [], []
+        heads, tails = [], []
         for value in batch.column(piece):
             part = value.as_py()
             ends = [m.end() for m in c.iter(part)]
@@ -148,7 +133,7 @@ def _encode_long(df: DataFrame, text: str, ids: str, path: str, size: int, overl
         kind = pa.list_(pa.int32())
         return [pa.array(heads, kind), pa.array(tails, kind)]
 
-    marked = append_columns(chunks, edges, pretokenise)
+    marked = append_columns(chunks, edges, pretokenise, state=lambda: Codec(path))
     spans = T.StructType([T.StructField(row, T.LongType()), T.StructField(chunk, T.IntegerType()), T.StructField(piece, T.StringType()), T.StructField(PREFIX + "n", T.IntegerType()), marked.schema[rest]])
 
     def stitch(table: pa.Table) -> pa.Table:
@@ -165,7 +150,7 @@ def _encode_long(df: DataFrame, text: str, ids: str, path: str, size: int, overl
                     tail = set(p[PREFIX + "tail"])
                 else:
                     # No common boundary: pre-tokenise on from the last cut; what it finds is right.
-                    tail = _tail_from(whole_text, cuts[-1], (k + 1) * size, overlap, path)
+                    tail = _tail_from(whole_text, cuts[-1], (k + 1) * size, overlap)
             else:
                 tail = set(p[PREFIX + "tail"])
         cuts.append(len(whole_text))
@@ -186,7 +171,7 @@ def _encode_long(df: DataFrame, text: str, ids: str, path: str, size: int, overl
             offsets.append(len(out))
         return [_lists(out, offsets)]
 
-    encoded = append_columns(cut, flats, encode_span, [row, chunk, rest], lambda: fresh_codec(path))
+    encoded = append_columns(cut, flats, encode_span, [row, chunk, rest], lambda: Codec(path))
     joined = encoded.groupBy(row).agg(F.max(F.col(rest)).alias(rest) if _orderable(encoded.schema[rest].dataType) else F.first(rest, ignorenulls=True).alias(rest), F.array_sort(F.collect_list(F.struct(chunk, flat))).alias(flat))
     columns = [F.col(f"{rest}.{c}").alias(c) for c in others]
     return joined.select(*columns, F.flatten(F.transform(flat, lambda x: x[flat])).alias(ids))
@@ -198,11 +183,14 @@ def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def _tail_from(text: str, start: int, edge: int, overlap: int, path: str) -> set[int]:
+def _tail_from(text: str, start: int, edge: int, overlap: int) -> set[int]:
     """Boundaries in the overlap after edge, found from the sure boundary at start."""
     end = min(len(text), edge + overlap)
     found, sure = set(), end - AHEAD if end < len(text) else end
-    for m in codec(path).iter(text, start, end):
+    import public_tokenizers
+    import regex
+
+    for m in regex.compile(public_tokenizers.PATTERN).finditer(text, start, end):
         if edge <= m.end() <= sure:
             found.add(m.end() - edge)
     return found
@@ -212,13 +200,13 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", ranks_path: str
     """df with the concatenated bytes of the ids."""
     path = ranks_path or default_ranks_path()
 
-    def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        vocabulary = codec(path).vocabulary
+    def work(batch: pa.RecordBatch, c: Codec) -> list[pa.Array]:
+        vocabulary = c.vocabulary
         column = batch.column(ids)
         flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
         return [pa.array((b"".join(map(vocabulary.__getitem__, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])), pa.binary(), size=len(column))]
 
-    return append_columns(df, T.StructType([T.StructField(out, T.BinaryType(), False)]), work)
+    return append_columns(df, T.StructType([T.StructField(out, T.BinaryType(), False)]), work, state=lambda: Codec(path))
 
 
 def ids_digest(ids: Column) -> Column:

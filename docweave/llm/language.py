@@ -81,7 +81,7 @@ def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = ROWS
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = bounded_sample(known.select("doc_id", F.col("lang").alias("label"), sample_hash().alias("hash")), "label", rows_per_language)
     languages = sorted(r[0] for r in ids.select("label").distinct().collect())
-    keep = [c for c in docs.columns] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (lang, out)]
     added = T.StructType([T.StructField(lang, T.StringType()), T.StructField(out, T.DoubleType())])
     number = F.create_map(*[x for k, v in enumerate(languages) for x in (F.lit(v), F.lit(k))]) if languages else None
     blob = None

@@ -33,6 +33,7 @@ PERMUTATIONS = 64
 ROWS = 5
 PERCENT = 85
 SLICE_BYTES = 1 << 20
+REST = "__dw_rest"
 
 _rng = np.random.default_rng(1_299_709)
 _COEFFICIENTS = _rng.integers(1, 2**63, SHINGLE_WORDS, dtype=np.uint64) * U(2) + U(1)
@@ -144,8 +145,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text, ...) without the text, with n_shingles, component_id and kept."""
-    others = [c for c in docs.columns if c != "text"]
-    described = materialise(append_columns(docs, _DESCRIBED, lambda batch: _describe(batch.column("text")), others))
+    added = ("n_shingles", "component_id", "kept")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *added)]
+    # Other columns travel as one, whatever their names are.
+    rows = docs.select("doc_id", "text", *([F.struct(*others).alias(REST)] if others else []))
+    described = materialise(append_columns(rows, _DESCRIBED, lambda batch: _describe(batch.column("text")), [c for c in rows.columns if c != "text"]))
     grouped = described.filter("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     sets_of = materialise(grouped)
     banded = sets_of.select("id", F.explode("bands").alias("band"))
@@ -164,7 +168,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = described.join(names, ["one", "two"], "left")
     component = F.when(F.col("n") > 0, F.least(F.col("component"), F.col("doc_id"))).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select(*others, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept_columns = [F.col("doc_id") if c == "doc_id" else F.col(f"{REST}.{c}").alias(c) for c in docs.columns if c == "doc_id" or c in others]
+    return out.select(*kept_columns, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +213,7 @@ def drop_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = docs.withColumn(place, F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(bits))))
     marked = append_columns(placed, T.StructType([T.StructField(flag, T.BooleanType())]), mark)
     unsure = F.col(flag) & F.col("doc_id").isNotNull()
-    some = marked.filter(unsure).select(docs.columns).join(dropped, F.col("doc_id") == F.col("id"), "left_anti").dropDuplicates()
+    some = marked.filter(unsure).select(docs.columns).join(dropped.withColumnRenamed("id", "__dw_dropped"), F.col("doc_id") == F.col("__dw_dropped"), "left_anti").dropDuplicates()
     return marked.filter(~unsure).select(docs.columns).unionByName(some)
 
 

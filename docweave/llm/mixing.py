@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temper:
     exploded = placed.withColumn(number, count).filter(F.col(number) > 0).drop(source, cdf).withColumn(number, F.explode(F.sequence(F.lit(1), F.col(number))))
     order = PREFIX + "order"
     dealt = exploded.withColumn(order, F.xxhash64(F.lit(seed), _id_text(F.col("doc_id")), number)).repartition(F.col(order)).sortWithinPartitions(order)
-    return dealt.select(*docs.columns, *([F.col(number).cast("int").alias(copy)] if copy else []))
+    return dealt.select(*[c for c in docs.columns if c != copy], *([F.col(number).cast("int").alias(copy)] if copy else []))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from docweave.llm._classes import SLICE_BYTES, bounded_sample, fit, sample_hash
 from docweave.llm._frames import PREFIX, append_columns, held_out, materialise, read
 from docweave.llm._words import slices, words
 
-ROWS_PER_CLASS = 2_500
+ROWS_PER_CLASS = 1_500
 ORDER, SHARED = 5, 2
 WINDOW_WORDS = 16
 THRESHOLD = 0.3

@@ -74,7 +74,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert sorted(r.doc_id for r in mixed.collect()) == sorted(i for (i, _), n in zip(kept, expected_counts(kept)) for _ in range(n))
     final = f5(spark, mixed, sf_dir)
     texts = {r.doc_id: r.text for r in private.collect()}
-    vocabulary = bpe.codec(bpe.default_ranks_path()).vocabulary
+    vocabulary = bpe.Codec(bpe.default_ranks_path()).vocabulary
     for r in final.collect():
         assert b"".join(vocabulary[i] for i in r.ids).decode() == texts[r.doc_id]
     assert corpus_pipeline.run(spark, sf_dir).count() == mixed.count()
