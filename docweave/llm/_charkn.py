@@ -53,7 +53,7 @@ def _context(hashes: np.ndarray, order: int) -> np.ndarray:
     return mix(hashes + U((order * 0xA0761D6478BD642F + 1) % 2**64))
 
 
-def _unique_by_parts(values: np.ndarray, bits: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unique_by_parts(values: np.ndarray, bits: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """np.unique with first places and inverse, a range of values at a time, for less memory."""
     top = (values >> U(64 - bits)).astype(np.int8)
     keys, first, back, n = [], [], np.empty(len(values), np.int32), 0

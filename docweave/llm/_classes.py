@@ -44,10 +44,14 @@ def fit(sample: DataFrame, classes: int, order: int, shared: int) -> bytes | Non
                 texts = [w.data[s:e].tobytes() for s, e in zip(w.starts[first], w.ends[first])]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *[pa.array(counts[:, c]) for c in range(classes)]], names=["word", *[f"n{c}" for c in range(classes)]])
 
+        w = label = first = back = counts = texts = None  # noqa: F841
+        release()
+
     counted = sample.select("text", "label").mapInArrow(count, "word binary, " + ", ".join(f"n{c} double" for c in range(classes)))
     summed = counted.groupBy("word").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(classes)])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table = pa.Table.from_batches(list(batches))
         if not len(table):
             return
