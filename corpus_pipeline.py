@@ -24,8 +24,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id; of equal rows one."""
-    return minhash.drop_duplicates(docs)
+    """One document of each group of near duplicates (similarity 0.8 or more), that of the smallest doc_id; of equal rows one."""
+    return minhash.drop_duplicates(docs, minhash.CORPUS_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

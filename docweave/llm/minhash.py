@@ -2,7 +2,7 @@
 
 A document is the set of its distinct runs of five words. Each of PERMUTATIONS permutations of the hashed set
 gives both its minimum and its maximum, so 64 permutations make 128 values of a signature. Bands of ROWS values
-propose candidates: two sets of similarity 0.85 share none of the 25 bands with a chance of 4e-7.
+propose candidates: two sets of similarity 0.85 share none of the 25 bands with a chance of 4e-7, of 0.8 with 5e-5.
 
 Equal sets are first reduced to their smallest document. In a band's bucket all members are compared with one
 leader, the member with the most neighbours over all bands, which is the text that near copies were made from;
@@ -32,6 +32,8 @@ SHINGLE_WORDS = 5
 PERMUTATIONS = 64
 ROWS = 5
 PERCENT = 85
+#: What a corpus is cleaned of: looser than the query, which has its own contract.
+CORPUS_PERCENT = 80
 SLICE_BYTES = 1 << 20
 REST = "__dw_rest"
 
@@ -194,7 +196,7 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     return _confirm(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), sets, percent)
 
 
-def drop_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_duplicates(docs: DataFrame, percent: int = CORPUS_PERCENT) -> DataFrame:
     """docs with one document of each component, that of the smallest doc_id, and one of equal rows. Rows without an id stay.
 
     Only rows whose id is in a bit set of the dropped and the repeated ids are shuffled; all others pass the scan.
@@ -218,4 +220,4 @@ def drop_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), PERCENT).select("doc_id", "n_shingles", "component_id", "kept")
