@@ -42,6 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _NUMBER = re.compile(r"[0-9](?:[ ().\[\]/,:-]{0,3}[0-9])+")
 _SPELT = re.compile(r"(?<![^\W_])(?:dot|punkt|point|punto)(?![^\W_])", re.IGNORECASE)
+_FOUR = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[({<]?\s?(?:\.|dot|punkt|point|punto)\s?[\])}>]?\s?[0-9]{1,3}(?![0-9])){3,}", re.IGNORECASE)
 _AT = re.compile(r"[\[({<]\s?(?:at|arroba)\s?[\])}>]|\s(?:at|arroba)\s|@", re.IGNORECASE)
 
 Span = tuple[int, int, int]  # start, end, number of the kind
@@ -165,6 +166,32 @@ class SemiCrf:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray):
         self.names, self.weights = names, weights
+        self.hopeless = self._hopeless()
+
+    def _hopeless(self) -> frozenset[str]:
+        """Kinds of a first character with which no segment can beat MARGIN that has no digit, a letter at its end and no suffix of a host before it.
+
+        An exact bound: the sum of the largest weights that each group of span_features can add to such a segment.
+        """
+        def top(*names: str) -> np.ndarray:
+            return np.max([self.weights[self.names[n]] if n in self.names else np.zeros(len(KINDS)) for n in names], axis=0)
+
+        with_at = top("at1", "at2") + top("nosuffix") + top("noaddress") + top("local", "spacedlocal") + top("sentence", "nosentence")
+        most = top("bias") + top("digits0") + top(*(f"tokens{n}" for n in range(7))) + top(*(f"letters{n}" for n in range(1, 4))) + top("lasta")
+        most = most + np.maximum(top("at0"), with_at) + top("", *(f"dots{n}" for n in range(1, 5))) + top("left", *(f"left={c}" for c in _CUES)) + top("edgexx", "edgex-", "edge-x", "edge--")
+        return frozenset(c for c in "ado+()[]@." if (most + top("first" + c)).max() <= MARGIN - 1e-9)
+
+    def hopeful(self, text: str, tokens: list[tuple[int, int]], segments: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """segments without those that cannot beat MARGIN."""
+        heads = [_kind(text[a]) in self.hopeless for a, _ in tokens]
+        digits = np.concatenate(([0], np.cumsum([bool(_DIGIT.search(text, a, b)) for a, b in tokens]))).tolist()
+        plain, pointed = [], False
+        for a, b in tokens:
+            token = text[a:b].lower()
+            spelt = any(w in token for w in ("dot", "punkt", "point", "punto"))
+            plain.append(text[b - 1].isalpha() and not pointed and not spelt)
+            pointed = spelt or "." in token or ")" in token or pointed and token in ("]", "}", ">")
+        return [(i, j) for i, j in segments if not (heads[i] and plain[j - 1] and digits[i] == digits[j])]
 
     def rows(self, text: str, tokens: list[tuple[int, int]], segments: list[tuple[int, int]]) -> list[list[int]]:
         get, out = self.names.get, []
@@ -177,7 +204,7 @@ class SemiCrf:
         return out
 
     def best(self, text: str, tokens: list[tuple[int, int]], live: list[bool]) -> list[Span]:
-        segments = _segments(text, tokens, live)
+        segments = self.hopeful(text, tokens, _segments(text, tokens, live))
         if not segments:
             return []
         scores = [self.weights[r].sum(axis=0) for r in self.rows(text, tokens, segments)]
@@ -256,7 +283,7 @@ def examples(n: int = 640, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
     def email() -> str:
         at = r.choice([" [at] ", "[at]", " (at) ", "(at)", " at ", " AT ", " @ ", "{at}"])
-        dot = r.choice([" [dot] ", "[dot]", " (dot) ", "(dot)", " dot ", " DOT "]) if at != " @ " else r.choice([".", " . ", " dot "])
+        dot = r.choice([" [dot] ", "[dot]", " (dot) ", "(dot)", " dot ", " DOT ", "."]) if at != " @ " else r.choice([".", " . ", " dot "])
         name = word() + (r.choice([".", "_", dot]) + word() if r.random() < 0.3 else "") + (number(2) if r.random() < 0.3 else "")
         return name + at + word() + (dot + word() if r.random() < 0.3 else "") + dot + r.choice(["com", "net", "org", "de", "example"])
 
@@ -277,6 +304,7 @@ def examples(n: int = 640, seed: int = 11) -> list[tuple[str, list[Span]]]:
         return r.choice([
             lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2030)}", lambda: f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: number(r.randint(3, 12)), lambda: f"{number(3)},{number(3)},{number(3)}",
             lambda: f"password={number(3)}ab{number(4)}c{number(3)}", lambda: f"{number(1)}.{number(2)}.{number(1)}", lambda: f"{number(16)}", lambda: f"{r.randint(1, 99)} at {word()} {r.randint(1, 99)}", lambda: f"{word()} at {word()} {word()}", lambda: f"{word()} at {word()}. {word(1, 2)}", lambda: f"{word()}, at {word()}. {word(1, 1)} {word()}", lambda: f"{word()} dot {word()}",
+            lambda: f"{word()} at {word()}. {r.choice(['Es', 'De', 'Us', 'Info'])} {word()}",
             lambda: f"id {number(4)} {number(4)} {number(4)}", lambda: f"{number(4)}-{number(4)}", lambda: f"{r.randint(256, 999)}.{r.randint(256, 999)}.{number(3)}.{number(3)}", lambda: f"{number(2)}:{number(2)}:{number(2)} {number(4)}", lambda: f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", lambda: f"{word()}@{word()}", lambda: " ".join(number(2) for _ in range(8)), lambda: f"{number(8)}-{number(4)}-{number(4)}",
         ])()
 
@@ -302,20 +330,19 @@ def trained() -> SemiCrf:
     return SemiCrf.train(examples())
 
 
-def added_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
-    """Spans of the CRF in what the patterns left."""
-    marks: list[tuple[int, int]] = []
+def _marks(text: str) -> list[tuple[int, int]]:
+    """Places that open a window: numbers, at-signs and at-forms, four groups of digits, and spelt-out dots near numbers."""
+    marks = [m.span() for m in _AT.finditer(text)]
     if _DIGIT.search(text):
         marks += [m.span() for m in _NUMBER.finditer(text) if sum(map(str.isdigit, m.group())) >= 7]
-        spelt = _SPELT.search(text)
-    else:
-        spelt = _SPELT.search(text) if "dot" in (low := text.lower()) or "punkt" in low or "point" in low or "punto" in low else None
-    if "@" in text or spelt:
-        marks += [m.span() for m in _AT.finditer(text)]
-        if spelt and _DIGIT.search(text):
-            marks += [m.span() for m in _SPELT.finditer(text)]
-    if "[.]" in text or "(.)" in text:
-        marks += [m.span() for m in re.finditer(r"[0-9]\s?[\[(]\.[\])]\s?[0-9]", text)]
+        marks += [m.span() for m in _FOUR.finditer(text)]
+        marks += [m.span() for m in _SPELT.finditer(text)]
+    return marks
+
+
+def added_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
+    """Spans of the CRF in what the patterns left."""
+    marks = _marks(text)
     if not marks:
         return []
     taken = sorted((a, b) for a, b, _ in base)
