@@ -330,56 +330,61 @@ def trained() -> SemiCrf:
     return SemiCrf.train(examples())
 
 
-def _marks(text: str) -> list[tuple[int, int]]:
-    """Places that open a window: numbers, at-signs and at-forms, four groups of digits, and spelt-out dots near numbers."""
-    marks = [m.span() for m in _AT.finditer(text)]
-    if _DIGIT.search(text):
-        marks += [m.span() for m in _NUMBER.finditer(text) if sum(map(str.isdigit, m.group())) >= 7]
-        marks += [m.span() for m in _FOUR.finditer(text)]
-        marks += [m.span() for m in _SPELT.finditer(text)]
-    return marks
+def _marks(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Places in text[lo:hi] that open a window: numbers, at-signs and at-forms, four groups of digits, and spelt-out dots near numbers."""
+    marks = [m.span() for m in _AT.finditer(text, lo, hi)]
+    if _DIGIT.search(text, lo, hi):
+        marks += [m.span() for m in _NUMBER.finditer(text, lo, hi) if sum(map(str.isdigit, m.group())) >= 7]
+        marks += [m.span() for m in _FOUR.finditer(text, lo, hi)]
+        marks += [m.span() for m in _SPELT.finditer(text, lo, hi)]
+    return sorted(marks)
+
+
+def _gaps(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """What the base spans leave of the text."""
+    out, at = [], 0
+    for a, b, _ in sorted(base):
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return out + [(at, len(text))] if at < len(text) else out
 
 
 def added_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
-    """Spans of the CRF in what the patterns left."""
-    marks = _marks(text)
-    if not marks:
-        return []
-    taken = sorted((a, b) for a, b, _ in base)
-    kept, k = [], 0
-    marks.sort()
-    for a, b in marks:
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if k == len(taken) or taken[k][0] >= b:
-            kept.append((a, b))
+    """Spans of the CRF in what the patterns left: marks and windows are cut at base spans."""
     out: list[Span] = []
-    groups: list[list[tuple[int, int]]] = []
-    for a, b in kept:
-        if groups and a - groups[-1][-1][1] <= 12 * AROUND:
-            groups[-1].append((a, b))
-        else:
-            groups.append([(a, b)])
-    for group in groups:
-        lo, hi = max(0, group[0][0] - 12 * AROUND), min(len(text), max(b for _, b in group) + 12 * AROUND)
-        # A window ends at base spans, and never in a word.
-        lo = max([lo, *[b for _, b in taken if b <= group[0][0]][-1:]])
-        hi = min([hi, *[a for a, _ in taken if a >= max(b for _, b in group)][:1]])
-        tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-        while tokens and tokens[0][0] == lo and lo and text[lo - 1].isalnum():
-            tokens.pop(0)
-            lo = tokens[0][0] if tokens else hi
-        while tokens and tokens[-1][1] < len(text) and text[tokens[-1][1] - 1].isalnum() and text[tokens[-1][1]].isalnum() and tokens[-1][1] == hi:
-            tokens.pop()
-        live, x = [], 0
-        for a, b in tokens:
-            while x < len(group) and group[x][1] <= a:
-                x += 1
-            live.append(x < len(group) and group[x][0] < b)
-        near = [any(live[max(0, t - AROUND) : t + AROUND + 1]) for t in range(len(tokens))]
-        tokens, live = [t for t, y in zip(tokens, near) if y], [v for v, y in zip(live, near) if y]
-        found = model.best(text, tokens, live)
-        out += [s for s in found if not any(s[0] < b and a < s[1] for a, b in taken)]
+    for first, last in _gaps(text, base):
+        groups: list[list[tuple[int, int]]] = []
+        end = 0
+        for a, b in _marks(text, first, last):
+            if groups and a - end <= 12 * AROUND:
+                groups[-1].append((a, b))
+            else:
+                groups.append([(a, b)])
+                end = b
+            end = max(end, b)
+        ready = first
+        for group in groups:
+            end = max(b for _, b in group)
+            lo, hi = max(first, ready, group[0][0] - 12 * AROUND), min(last, end + 12 * AROUND)
+            # A window never ends in a word.
+            tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
+            while tokens and tokens[0][0] == lo and lo and text[lo - 1].isalnum() and text[lo].isalnum():
+                tokens.pop(0)
+                lo = tokens[0][0] if tokens else hi
+            while tokens and tokens[-1][1] < len(text) and text[tokens[-1][1] - 1].isalnum() and text[tokens[-1][1]].isalnum() and tokens[-1][1] == hi:
+                tokens.pop()
+            live, x, reach = [], 0, 0
+            for a, b in tokens:
+                while x < len(group) and group[x][0] < b:
+                    reach = max(reach, group[x][1])
+                    x += 1
+                live.append(reach > a)
+            near = [any(live[max(0, t - AROUND) : t + AROUND + 1]) for t in range(len(tokens))]
+            tokens, live = [t for t, y in zip(tokens, near) if y], [v for v, y in zip(live, near) if y]
+            found = model.best(text, tokens, live)
+            ready = max(ready, *[b for _, b, _ in found]) if found else ready
+            out += found
     return out
 
 

@@ -37,3 +37,17 @@ def test_left_out_segments_never_beat_the_margin():
         assert all(model.weights[r].sum(axis=0).max() <= pii.MARGIN for r in model.rows(text, tokens, out))
         dropped += len(out)
     assert dropped > 1000
+
+
+@pytest.mark.parametrize(
+    "text,spans",
+    [
+        ("10.0.0.1, 613-555-8758", [("phone", "613-555-8758")]),
+        ("10.0.0.1,613-555-8758,10.0.0.2", [("phone", "613-555-8758")]),
+        ("4111 1111 1111 1111, (613) 555-8758", [("phone", "(613) 555-8758")]),
+        ("(613) 555-8758, 10.0.0.1, jane [at] example.com, 10.0.0.2, 416-555-1234", [("phone", "(613) 555-8758"), ("email", "jane [at] example.com"), ("phone", "416-555-1234")]),
+    ],
+)
+def test_numbers_beside_base_spans(text, spans):
+    assert pii.base_spans(text)
+    assert found(text) == spans
