@@ -25,9 +25,10 @@ from pyspark.sql import types as T
 from docweave.llm._frames import append_columns, read
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS = 14
-#: Tokens around what the patterns left that a window takes in.
-AROUND = 8
+#: A bracketed at or dot counts as one token.
+MOST_TOKENS = 20
+#: Tokens around what the patterns left that a window takes in: all that a candidate can reach.
+AROUND = MOST_TOKENS - 1
 #: A span is added if its score beats leaving its tokens outside by so much (log odds).
 MARGIN = 0.0
 
@@ -39,7 +40,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
+_TOKEN = re.compile(r"[\[({<]\s?(?:at|arroba|dot|punkt|point|punto|\.)\s?[\])}>]|[^\W\d_]+|[0-9]+|[^\s]", re.IGNORECASE)
 _NUMBER = re.compile(r"[0-9](?:[ ().\[\]/,:-]{0,3}[0-9])+")
 _SPELT = re.compile(r"(?<![^\W_])(?:dot|punkt|point|punto)(?![^\W_])", re.IGNORECASE)
 _FOUR = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[({<]?\s?(?:\.|dot|punkt|point|punto)\s?[\])}>]?\s?[0-9]{1,3}(?![0-9])){3,}", re.IGNORECASE)
@@ -101,7 +102,7 @@ def span_features(text: str, a: int, b: int, tokens: int, left: str) -> list[str
     s = text[a:b]
     digits = re.sub("[^0-9]", "", s)
     letters = sum(c.isalpha() for c in s)
-    out = ["bias", f"tokens{_bucket(tokens, (2, 4, 6, 8, 10, 12))}", f"digits{_bucket(len(digits), (1, 4, 7, 9, 10, 11, 13, 14, 16, 17, 20))}", f"letters{_bucket(letters, (1, 4, 10))}"]
+    out = ["bias", f"tokens{_bucket(tokens, (2, 4, 6, 8, 10, 12, 16))}", f"digits{_bucket(len(digits), (1, 4, 7, 9, 10, 11, 13, 14, 16, 17, 20))}", f"letters{_bucket(letters, (1, 4, 10))}"]
     low = s.lower()
     at = len(re.findall(r"@|[\[({<]\s?(?:at|arroba)\s?[\])}>]|\s(?:at|arroba)\s", low))
     dots = len(re.findall(r"[\[({<]\s?(?:dot|punkt|point|punto)\s?[\])}>]|\s(?:dot|punkt|point|punto)\s|[\[({<]\s?\.\s?[\])}>]|\s?\.\s?", low))
@@ -152,7 +153,7 @@ def _kind(c: str) -> str:
 def _segments(text: str, tokens: list[tuple[int, int]], live: list[bool]) -> list[tuple[int, int]]:
     """Candidates: at most MOST_TOKENS tokens, with something the patterns left, sensible at both ends."""
     out, n = [], len(tokens)
-    heads = [text[a].isalnum() or text[a] in "+(" for a, _ in tokens]
+    heads = [text[a].isalnum() or text[a:b] in ("+", "(") for a, b in tokens]
     tails = [text[b - 1].isalnum() for _, b in tokens]
     counted = np.concatenate(([0], np.cumsum(live)))
     for i in range(n):
@@ -177,7 +178,7 @@ class SemiCrf:
             return np.max([self.weights[self.names[n]] if n in self.names else np.zeros(len(KINDS)) for n in names], axis=0)
 
         with_at = top("at1", "at2") + top("nosuffix") + top("noaddress") + top("local", "spacedlocal") + top("sentence", "nosentence")
-        most = top("bias") + top("digits0") + top(*(f"tokens{n}" for n in range(7))) + top(*(f"letters{n}" for n in range(1, 4))) + top("lasta")
+        most = top("bias") + top("digits0") + top(*(f"tokens{n}" for n in range(8))) + top(*(f"letters{n}" for n in range(1, 4))) + top("lasta")
         most = most + np.maximum(top("at0"), with_at) + top("", *(f"dots{n}" for n in range(1, 5))) + top("left", *(f"left={c}" for c in _CUES)) + top("edgexx", "edgex-", "edge-x", "edge--")
         return frozenset(c for c in "ado+()[]@." if (most + top("first" + c)).max() <= MARGIN - 1e-9)
 
@@ -243,6 +244,9 @@ class SemiCrf:
                     left = text[slice(*tokens[i - 2])].lower()
                 rows.append([names.setdefault(f, len(names)) for f in span_features(text, tokens[i][0], tokens[j - 1][1], j - i, left)])
             known = {(a, b): k for a, b, k in gold}
+            lost = known.keys() - {(tokens[i][0], tokens[j - 1][1]) for i, j in segments}
+            if lost:
+                raise ValueError(f"no candidate segment for {[text[a:b] for a, b in sorted(lost)]} in {text!r}")
             labels = [known.get((tokens[i][0], tokens[j - 1][1])) for i, j in segments]
             prepared.append((len(tokens), segments, rows, labels))
         weights = np.zeros((len(names), len(KINDS)))
@@ -274,7 +278,7 @@ class SemiCrf:
         return SemiCrf(names, weights)
 
 
-def examples(n: int = 640, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def examples(n: int = 960, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """Sentences with forms that the patterns miss, and with look-alikes."""
     r = random.Random(seed)
     syllables = "an be ca do er fi go ha in ka le mo na or pe ra si ta un ve".split()
@@ -284,8 +288,8 @@ def examples(n: int = 640, seed: int = 11) -> list[tuple[str, list[Span]]]:
     def email() -> str:
         at = r.choice([" [at] ", "[at]", " (at) ", "(at)", " at ", " AT ", " @ ", "{at}"])
         dot = r.choice([" [dot] ", "[dot]", " (dot) ", "(dot)", " dot ", " DOT ", "."]) if at != " @ " else r.choice([".", " . ", " dot "])
-        name = word() + (r.choice([".", "_", dot]) + word() if r.random() < 0.3 else "") + (number(2) if r.random() < 0.3 else "")
-        return name + at + word() + (dot + word() if r.random() < 0.3 else "") + dot + r.choice(["com", "net", "org", "de", "example"])
+        name = word() + (r.choice([".", "_", dot]) + word() if r.random() < 0.4 else "") + (number(2) if r.random() < 0.3 else "")
+        return name + at + word() + "".join(dot + r.choice([word(), word(), word(), "example"]) for _ in range(r.choice([0, 0, 1, 1, 2]))) + dot + r.choice(["com", "net", "org", "de", "example"])
 
     def ip() -> str:
         return r.choice(["[.]", " . ", "(.)", "[dot]", " dot "]).join(str(r.randint(0, 255)) for _ in range(4))
@@ -304,14 +308,14 @@ def examples(n: int = 640, seed: int = 11) -> list[tuple[str, list[Span]]]:
         return r.choice([
             lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2030)}", lambda: f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: number(r.randint(3, 12)), lambda: f"{number(3)},{number(3)},{number(3)}",
             lambda: f"password={number(3)}ab{number(4)}c{number(3)}", lambda: f"{number(1)}.{number(2)}.{number(1)}", lambda: f"{number(16)}", lambda: f"{r.randint(1, 99)} at {word()} {r.randint(1, 99)}", lambda: f"{word()} at {word()} {word()}", lambda: f"{word()} at {word()}. {word(1, 2)}", lambda: f"{word()}, at {word()}. {word(1, 1)} {word()}", lambda: f"{word()} dot {word()}",
-            lambda: f"{word()} at {word()}. {r.choice(['Es', 'De', 'Us', 'Info'])} {word()}",
+            *[lambda: f"{word()} at {' '.join(word() for _ in range(r.choice([1, 1, 2, 4, 7])))}. {r.choice(['', '', word() + ' ' + word() + '. '])}{r.choice(['Es', 'De', 'Us', 'Info'])} {word()}"] * 2,
             lambda: f"id {number(4)} {number(4)} {number(4)}", lambda: f"{number(4)}-{number(4)}", lambda: f"{r.randint(256, 999)}.{r.randint(256, 999)}.{number(3)}.{number(3)}", lambda: f"{number(2)}:{number(2)}:{number(2)} {number(4)}", lambda: f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", lambda: f"{word()}@{word()}", lambda: " ".join(number(2) for _ in range(8)), lambda: f"{number(8)}-{number(4)}-{number(4)}",
         ])()
 
     makers = (email, ip, card, phone)
     out = []
     for x in range(n):
-        text, gold = " ".join(word() for _ in range(r.randint(0, 5))), []
+        text, gold = " ".join(word() + ("." if r.random() < 0.1 else "") for _ in range(r.choice([0, 1, 2, 3, 4, 5, 14]))), []
         for _ in range(r.randint(1, 2)):
             if text:
                 text += r.choice([" ", " ", ": ", ", "])

@@ -51,3 +51,21 @@ def test_left_out_segments_never_beat_the_margin():
 def test_numbers_beside_base_spans(text, spans):
     assert pii.base_spans(text)
     assert found(text) == spans
+
+
+@pytest.mark.parametrize("address", ["jane.doe [at] mail [dot] example [dot] com", "jane [dot] doe12 [at] mail [dot] example [dot] com", "jane.doe12 (at) dept (dot) mail (dot) example (dot) com", "jane dot doe12 at mail dot example dot com"])
+def test_long_spelt_addresses_whole(address):
+    assert found(f"write to {address} today") == [("email", address)]
+
+
+def test_every_gold_span_is_a_candidate():
+    for text, gold in pii.examples(2000, seed=21):
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        spans = {(tokens[i][0], tokens[j - 1][1]) for i, j in pii._segments(text, tokens, [True] * len(tokens))}
+        assert {(a, b) for a, b, _ in gold} <= spans
+
+
+def test_training_refuses_gold_without_a_candidate():
+    text = " . ".join("ab" for _ in range(40))
+    with pytest.raises(ValueError):
+        pii.SemiCrf.train([(text, [(0, len(text), 0)])], passes=1)
