@@ -11,25 +11,35 @@ from pyspark.sql import functions as F
 ANCHOR_WORDS = 4
 
 
-def _anchor(words: Column, at: Column | int) -> Column:
-    return F.xxhash64(F.array_join(F.slice(words, at, ANCHOR_WORDS), " "))
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def candidates(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """quote_id, quote, source_id, source: sources that share the first words of a quote. quotes: quote_id, quote; sources: source_id, source."""
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    # A quote may begin within a word of the source, so its second words are the anchor.
-    asked = quotes.withColumn("w", words(F.col("quote"))).filter(F.size("w") > ANCHOR_WORDS).select("quote_id", "quote", _anchor(F.col("w"), 2).alias("anchor"))
-    held = sources.withColumn("w", words(F.col("source")))
-    held = held.select("source_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - ANCHOR_WORDS + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("w", k, ANCHOR_WORDS), " "))))).alias("anchor"))
-    pairs = held.join(asked, "anchor").select("quote_id", "quote", "source_id").distinct()
-    return pairs.join(sources, "source_id")
+    """quote_id, quote, source_id, source: sources that can hold a quote or a block of 0.6 of it. quotes: quote_id, quote; sources: source_id, source.
+
+    Such a block covers the middle fifth of the quote, wherever the rest was changed. So the whole words in there (ANCHOR_WORDS at
+    most) stand in the source; for a quote too short for one, its middle is looked for in each source.
+    """
+    length = F.length("quote")
+    first, last = F.floor(length * 2 / 5).cast("int"), F.ceil(length * 3 / 5).cast("int")
+    # The first and the last of the middle may be parts of words.
+    asked = quotes.filter(_squeezed(F.col("quote")) != "").withColumn("middle", F.substring("quote", first + 1, last - first)).withColumn("w", F.split("middle", r"\s+"))
+    asked = asked.withColumn("size", F.least(F.size("w") - 2, F.lit(ANCHOR_WORDS)))
+    anchored = asked.filter("size > 0").select("quote_id", "quote", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("size")), " ")).alias("anchor"))
+    held = sources.withColumn("w", F.split(_squeezed(F.col("source")), " "))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("w", k, n), " ")))
+    held = held.select("source_id", F.explode(F.array_distinct(F.concat(*map(run, range(1, ANCHOR_WORDS + 1))))).alias("anchor"))
+    pairs = held.join(anchored, "anchor").select("quote_id", "quote", "source_id")
+    short = asked.filter("size <= 0").select("quote_id", "quote", _squeezed(F.col("middle")).alias("middle"))
+    texts = sources.select("source_id", _squeezed(F.col("source")).alias("squeezed"))
+    pairs = pairs.unionByName(texts.join(F.broadcast(short), F.col("squeezed").contains(F.col("middle"))).select("quote_id", "quote", "source_id"))
+    return pairs.distinct().join(sources, "source_id")
 
 
 def grounding(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """quote_id, verdict (exact or absent), number of sources with the quote."""
-    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    found = candidates(quotes, sources).filter(squeezed(F.col("source")).contains(squeezed(F.col("quote")))).groupBy("quote_id").agg(F.count("*").alias("n"))
+    found = candidates(quotes, sources).filter(_squeezed(F.col("source")).contains(_squeezed(F.col("quote")))).groupBy("quote_id").agg(F.count("*").alias("n"))
     return quotes.select("quote_id").join(found, "quote_id", "left").select("quote_id", F.when(F.col("n") > 0, "exact").otherwise("absent").alias("verdict"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -77,8 +77,12 @@ def quote_grounding(spark, sf_dir):
 
 
 def near_quotes(spark, sf_dir):
-    """Quotes with a changed word against the documents that share their beginning."""
-    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.concat(F.col("text"), F.lit(" more")).alias("quote"))
+    """Quotes changed at the start (the second word), in the middle (at a third) or at the end against the documents; quote_id is item:place."""
+    words = F.split("text", " ")
+    put = lambda at: F.array_join(F.transform(words, lambda w, k: F.when(k == at, F.lit("more")).otherwise(w)), " ")
+    changed = {"start": put(F.lit(1)), "middle": put(F.floor(F.size(words) / 3)), "end": F.concat(F.col("text"), F.lit(" more"))}
+    places = F.explode(F.array(*(F.struct(F.lit(k).alias("place"), q.alias("quote")) for k, q in changed.items()))).alias("x")
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", places).select(F.concat_ws(":", "item_id", "x.place").alias("quote_id"), "x.quote")
     sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("source"))
     return verify.near_grounding(verify.candidates(quotes, sources))
 
