@@ -13,14 +13,15 @@ never all listed. Components of the links are found by star contractions on tabl
 
 Defined results: a text that is null or has no word has no shingle, no link and is its own component; with fewer
 than five words the whole sequence is one shingle. A null doc_id takes part in nothing: its component is null and
-it is kept. Rows that repeat a doc_id are judged one by one; equal rows get equal results. Other columns stay.
+it is kept. The nodes of the links are the distinct sets, so rows that repeat a doc_id with another text are judged
+one by one, and equal rows get equal results. Other columns stay.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +75,16 @@ def signatures(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_hashes(flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set; 0 of an empty one."""
+    some = np.flatnonzero(np.diff(begins) > 0)
+    one, two = np.zeros(len(begins) - 1, np.uint64), np.zeros(len(begins) - 1, np.uint64)
+    if len(some):
+        first = begins[:-1][some]
+        one[some], two[some] = np.add.reduceat(flat, first), np.add.reduceat(mix(flat ^ U(0x51ED270B)), first)
+    return one, two
+
+
 def _describe(column: pa.Array) -> list[pa.Array]:
     """Size, two hashes of the set, and its band keys (none for an empty set)."""
     n = len(column)
@@ -85,8 +96,7 @@ def _describe(column: pa.Array) -> list[pa.Array]:
         some = a + np.flatnonzero(sizes[a:b])
         if not len(some):
             continue
-        first = begins[:-1][np.diff(begins) > 0]
-        one[some], two[some] = np.add.reduceat(flat, first), np.add.reduceat(mix(flat ^ U(0x51ED270B)), first)
+        one[a:b], two[a:b] = _set_hashes(flat, begins)
         values = signatures(flat, begins)
         for band in range(BANDS):
             part = values[:, band * ROWS : (band + 1) * ROWS] * _PLACES
@@ -99,6 +109,11 @@ def _describe(column: pa.Array) -> list[pa.Array]:
 _DESCRIBED = T.StructType([T.StructField("n", T.LongType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
+def set_key() -> Column:
+    """A distinct set's node: one number from its two hashes."""
+    return F.xxhash64("one", "two")
+
+
 def _members(ids: DataFrame) -> tuple[bytes, int]:
     """A bit set of fixed size for the ids of a table: which texts the second scan has to turn into sets. It may hold more."""
     bits = 1 << int(min(27, max(20, (16 * ids.count()).bit_length())))
@@ -115,24 +130,35 @@ def _members(ids: DataFrame) -> tuple[bytes, int]:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, items: the full sets of the texts of ids, and perhaps of some more."""
-    packed, bits = _members(ids)
+    """id, items: the full sets of ids (id, doc_id: a distinct set's node and the document that stands for it)."""
+    packed, bits = _members(ids.select(F.col("doc_id").alias("id")))
     wanted = docs.sparkSession.sparkContext.broadcast(packed)
     place = "__dw_place"
 
     def work(batches):
+        told = set()  # a set that many rows of a partition repeat is handed on once
         for batch in batches:
             at = batch.column(place).to_numpy()
             chosen = np.flatnonzero(np.frombuffer(wanted.value, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1)
             part = batch.take(pa.array(chosen))
             for a, b in slices(part.column("text"), SLICE_BYTES):
                 flat, begins = shingle_sets(part.column("text").slice(a, b - a))
+                names = part.column("doc_id").slice(a, b - a)
+                one, two = _set_hashes(flat, begins)
+                new = []
+                for k, key in enumerate(zip(names.to_numpy().tolist(), one.tolist(), two.tolist())):
+                    if key not in told:
+                        told.add(key)
+                        new.append(k)
+                rows = pa.array(new, pa.int64())
                 items = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id").slice(a, b - a), items], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([names.take(rows), pa.array(one.view(np.int64)).take(rows), pa.array(two.view(np.int64)).take(rows), items.take(rows)], names=["doc_id", "one", "two", "items"])
+        told.clear()
         release()
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias(place))
-    return rows.mapInArrow(work, "id long, items array<long>").join(ids, "id", "left_semi")
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias(place))
+    found = rows.mapInArrow(work, "doc_id long, one long, two long, items array<long>").withColumn("id", set_key())
+    return found.join(ids, ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "items")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -145,33 +171,41 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").filter(sized & (F.lit(100) * both >= F.lit(percent) * union)).select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs (doc_id, text, ...) without the text, with n_shingles, component_id and kept."""
-    added = ("n_shingles", "component_id", "kept")
-    others = [c for c in docs.columns if c not in ("doc_id", "text", *added)]
-    # Other columns travel as one, whatever their names are.
-    rows = docs.select("doc_id", "text", *([F.struct(*others).alias(REST)] if others else []))
-    described = materialise(append_columns(rows, _DESCRIBED, lambda batch: _describe(batch.column("text")), [c for c in rows.columns if c != "text"]))
-    grouped = described.filter("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    sets_of = materialise(grouped)
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """docs without the text, with n, one, two (size and hashes of the set), group (a number for each component), component, kept."""
+    described = materialise(append_columns(docs, _DESCRIBED, lambda batch: _describe(batch.column("text")), [c for c in docs.columns if c != "text"]))
+    grouped = described.filter("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.first("bands").alias("bands"))
+    sets_of = materialise(grouped.withColumn("id", set_key()))
     banded = sets_of.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialise(banded.join(shared, "band"))
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    leaders = members.join(degree, "id").groupBy("band").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("u"))
+    leaders = members.join(degree, "id").groupBy("band").agg(F.max_by("id", F.struct("degree", F.bitwise_not("id"))).alias("u"))
     stars = members.join(leaders, "band").filter("id <> u").select("u", F.col("id").alias("v")).distinct()
-    candidates = members.select("id").distinct()
+    candidates = sets_of.select("id", "doc_id").join(members.select("id").distinct(), "id", "left_semi")
     sets = materialise(_sets(docs, candidates))
     links = materialise(_confirm(stars, sets, percent))
     found = materialise(components(links))
     links = links.union(_rest(members, found, sets, percent))
-    final = components(links)
-    names = sets_of.select("one", "two", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("one", "two", F.coalesce("component", "id").alias("component"))
-    out = described.join(names, ["one", "two"], "left")
+    # A component's name is the smallest document of its sets.
+    linked = materialise(components(links)).withColumnRenamed("node", "id").join(sets_of.select("id", "doc_id"), "id")
+    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    names = sets_of.select("one", "two", "id", F.col("doc_id").alias("own")).join(linked.join(smallest, "component").select("id", "component", "smallest"), "id", "left")
+    names = names.select("one", "two", F.coalesce("component", "id").alias("group"), F.coalesce("smallest", "own").alias("component"))
+    out = described.drop("bands").join(names, ["one", "two"], "left")
     component = F.when(F.col("n") > 0, F.least(F.col("component"), F.col("doc_id"))).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    kept_columns = [F.col("doc_id") if c == "doc_id" else F.col(f"{REST}.{c}").alias(c) for c in docs.columns if c == "doc_id" or c in others]
-    return out.select(*kept_columns, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.withColumn("component", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs (doc_id, text, ...) without the text, with n_shingles, component_id and kept."""
+    added = ("n_shingles", "component_id", "kept")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *added)]
+    # Other columns travel as one, whatever their names are.
+    out = _judged(docs.select("doc_id", "text", *([F.struct(*others).alias(REST)] if others else [])), percent)
+    columns = [F.col("doc_id") if c == "doc_id" else F.col(f"{REST}.{c}").alias(c) for c in docs.columns if c == "doc_id" or c in others]
+    return out.select(*columns, F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,26 +231,45 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
 
 
 def drop_duplicates(docs: DataFrame, percent: int = CORPUS_PERCENT) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id, and one of equal rows. Rows without an id stay.
+    """docs with one document of each component, that of the smallest doc_id.
 
-    Only rows whose id is in a bit set of the dropped and the repeated ids are shuffled; all others pass the scan.
+    Where several rows have that doc_id, the one of the smallest hash stays. Rows without an id, and texts without a
+    word, stay (of equal ones without a word, one of each doc_id). Only rows whose id is in a bit set of the ids that
+    have a dropped or a repeated row are looked at again and shuffled; all others pass the scan.
     """
-    judged = materialise(near_duplicates(docs.select("doc_id", "text"), percent).filter("doc_id is not null").select("doc_id", "kept"))
-    dropped = judged.filter("not kept").select(F.col("doc_id").alias("id")).distinct()
-    repeated = judged.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("id"))
-    packed, bits = _members(dropped.union(repeated))
+    judged = materialise(_judged(docs.select("doc_id", "text"), percent).filter("doc_id is not null").select("doc_id", "one", "two", "group", "kept"))
+    unsure_ids = judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("n > 1 or not kept").select("doc_id")
+    known = judged.join(unsure_ids, "doc_id", "left_semi").distinct()
+    packed, bits = _members(unsure_ids.select(F.col("doc_id").cast("long").alias("id")))
     wanted = docs.sparkSession.sparkContext.broadcast(packed)
-    place, flag = "__dw_place", "__dw_flag"
+    place, flag, rest = "__dw_place", "__dw_flag", "__dw_row"
 
     def mark(batch: pa.RecordBatch) -> list[pa.Array]:
         at = batch.column(place).fill_null(0).to_numpy(zero_copy_only=False)
         return [pa.array((np.frombuffer(wanted.value, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))]
 
-    placed = docs.withColumn(place, F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(bits))))
+    def keys(batch: pa.RecordBatch) -> list[pa.Array]:
+        n, one, two = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+        column = batch.column("text")
+        for a, b in slices(column, SLICE_BYTES):
+            flat, begins = shingle_sets(column.slice(a, b - a))
+            n[a:b] = np.diff(begins)
+            one[a:b], two[a:b] = _set_hashes(flat, begins)
+        return [pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+
+    long = F.col("doc_id").cast("long")
+    placed = docs.withColumn(place, F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(long), F.lit(bits))))
     marked = append_columns(placed, T.StructType([T.StructField(flag, T.BooleanType())]), mark)
     unsure = F.col(flag) & F.col("doc_id").isNotNull()
-    some = marked.filter(unsure).select(docs.columns).join(dropped.withColumnRenamed("id", "__dw_dropped"), F.col("doc_id") == F.col("__dw_dropped"), "left_anti").dropDuplicates()
-    return marked.filter(~unsure).select(docs.columns).unionByName(some)
+    some = marked.filter(unsure).select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias(rest))
+    keyed = append_columns(some, T.StructType([T.StructField(c, T.LongType()) for c in ("n", "one", "two")]), keys, ["doc_id", rest])
+    # Equal rows, and rows of one id and set, are reduced before they are shuffled; a wordless text is alike to its equals only.
+    same = F.when(F.col("n") == 0, F.xxhash64(F.to_json(rest))).alias("same")
+    order = F.struct("one", "two", F.xxhash64(F.to_json(rest)), F.col(f"{rest}.text"))
+    sets = keyed.groupBy("doc_id", "one", "two", same).agg(F.min_by(rest, order).alias(rest))
+    left = sets.join(known, ["doc_id", "one", "two"], "left").filter(F.coalesce(F.col("kept"), F.lit(True)))
+    one_each = left.groupBy("doc_id", "group", "same").agg(F.min_by(rest, order).alias(rest))
+    return marked.filter(~unsure).select(docs.columns).unionByName(one_each.select(f"{rest}.*"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

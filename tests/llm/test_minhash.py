@@ -92,3 +92,74 @@ def test_components_of_long_chains(spark):
     links = [(k, k + 1) for k in range(0, 300)] + [(1000, 1001), (1005, 1000), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(301)}, 1000: 1000, 1001: 1000, 1005: 1000}
+
+
+def brute_rows(rows, percent=85):
+    """Of rows (id, text) that may repeat ids: each row's set size, component and group, by comparing all pairs of sets."""
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= percent * len(sets[x] | sets[y]):
+                a, b = sorted((root(x), root(y)))
+                up[b] = a
+    smallest = {}
+    for k, (i, _) in enumerate(rows):
+        smallest[root(k)] = min(i, smallest.get(root(k), i))
+    return [(i, len(s), smallest[root(k)], root(k)) for k, ((i, _), s) in enumerate(zip(rows, sets))]
+
+
+def repeated(seed):
+    """Rows whose ids repeat: with equal texts, near copies, and texts that have nothing to do with each other."""
+    r = random.Random(seed)
+    base = [" ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice([3, 12, 60]))) for _ in range(14)]
+    texts = [t for b in base for t in [b, b.upper(), *family(r, b, 2, 0.04)]]
+    rows = [(r.randrange(25), r.choice(texts)) for _ in range(110)] + [(1, base[2]), (5, base[2] + " tail"), (5, base[3])]
+    return rows + rows[:6] + [(3, ""), (3, ""), (3, " "), (3, None), (4, "")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_as_all_pairs(spark, seed):
+    rows = repeated(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_rows(rows)
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()]
+    assert sorted(got) == sorted((i, n, c, i == c) for i, n, c, _ in want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_row_of_each_group_stays(spark, seed):
+    rows = repeated(seed)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    want = brute_rows(rows, 80)
+    left = minhash.drop_duplicates(docs).collect()
+    groups = {(i, t): g for (i, t), (_, _, _, g) in zip(rows, want)}
+    with_words = [r for r in left if shingles(r.text)]
+    assert sorted(groups[r.doc_id, r.text] for r in with_words) == sorted({g for (_, n, _, g) in want if n})
+    assert all(r.doc_id == c for r in with_words for (i, t), (_, _, c, _) in zip(rows, want) if (i, t) == (r.doc_id, r.text))
+    wordless = [(r.doc_id, r.text) for r in left if not shingles(r.text)]
+    assert sorted(wordless, key=str) == sorted({(i, t) for i, t in rows if not shingles(t)}, key=str)
+
+
+def test_unlike_rows_of_one_id(spark):
+    a = " ".join(f"a{k}" for k in range(100))
+    b = " ".join(f"b{k}" for k in range(100))
+    docs = spark.createDataFrame([(1, a), (5, a + " more"), (5, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True)]
+    assert sorted((r.doc_id, r.text[0]) for r in minhash.drop_duplicates(docs).collect()) == [(1, "a"), (5, "b")]
+
+
+def test_very_long_text(spark):
+    r = random.Random(4)
+    long = " ".join(f"w{r.randrange(10**7)}" for _ in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " and a little more"), (3, "short text of five words")], "doc_id long, text string")
+    got = sorted((x.doc_id, x.component_id) for x in minhash.near_duplicates(docs).collect())
+    assert got == [(1, 1), (2, 1), (3, 3)]
