@@ -1,29 +1,26 @@
 """Exact top-k search by dual-tree traversal of cover trees (operator 5).
 
-All vectors, and the queries, are dealt into blocks of bounded size by a hash of the id. Each block becomes a
+All vectors are dealt into blocks of bounded size, and the queries come to each block in groups. A block, and a group of queries, becomes a
 cover tree: the children of a node lie in its covering radius, further from each other than the next, halved
-scale, and one of them has the node's own point; each node keeps the largest distance to a point below it. A query
-block and a data block are searched together: the inner product of a query below node q and a point below node p
+scale, and one of them has the node's own point; each node keeps the largest distance to a point below it. The two trees are searched together: the inner product of a query below node q and a point below node p
 is at most <q,p> + r_q |p| + r_p |q| + r_q r_p, and the pair of nodes is left out if that is below the
 worst k-th score in the group of queries. Points that are left are scored exactly.
 
-Defined results: vectors that are null, or have null or non-finite components, or no id, take no part; equal rows
-count once; a query is compared with vectors of its own length only, and not with rows of its own id; fewer than k
-candidates are all returned; ties go to the smaller id. Components up to 2**20 or so keep scores exact.
+Defined results: vectors that are null, or have null or non-finite components, or no id, take no part; rows that
+repeat an id count one by one, each as a candidate and, where asked, as a query of its own, equal rows too; a query is
+compared with vectors of its own length only, and not with rows of its own id; fewer than k candidates are all
+returned; ties go to the smaller id. Other columns are left out. Components up to 2**20 or so keep scores exact.
 """
 
 from __future__ import annotations
 
-import pickle
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._frames import read
-from docweave.llm._vectors import indexed, paired, ranked, usable
+from docweave.llm._vectors import asked_of, ranked, searched, usable
 
 DATA_BLOCK, QUERY_BLOCK = 8_192, 1_024
 LEAF = 24
@@ -88,15 +85,12 @@ class CoverTree:
         return node
 
 
-def build(ids: np.ndarray, vectors: np.ndarray) -> bytes:
-    tree = CoverTree(np.asarray(vectors, np.float64))
-    return pickle.dumps((ids, tree))
-
+class Index:
+    """A cover tree with the ids and lengths of its points."""
 
-@lru_cache(maxsize=4)
-def _loaded(blob: bytes) -> tuple[np.ndarray, CoverTree, np.ndarray]:
-    ids, tree = pickle.loads(blob)
-    return ids, tree, np.sqrt(np.einsum("ij,ij->i", tree.points, tree.points))
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.tree = ids, CoverTree(np.asarray(vectors, np.float64))
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.tree.points, self.tree.points))
 
 
 class _Best:
@@ -113,10 +107,11 @@ class _Best:
             self.worst[query] = scores[order[-1]]
 
 
-def search(queries: bytes, data: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of data for each query: query ids, row ids, scores."""
-    q_ids, q_tree, q_norm = _loaded(queries)
-    ids, tree, norm = _loaded(data)
+def search(data: Index, q_ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of data for each query: places of the queries, row ids, scores."""
+    asked = Index(q_ids, vectors)
+    q_tree, q_norm = asked.tree, asked.norm
+    ids, tree, norm = data.ids, data.tree, data.norm
     best = _Best(len(q_ids), k)
 
     inner = np.array([len(c) > 0 for c in tree.children], bool)
@@ -174,20 +169,14 @@ def search(queries: bytes, data: bytes, k: int) -> tuple[np.ndarray, np.ndarray,
     if len(q_ids) and len(ids):
         visit(0, np.zeros(1, np.int64))
     counts = [len(x) for x in best.ids]
-    return np.repeat(q_ids, counts), np.concatenate(best.ids) if counts else np.empty(0, np.int64), np.concatenate(best.scores) if counts else np.empty(0)
+    return np.repeat(np.arange(len(q_ids)), counts), np.concatenate(best.ids), np.concatenate(best.scores).astype(np.int64)
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """For each row of rows (vec_id, embedding) that is_query holds for, its k largest inner products of floor(scale * component) with all other rows."""
     whole = usable(rows).withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * scale).cast("double")))
-    data, blocks = indexed(whole, data_block, build)
-    queries, _ = indexed(whole.filter(is_query).groupBy("vec_id", "dim").agg(F.min("embedding").alias("embedding")), query_block, build)
-
-    def pair(query: bytes, blob: bytes):
-        q, v, s = search(query, blob, k)
-        return q, v, s.astype(np.int64)
-
-    return ranked(paired(queries, data, blocks, pair, T.LongType()), k)
+    found = searched(whole, asked_of(whole.filter(is_query)), data_block, query_block, k, Index, lambda index, ids, vectors: search(index, ids, vectors, k), T.LongType())
+    return ranked(found, k)
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +186,9 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-           FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+q AS (SELECT *, row_number() OVER () AS n FROM v WHERE vec_id % 50 = 0),
+scored AS (SELECT q.n, q.vec_id AS query_id, d.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+           FROM q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by hierarchical navigable small-world graphs (operator 9).
 
-Rows are dealt into shards of bounded size by a hash of the id, and every row is in the graph of its shard. A
+Rows are dealt into shards of bounded size by a hash, and every row is in the graph of its shard. A
 vector gets a top layer from a hash of its id; in each layer it is linked to near vectors that are not nearer to
 one of its other links than to itself, and back. The layers are flat arrays of neighbours. A query descends
 greedily to layer 0 and keeps a beam of EF there; many queries go through a shard together. Results of the shards
@@ -10,23 +10,21 @@ Graphs are for the largest inner product: each vector gets one component more, w
 to the same length, so that nearness in the graph is the order of inner products. Of equal vectors one is a
 vertex, which stands for the smallest ids that can be asked for.
 
-Defined results: vectors that are null, zero, or have null or non-finite components, or no id, take no part; equal
-rows count once; a query is compared with vectors of its own length and not with rows of its own id; with fewer
-candidates than k all that are found; ties go to the smaller id.
+Defined results: vectors that are null, zero, or have null or non-finite components, or no id, take no part; rows
+that repeat an id count one by one, each as a candidate and, where asked, as a query of its own, equal rows too; a
+query is compared with vectors of its own length and not with rows of its own id; with fewer candidates than k all
+that are found; ties go to the smaller id. Other columns are left out.
 """
 
 from __future__ import annotations
 
-import pickle
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._frames import read
-from docweave.llm._vectors import indexed, paired, ranked, usable
+from docweave.llm._vectors import asked_of, ranked, searched, usable
 
 SHARD, QUERY_BLOCK = 8_192, 512
 K = 20
@@ -36,8 +34,6 @@ NEAR = 48
 EF = 96
 #: Beam members expanded in one step.
 EXPAND = 4
-#: Shards of at most this many vertices are compared in full.
-SMALL = 256
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
@@ -131,20 +127,23 @@ def _joined(points: np.ndarray, links: np.ndarray) -> np.ndarray:
 class Graph:
     """vectors: the vertices. ids[first[v]:first[v + 1]]: the rows of vertex v, smallest first. layers: vertices, neighbour array."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, most_ids: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         order = np.lexsort((ids, *vectors.T[::-1]))
         ids, vectors = ids[order], vectors[order]
         new = np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(axis=1)))
         vertex = np.cumsum(new) - 1
-        place = np.arange(len(ids)) - np.flatnonzero(new)[vertex]
-        # A query gets at most k rows of a vertex, and one may be its own.
-        keep = place < most_ids
+        # A query gets at most k rows of a vertex, and those of its own id are none of them.
+        start = np.flatnonzero(np.concatenate(([True], new[1:] | (ids[1:] != ids[:-1]))))
+        keep = np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids)))) < k
+        ids, vertex = ids[keep], vertex[keep]
+        place = np.arange(len(ids)) - np.searchsorted(vertex, vertex)
+        keep = place < 2 * k
         self.ids, vertex = ids[keep], vertex[keep]
         self.vectors = vectors[new]
         n = len(self.vectors)
         self.first = np.searchsorted(vertex, np.arange(n + 1))
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []
-        if n > SMALL:
+        if n > 1:
             length = np.einsum("ij,ij->i", self.vectors, self.vectors)
             lifted = np.hstack([self.vectors, np.sqrt(np.maximum(length.max() - length, 0))[:, None]]) / np.sqrt(length.max())
             lifted = lifted.astype(np.float32)
@@ -158,10 +157,8 @@ class Graph:
 
     def search(self, queries: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Vertices and inner products, best first; -1 where there are fewer."""
-        if not self.layers:
-            products = queries @ self.vectors.T
-            order = np.argsort(-products, axis=1, kind="stable")[:, :k]
-            return order, np.take_along_axis(products, order, axis=1)
+        if not self.layers:  # one vertex
+            return np.zeros((len(queries), 1), np.int64), queries @ self.vectors.T
         points = self.vectors.astype(np.float32)
         asked = queries.astype(np.float32)
         members, _ = self.layers[-1]
@@ -216,39 +213,30 @@ class Graph:
         return beam, exact
 
 
-@lru_cache(maxsize=2)
-def _loaded(blob: bytes):
-    return pickle.loads(blob)
-
-
-def search(queries: bytes, data: bytes, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Up to k rows of a shard for each query: query ids, row ids, inner products."""
-    q_ids, q_vectors = pickle.loads(queries)
-    graph = _loaded(data)
+def search(graph: Graph, q_ids: np.ndarray, q_vectors: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to k rows of a shard for each query: places of the queries, row ids, inner products."""
     out_q, out_v, out_s = [], [], []
     for a in range(0, len(q_ids), 256):
         vertices, _ = graph.search(q_vectors[a : a + 256], k + 1, ef)
-        for query, vector, found in zip(q_ids[a : a + 256], q_vectors[a : a + 256], vertices):
+        for place, (query, vector, found) in enumerate(zip(q_ids[a : a + 256], q_vectors[a : a + 256], vertices), a):
             found = found[found >= 0]
-            ids = np.concatenate([graph.ids[graph.first[v] : graph.first[v + 1]] for v in found]) if len(found) else np.empty(0, np.int64)
-            products = np.repeat(graph.vectors[found] @ vector, graph.first[found + 1] - graph.first[found]) if len(found) else np.empty(0)
+            ids = np.concatenate([graph.ids[graph.first[v] : graph.first[v + 1]] for v in found])
+            products = np.repeat(graph.vectors[found] @ vector, graph.first[found + 1] - graph.first[found])
             other = ids != query
             ids, products = ids[other], products[other]
             order = np.lexsort((ids, -products))[:k]
-            out_q.append(np.full(len(order), query))
+            out_q.append(np.full(len(order), place))
             out_v.append(ids[order])
             out_s.append(products[order])
-    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-    return join(out_q, np.int64), join(out_v, np.int64), join(out_s, np.float64)
+    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = K, ef: int = EF, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
     """For each row of rows (vec_id, embedding) that is_query holds for, k rows of large inner product with it."""
     whole = usable(rows, zero=False)
-    data, blocks = indexed(whole, shard, lambda ids, vectors: pickle.dumps(Graph(ids, vectors, k + 1)))
-    asked = whole.filter(is_query).groupBy("vec_id", "dim").agg(F.min("embedding").alias("embedding"))
-    queries, _ = indexed(asked, query_block, lambda ids, vectors: pickle.dumps((ids, vectors)))
-    return ranked(paired(queries, data, blocks, lambda q, d: search(q, d, k, ef), T.DoubleType()), k)
+    build = lambda ids, vectors: Graph(ids, np.asarray(vectors, np.float64), k)
+    found = searched(whole, asked_of(whole.filter(is_query)), shard, query_block, k, build, lambda graph, ids, vectors: search(graph, ids, np.asarray(vectors, np.float64), k, ef), T.DoubleType())
+    return ranked(found, k)
 
 
 def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

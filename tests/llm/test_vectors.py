@@ -26,9 +26,10 @@ def frame(spark, x):
 
 
 def brute(x, step, k, score):
-    ids = list(range(len(x)))
+    """Every row is a candidate; the first three rows are there twice."""
+    ids = list(range(len(x))) + [0, 1, 2]
     out = {}
-    for q in ids[::step]:
+    for q in range(0, len(x), step):
         s = sorted(((-score(x[q], x[i]), i) for i in ids if i != q))[:k]
         out[q] = [(r + 1, i, -v) for r, (v, i) in enumerate(s)]
     return out
@@ -45,8 +46,9 @@ def test_exact_top_k(spark, block):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     with_zero = {q: v for q, v in got.items() if q < 5000}
     for q, rows in with_zero.items():
-        best = sorted([(-int(whole[q] @ whole[i]), i) for i in range(len(x)) if i != q] + [(0, 5040)])[:5]
-        assert [(r[1], r[2]) for r in rows] == [(i, -s) for s, i in best]
+        best = sorted([(-int(whole[q] @ whole[i]), i) for i in [*range(len(x)), 0, 1, 2] if i != q] + [(0, 5040)])[:5]
+        times = 2 if q < 3 else 1  # a row that is there twice asks twice
+        assert [(r[1], r[2]) for r in rows[::times]] == [(i, -s) for s, i in best] == [(r[1], r[2]) for r in rows[times - 1 :: times]]
     assert set(with_zero) == set(want)
     assert got[5050] == [(1, 5100, 256 * 256 + 512 * 768)] and got[5100] == [(1, 5050, 256 * 256 + 512 * 768)]
     assert zero
@@ -72,12 +74,12 @@ def test_graph_recall_and_scores(spark):
     want = brute(x, 20, 20, lambda a, b: float(a @ b))
     hit = 0
     for q, rows in want.items():
-        found = {r.vec_id: r.score for r in got[q]}
-        assert len(found) == 20 and q not in found
+        order = sorted(got[q], key=lambda r: r["rank"])[:: 2 if q < 3 else 1]
+        found = {r.vec_id: r.score for r in order}
+        assert len(order) == 20 and q not in found
         for i, s in found.items():
             assert abs(s - float(x[q] @ x[i])) < 1e-9
         hit += sum(found.get(i) is not None for _, i, _ in rows)
-        order = sorted(got[q], key=lambda r: r["rank"])
         assert [(-r.score, r.vec_id) for r in order] == sorted((-r.score, r.vec_id) for r in order)
     assert hit / (20 * len(want)) >= 0.9
 
@@ -99,3 +101,50 @@ def test_few_rows(spark):
     assert got == [(0, 1, 5, 2.0), (0, 2, 20, 1.0), (20, 1, 5, 2.0), (20, 2, 0, 1.0)]
     assert hnsw.nearest(rows.limit(0), F.lit(True)).count() == 0
     assert covertree.top_k(rows.limit(0), F.lit(True)).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows of one id count one by one: as candidates, and as queries with their own rankings."""
+    r = np.random.default_rng(3)
+    rows = [(int(i), [float(v) for v in r.normal(size=6)]) for i in r.integers(0, 60, 300)]
+    rows += [rows[0]] * 9 + [(50, rows[5][1]), (50, rows[6][1]), (100, rows[5][1])] + [(7, rows[5][1])] * 30
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    want = sorted((q, tuple(sorted(((-int(a @ b), i) for i, b in whole if i != q))[:5])) for q, a in whole if q % 50 == 0)
+    got = {}
+    for x in covertree.top_k(frame_, F.col("vec_id") % 50 == 0, data_block=90, query_block=4).collect():
+        got.setdefault((x.query_id, x["rank"]), []).append((-x.score, x.vec_id))
+    for place in range(5):
+        for q in (0, 50, 100):
+            assert sorted(got.get((q, place + 1), [])) == sorted(w[place] for i, w in want if i == q)
+    exact = {}
+    for q, a in rows:
+        if q % 20 == 0:
+            exact.setdefault(q, []).append(sorted(((-float(np.dot(a, b)), i) for i, b in rows if i != q))[:20])
+    found = {}
+    for x in hnsw.nearest(frame_, F.col("vec_id") % 20 == 0, shard=150).collect():
+        found.setdefault(x.query_id, []).append((round(-x.score, 9), x.vec_id))
+    assert {q: len(v) for q, v in found.items()} == {q: 20 * len(v) for q, v in exact.items()}
+    near = sum(len(set(found[q]) & {(round(s, 9), i) for one in v for s, i in one}) for q, v in exact.items())
+    assert near >= 0.9 * sum(len({(round(s, 9), i) for one in v for s, i in one}) for v in exact.values())
+
+
+def test_small_shards_have_graphs():
+    x = rng.normal(size=(40, 5))
+    graph = hnsw.Graph(np.arange(40), x, 3)
+    assert graph.layers and len(graph.layers[0][0]) == 40
+    places, found, scores = hnsw.search(graph, np.array([100]), x[:1], 3, 16)
+    best = np.argsort(-(x @ x[0]), kind="stable")[:3]
+    assert found.tolist() == best.tolist() and places.tolist() == [0, 0, 0] and np.allclose(scores, (x @ x[0])[best])
+
+
+def test_sql_agrees_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(50, [0.5, 1.0]), (50, [0.5, 1.0]), (50, [1.0, 0.25]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, None), (100, [0.1, -2.0]), (5, [1.0]), (150, [2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = covertree.op5_exact_top_k(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = db.execute(f"SELECT query_id, rank, vec_id, score FROM ({covertree.OP5_SQL}) ORDER BY ALL").fetchall()
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want
