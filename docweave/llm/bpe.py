@@ -42,6 +42,20 @@ def default_ranks_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+def vocabulary(path: str) -> list[bytes]:
+    """The bytes of each id: all that decoding needs."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        out[rank] = piece
+    return out
+
+
 class Codec:
     """Ranks and pattern, for one partition in a Python worker."""
 
@@ -50,8 +64,7 @@ class Codec:
         import regex
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = read_ranks(path)
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.iter = regex.compile(public_tokenizers.PATTERN).finditer
         self._encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -61,10 +74,10 @@ class Codec:
         one = self._encoding._core_bpe.encode_single_piece
 
         class Cache(dict):
-            def __missing__(self, piece: str) -> list[int]:
+            def __missing__(self, piece: str) -> array:
                 if len(self) >= CACHE_PIECES:
                     self.clear()
-                ids = one(piece.encode("utf-8", "replace"))
+                ids = array("i", one(piece.encode("utf-8", "replace")))
                 if len(piece) <= 256:
                     self[piece] = ids
                 return ids
@@ -200,13 +213,12 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", ranks_path: str
     """df with the concatenated bytes of the ids."""
     path = ranks_path or default_ranks_path()
 
-    def work(batch: pa.RecordBatch, c: Codec) -> list[pa.Array]:
-        vocabulary = c.vocabulary
+    def work(batch: pa.RecordBatch, pieces: list[bytes]) -> list[pa.Array]:
         column = batch.column(ids)
         flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
-        return [pa.array((b"".join(map(vocabulary.__getitem__, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])), pa.binary(), size=len(column))]
+        return [pa.array((b"".join(map(pieces.__getitem__, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])), pa.binary(), size=len(column))]
 
-    return append_columns(df, T.StructType([T.StructField(out, T.BinaryType(), False)]), work, state=lambda: Codec(path))
+    return append_columns(df, T.StructType([T.StructField(out, T.BinaryType(), False)]), work, state=lambda: vocabulary(path))
 
 
 def ids_digest(ids: Column) -> Column:
