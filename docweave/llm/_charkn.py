@@ -19,8 +19,6 @@ BYTE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * U(2)
 STEP = U(0x9E3779B97F4A7C15)
 START, END = 1, 2
 DISCOUNT = 0.75
-#: From this order on, n-grams met once in all are left to the lower orders.
-PRUNE_FROM = 4
 
 
 def padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,9 +112,6 @@ class CharKN:
             else:
                 counted = tokens if n > shared else np.repeat(tokens.sum(axis=1, keepdims=True), classes, axis=1)
             at = back = None
-            if n >= PRUNE_FROM:
-                keep = tokens.sum(axis=1) > 1
-                keys, first, counted = keys[keep], first[keep], counted[keep]
             before = shorter[first - 1] if n > 1 else np.zeros(len(first), np.uint64)
             outer, back = np.unique(_context(before, n), return_inverse=True)
             total = np.stack([np.bincount(back, weights=counted[:, c], minlength=len(outer)) for c in range(classes)], axis=1)
@@ -129,7 +124,7 @@ class CharKN:
             shorter, rolled = rolled, after if n < order else None
         return CharKN(order, classes, grams, contexts)
 
-    def log_likelihoods(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    def log_likelihoods(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 18) -> np.ndarray:
         """Natural logarithm of each word's probability in each class."""
         out, a = np.empty((len(starts), self.classes), np.float32), 0
         sizes = np.concatenate(([0], np.cumsum(ends - starts + 2)))

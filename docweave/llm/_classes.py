@@ -9,30 +9,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docweave.llm._charkn import CharKN
 from docweave.llm._frames import release
 from docweave.llm._words import slices, text_buffers, words
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of text of each class that are learnt from, at most.
+SAMPLE_BYTES = 32 << 20
 
 
-def bounded_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most per_class rows of each label, those with the smallest hash of the key; a hash of the key makes it the same at each run."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    parts = [rows.filter(F.col(label) == v).orderBy("hash", "doc_id").limit(per_class) for v in sorted(counts)]
-    out = parts[0] if parts else rows.limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _place() -> Column:
+    """A row's place in [0, 2**63), from a hash of its id and text; the same at each run."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), 1)
 
 
-def sample_hash() -> Column:
-    return F.xxhash64(F.lit("sample"), F.col("doc_id"))
+def bounded_ids(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """rows (doc_id, label) whose ids' hashes are small: about twice per_class of each label, or all if there are fewer."""
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("doc_id")), 1)
+    return rows.filter(place <= _limits(rows, label, per_class))
+
+
+def _limits(rows: DataFrame, label: str, per_class: int) -> Column:
+    """For each label the place below which twice per_class rows are expected."""
+    counts = rows.groupBy(label).count().collect()
+    limits = [x for r in sorted(counts, key=lambda r: r[0]) for x in (F.lit(r[0]), F.lit(min(2**63 - 1, (2**63 - 1) // r[1] * 2 * per_class)))]
+    return F.create_map(*limits)[F.col(label)] if limits else F.lit(-1)
+
+
+def bounded_sample(rows: DataFrame, label: str, per_class: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Of rows (doc_id, text, label) those of the smallest hashes of id and text: at most per_class and most_bytes of text of each label, but one at least.
+
+    Equal rows count once. Two scans, whatever the number of labels; a hot row is reduced before it is shuffled.
+    """
+    some = rows.select("doc_id", "text", label).withColumn("place", _place()).filter(F.col("place") <= _limits(rows, label, per_class))
+    once = some.groupBy("doc_id", label, "place").agg(F.min("text").alias("text"))
+    order = Window.partitionBy(label).orderBy("place", "doc_id")
+    numbered = once.withColumn("number", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.filter((F.col("number") <= per_class) & ((F.col("number") == 1) | (F.col("bytes") <= most_bytes))).select("doc_id", "text", label)
 
 
 def fit(sample: DataFrame, classes: int, order: int, shared: int) -> bytes | None:
-    """The model of the sample's words; label is the number of a class. The sample's size bounds the one task that fits."""
+    """The model of the sample's words; label is the number of a class. The sample's rows and bytes bound the one task that fits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

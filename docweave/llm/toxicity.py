@@ -5,8 +5,8 @@ so that a rare expression is smoothed alike in both. A text is compared by its l
 log-likelihoods, over all of it and over each window of a few words, and a logistic function fitted on labelled
 rows that the models have not seen turns these into a score.
 
-At most ROWS_PER_CLASS labelled rows of each class are learnt from (a documented bound); everything else
-covers all rows.
+At most ROWS_PER_CLASS labelled rows of each class, and SAMPLE_BYTES of their texts, are learnt from (documented
+bounds); everything else covers all rows.
 
 Defined results: a null or empty text is scored as no words; a null label, a null id in the labels and labels of
 unknown documents teach nothing; an id with several labels counts as toxic if one of them is 1; where only one
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._charkn import CharKN, score_words
-from docweave.llm._classes import SLICE_BYTES, bounded_sample, fit, sample_hash
+from docweave.llm._classes import SLICE_BYTES, bounded_ids, bounded_sample, fit
 from docweave.llm._frames import PREFIX, append_columns, held_out, materialise, read
 from docweave.llm._words import slices, words
 
@@ -73,14 +73,14 @@ def score(docs: DataFrame, labels: DataFrame, eligible=None, rows_per_class: int
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     if eligible is not None:
         known = known.filter(eligible)
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).filter(F.col("label").isin(0, 1)).withColumn("hash", sample_hash())
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).filter(F.col("label").isin(0, 1))
     shares = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     field = T.StructType([T.StructField(out, T.DoubleType(), False)])
     if len(shares) < 2:
         return append_columns(docs, field, lambda batch: [pa.array(np.full(batch.num_rows, float(next(iter(shares), 0))))], keep)
-    chosen = bounded_sample(known, "label", rows_per_class)
-    # The sample's ids are at most two times rows_per_class, so they are broadcast.
-    sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0).alias("fold")))
+    # About four times rows_per_class ids are expected, so they are broadcast; their rows are bounded again, as an id may have many.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(bounded_ids(known, "label", rows_per_class)), "doc_id")
+    sample = materialise(bounded_sample(materialise(chosen.filter("text is not null").distinct()), "label", rows_per_class).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0))
     blob = fit(sample.filter(~F.col("fold")).select("text", "label"), 2, ORDER, SHARED)
     if blob is None:
         return append_columns(docs, field, lambda batch: [pa.array(np.zeros(batch.num_rows))], keep)
