@@ -17,14 +17,20 @@ from docweave.llm._frames import held_out, read, shared_dir
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold. Learns from the rows of labels that op6_toxicity learns from."""
+    """Documents whose toxicity score is under the threshold. Learns from the rows of labels that op6_toxicity learns from.
+
+    A null or empty text is scored as one without words; rows without an id and repeated rows are judged like any other.
+    """
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     scored = toxicity.score(docs, labels, ~held_out(F.col("doc_id"), 4), out="__dw_score")
     return scored.filter(F.col("__dw_score") < toxicity.THRESHOLD).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 or more), that of the smallest doc_id; of equal rows one."""
+    """One document of each group of near duplicates (similarity 0.8 or more), that of the smallest doc_id; of equal rows one.
+
+    Rows without an id, and null or wordless texts of different ids, stay; rows that repeat an id with an unlike text stay too.
+    """
     return minhash.drop_duplicates(docs, minhash.CORPUS_PERCENT)
 
 
@@ -35,14 +41,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows replicated to the tempered source weights, shuffled."""
+    """Rows replicated to the tempered source weights, shuffled. A null source is a source; rows of one id get one count."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, with a digest of the bytes that they decode to."""
+    """Token ids of each row, with a digest of the bytes that they decode to. A null or empty text has no ids.
+
+    Every row stays; columns of the names that are added (ids, n_tokens, decoded_sha256) are replaced.
+    """
     decoded = bpe.decode(bpe.encode(docs))
-    return decoded.select(*[c for c in docs.columns if c != "text"], F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return decoded.select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")], F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 STAGES = [
