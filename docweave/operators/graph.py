@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docweave.sources.corpus import first_by
 
 #: Most rows of each bag of expand().
-CAPS = {"parent": 3, "child": 60, "internal": 12, "cross": 8, "interpreted_by": 4}
+CAPS = {"parent": 3, "child": 60, "sibling": 10, "internal": 12, "cross": 8, "interpreted_by": 4, "interprets": 4}
 
 
 def expand(anchors: DataFrame, node: DataFrame, edge: DataFrame, closed: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
@@ -27,7 +27,11 @@ def expand(anchors: DataFrame, node: DataFrame, edge: DataFrame, closed: DataFra
     cited = cited.join(celex, "id").join(celex.select(F.col("id").alias("anchor"), F.col("celex").alias("own")), "anchor").filter("id <> anchor")
     cited = cited.select("anchor", F.when(F.col("celex") == F.col("own"), F.lit("internal")).otherwise(F.lit("cross")).alias("bag"), "dist", "id")
     inbound = ids.join(edge.filter("type = 'INTERPRETS'"), ids.anchor == edge.dst).select("anchor", F.lit("interpreted_by").alias("bag"), F.lit(1).alias("dist"), F.col("src").alias("id"))
-    rows = reduce(DataFrame.unionByName, [above, children, cited, inbound])
+    outbound = ids.join(edge.filter("type = 'INTERPRETS'"), ids.anchor == edge.src).select("anchor", F.lit("interprets").alias("bag"), F.lit(1).alias("dist"), F.col("dst").alias("id"))
+    # Guidance is shown with its neighbours under the same heading.
+    guidance = node.filter("kind like 'guidance%' and parent_id is not null").select("id", "parent_id", "ord")
+    beside = ids.join(guidance.select(F.col("id").alias("anchor"), "parent_id"), "anchor").join(guidance, "parent_id").filter("id <> anchor").select("anchor", F.lit("sibling").alias("bag"), F.col("ord").cast("int").alias("dist"), "id")
+    rows = reduce(DataFrame.unionByName, [above, children, cited, inbound, outbound, beside])
     cap = reduce(lambda c, x: c.when(F.col("bag") == x[0], F.lit(x[1])), caps.items(), F.when(F.lit(False), F.lit(0)))
     return first_by(rows, ["anchor", "bag"], ["dist", "id"], max(caps.values())).filter(F.col("rank") <= cap).select("anchor", "bag", "rank", "id")
 

@@ -514,38 +514,61 @@ def guidance_references(text: str | None, names: dict[str, str]) -> list[dict]:
 
 
 def families_in(text: str | None) -> list[tuple[str, int, int]]:
-    """Base families that a text names (Article 5, Annex III) with the place of the mention: 'Articles 111/113', 'Annexes I and III', 'Articles 5 to 8'."""
+    """Base families that a text names (Article 5, Annex III, Recital 44) with the place of the mention.
+
+    Lists, slashes and ranges are read ('Articles 111/113', 'Annexes I and III', 'Arts. 4a-4c'); of a range the ends count,
+    as what lies between lettered ends is not defined. Paragraphs and points in brackets do not matter.
+    """
     reader = Reader(text or "")
     out, i, t = [], 0, reader.t
+    units = {"article": "Article", "articles": "Article", "art": "Article", "arts": "Article", "annex": "Annex", "annexes": "Annex", "recital": "Recital", "recitals": "Recital"}
     while i < len(t):
-        unit = "Article" if reader.word(i, "article", "articles") else "Annex" if reader.word(i, "annex", "annexes") else None
-        if not unit:
-            i += 1
-            continue
-
-        def value(at: int, unit: str = unit) -> str | None:
-            if reader.is_(at, "number"):
-                return t[at].raw
-            return t[at].raw.upper() if unit == "Annex" and reader.is_(at, "word") and t[at].raw.isupper() and _ROMAN.fullmatch(t[at].raw) else None
-
-        at, numbers = i + 1, []
-        if reader.is_(at, "act") and unit == "Article":  # 111/113
-            numbers, at = t[at].raw.split("/"), at + 1
-        elif value(at):
-            numbers, at = [value(at)], at + 1
-        while numbers:
-            while reader.is_(at, "bracket") and reader.glued(at):
+        unit = units.get(t[i].low) if t[i].kind == "word" else None
+        at = i + 1 + (unit is not None and t[i].low in ("art", "arts") and reader.is_(i + 1, "mark") and t[i + 1].raw == ".")
+
+        def read(at: int, unit: str | None = unit) -> tuple[int, list[str]] | None:
+            """One number, or two around a slash, with a letter and brackets behind."""
+            if unit == "Annex":
+                fits = reader.is_(at, "word") and re.fullmatch(r"[IVXLCivxlc]+", t[at].raw)
+                return (at + 1, [t[at].raw.upper()]) if fits else None
+            if reader.is_(at, "act"):
+                return at + 1, t[at].raw.split("/")
+            if not reader.is_(at, "number"):
+                return None
+            number, at = t[at].raw, at + 1
+            if unit == "Article" and reader.glued(at) and reader.is_(at, "word") and len(t[at].raw) == 1:
+                number, at = number + t[at].low, at + 1
+            return at, [number]
+
+        found = read(at) if unit else None
+        numbers: list[str] = []
+        while found:
+            at, more = found
+            numbers += more
+            while reader.is_(at, "bracket"):
                 at += 1
-            if reader.word(at, "to") and value(at + 1) and numbers[-1].isdigit() and value(at + 1).isdigit():
-                numbers += between(int(numbers[-1]), int(value(at + 1)))[1:]
-                at += 2
-                continue
-            joint = at + 1 if (reader.comma(at) > at or reader.word(at, "and", "or") or (reader.is_(at, "mark") and t[at].raw == "/")) else at
-            joint += joint > at and reader.word(joint, "and", "or")
-            if joint == at or not value(joint):
-                break
-            numbers.append(value(joint))
-            at = joint + 1
-        out += [(f"{unit} {n}", t[i].start, t[max(i, at - 1)].end) for n in dict.fromkeys(numbers)]
-        i = max(at, i + 1)
+            joint = at
+            while joint < len(t) and joint < at + 2 and (t[joint].raw in ",/–—-−" or reader.word(joint, "and", "or", "to", "through")):
+                joint += 1
+            found = read(joint) if joint > at else None
+        if numbers:
+            out += [(f"{unit} {n}", t[i].start, t[at - 1].end) for n in dict.fromkeys(numbers)]
+        i = max(at, i + 1) if numbers else i + 1
     return out
+
+
+def base_family(ref: str) -> str:
+    """Article 5(1)(f) -> Article 5; Annex IX, Chapter I -> Annex IX; Recital 44 as it is; what is none of these stays."""
+    m = re.match(r"(article|annex|recital)\s+([0-9]+[a-z]?|[ivxlc]+)", " ".join(ref.split()), re.IGNORECASE)
+    if not m:
+        return " ".join(ref.split())
+    return f"{m.group(1).capitalize()} {m.group(2).upper() if m.group(1).lower() == 'annex' else m.group(2).lower()}"
+
+
+def parent_chain(ref: str) -> list[str]:
+    """Article 5(1)(a) -> [Article 5(1), Article 5]; empty for what is no article below another."""
+    m = re.match(r"(article\s+[0-9]+[a-z]?)((?:\([^()]+\))*)", " ".join(ref.split()), re.IGNORECASE)
+    if not m:
+        return []
+    brackets = re.findall(r"\([^()]+\)", m.group(2))
+    return [base_family(m.group(1)) + "".join(brackets[:n]) for n in range(len(brackets) - 1, -1, -1)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions.storage import cut
 from docweave.sources.corpus import first_by
 
 K1, B = 1.2, 0.75
@@ -54,10 +55,28 @@ def reciprocal_rank_fusion(dense_ranked: DataFrame, lexical_ranked: DataFrame) -
     return joined.select("question", "id", (1 / (RRF_K + F.col("r1")) + F.coalesce(LEXICAL_WEIGHT / (RRF_K + F.col("r2")), F.lit(0.0))).alias("fused"))
 
 
+#: Cuts up to this are made before rows are shuffled; ranks beyond are counted over sorted ranges.
+CUT = 1_000
+
+
 def ranks(scored: DataFrame, score: str, most: int | None = None) -> DataFrame:
-    """question, id, rank from 0, by score, then id."""
-    out = first_by(scored, ["question"], [F.desc(score), "id"], most or 2**31 - 1)
-    return out.select("question", "id", (F.col("rank") - 1).alias("rank"))
+    """question, id, rank from 0, by score, then id.
+
+    Without a cut, or with a large one, rows are sorted by ranges of (question, score, id) over all tasks, and a range's
+    ranks begin after the rows that earlier ranges have of the question: no task holds a question's whole table.
+    """
+    if most is not None and most <= CUT:
+        out = first_by(scored, ["question"], [F.desc(score), "id"], most)
+        return out.select("question", "id", (F.col("rank") - 1).alias("rank"))
+    order = ["question", F.desc("__score"), "id"]
+    ranged = scored.select("question", "id", F.col(score).alias("__score")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = cut(ranged)  # the ranges are drawn from a sample, so they are kept as drawn
+    sizes = ranged.groupBy("question", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("question").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("question", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("question", "__part").orderBy(F.desc("__score"), "id"))
+    out = ranged.withColumn("__in", inside).join(offsets, ["question", "__part"]).select("question", "id", (F.col("__before") + F.col("__in") - 1).cast("int").alias("rank"))
+    return out if most is None else out.filter(F.col("rank") < most)
 
 
 def collapse(fused: DataFrame, anchors: DataFrame) -> DataFrame:

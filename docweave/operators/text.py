@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DASHES, APOSTROPHES = "‐‑‒–—―−", "‘’‛ʼ"
+# Marks that are folded; authority of sources; characters of a lexical query language.
+DASHES, APOSTROPHES = "-‐‑‒–—―−", "‘’‚‛`´ʼ"
+AUTHORITY = {"guidance": "persuasive", "harmonised_standard": "presumption_of_conformity", "implementing_act": "binding", "delegated_act": "binding", "common_specification": "binding"}
+QUERY_MARKS = r'[+\-&|!(){}\[\]^"~*?:\\/]'
 
 
 def reference_key(ref: Column) -> Column:
@@ -61,9 +64,9 @@ def expand_range(text: Column) -> Column:
 
 
 def folded(x: Column) -> Column:
-    """Verification form without NFKC: emphasis marks off, lower case, one kind of dash and apostrophe, single spaces."""
-    plain = F.regexp_replace(x, r"\*\*|__|[*`]", "")
-    plain = F.translate(F.translate(F.lower(plain), DASHES, "-" * len(DASHES)), APOSTROPHES, "'" * len(APOSTROPHES))
+    """Verification form without NFKC: emphasis marks off, lower case, dashes as spaces, one kind of apostrophe, single spaces."""
+    plain = F.lower(F.regexp_replace(x, r"\*\*|__|\*", ""))
+    plain = F.translate(F.translate(plain, DASHES, " " * len(DASHES)), APOSTROPHES, "'" * len(APOSTROPHES))
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
@@ -77,3 +80,71 @@ def with_nfkc(df: DataFrame, column: str, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def first_sentence(text: Column, most: int = 400) -> Column:
+    """The first sentence, up to a period or semicolon before a space, without the enumerator in front; at most so long."""
+    plain = F.trim(F.replace(text, F.lit(" "), F.lit(" ")))
+    plain = F.regexp_replace(plain, r"^(?:[0-9]{1,3}\.|\([0-9]{1,3}\)|\([a-z]{1,2}\))\s+", "")
+    return F.substring(F.element_at(F.split(plain, r"(?<=[.;])\s+"), 1), 1, most)
+
+
+def definition_body(text: Column) -> Column:
+    """What stands behind the first "means", else the whole text."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"(?i)\bmeans\b", 2)
+    return F.trim(F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))))
+
+
+def authority(source_type: Column) -> Column:
+    """What weight an interpreting source has; an unknown or missing one is persuasive only."""
+    known = F.create_map(*[F.lit(x) for pair in AUTHORITY.items() for x in pair])
+    return F.coalesce(known[F.lower(F.trim(source_type))], F.lit("persuasive"))
+
+
+def chapter_key(path: Column) -> Column:
+    """The third part of a path, if it is a chapter or an annex."""
+    part = F.get(F.split(path, "/"), F.lit(2))
+    return F.when(part.contains("_cpt_") | part.contains("_anx_"), part)
+
+
+def community_label(community: Column) -> Column:
+    """community::L1::32024R1689_cpt_III -> Chapter III (32024R1689)"""
+    part = F.replace(community, F.lit("community::L1::"), F.lit(""))
+    celex, kind, number = (F.regexp_extract(part, "^([^_]*)_([^_]*)_?(.*)$", k) for k in (1, 2, 3))
+    return F.concat(F.when(kind == "cpt", "Chapter").otherwise("Annex"), F.lit(" "), number, F.lit(" ("), celex, F.lit(")"))
+
+
+def query_text(text: Column) -> Column:
+    """A question without the marks of a query language, with single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, QUERY_MARKS, " "), r"\s+", " "))
+
+
+def repaired_id(node_id: Column) -> Column:
+    """{act}_art_5_2 -> {act}_005.002: ids that writers make up of an article and a paragraph."""
+    act, article, paragraph = (F.regexp_extract(node_id, r"^(.*)_art_([0-9]{1,3})_([0-9]{1,3})$", k) for k in (1, 2, 3))
+    return F.when(article != "", F.concat(act, F.lit("_"), F.lpad(article, 3, "0"), F.lit("."), F.lpad(paragraph, 3, "0"))).otherwise(node_id)
+
+
+def capped_quote(text: Column, most: int) -> Column:
+    """A quote cut behind the last sentence of its first characters, if that is past half, else there, with a mark of the cut."""
+    plain = F.trim(text)
+    head = F.substring(plain, 1, most)
+    last = F.length(head) - F.locate(" .", F.reverse(head))  # the period of the last ". "
+    cut = F.when((F.locate(". ", head) > 0) & (last - 1 > most // 2), F.substring(head, F.lit(1), last)).otherwise(head)
+    return F.when((F.lit(most) <= 0) | (F.length(plain) <= most), plain).otherwise(F.concat(F.rtrim(cut), F.lit(" […]")))
+
+
+def bold_references(text: Column) -> Column:
+    """References in bold, line by line; headings, quotes and what is bold stay."""
+    reference = r"(?<!\*)\b(Articles?\s+[0-9]+[a-z]?(?:\s*\([0-9]+[a-z]?\))*(?:\s*[–—-]\s*\([0-9]+[a-z]?\))?|Annex(?:es)?\s+[IVXLC]+(?:\s*\([0-9]+\))?|Recitals?\s+[0-9]+)(?!\*)"
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.ltrim(x).startswith("#") | F.ltrim(x).startswith(">"), x).otherwise(F.regexp_replace(x, reference, "**$1**")))
+    return F.array_join(lines, "\n")
+
+
+def parent_references(ref: Column) -> Column:
+    """Article 5(1)(a) -> [Article 5(1), Article 5]; empty for others."""
+    base = F.regexp_extract(ref, r"^(Article [0-9]+[a-z]?)", 1)
+    brackets = F.regexp_extract_all(F.substring(ref, F.length(base) + 1, F.length(ref)), F.lit(r"(\([^()]+\))"), F.lit(1))
+    none = F.array().cast("array<string>")
+    chain = F.when(F.size(brackets) > 0, F.transform(F.sequence(F.size(brackets), F.lit(1), F.lit(-1)), lambda n: F.concat(base, F.array_join(F.slice(brackets, F.lit(1), n - 1), ""))))
+    return F.when(base != "", F.coalesce(chain, none)).otherwise(none)

@@ -117,7 +117,7 @@ SELECT source, type, target FROM found WHERE source <> target""",
 keyed AS (SELECT celex, kind AS key_kind, CASE kind WHEN 'article' THEN CAST(ord AS VARCHAR) WHEN 'paragraph' THEN art || '.' || ord ELSE art || '.' || par || '.' || letter END AS key, id, seq FROM x WHERE kind IN ('article', 'paragraph', 'point')),
 last AS (SELECT celex, key_kind, key, max_by(id, seq) AS target FROM keyed GROUP BY celex, key_kind, key)
 SELECT * FROM last UNION ALL SELECT celex, 'some_point', art || '.' || letter, min_by(id, seq) FROM x WHERE kind = 'point' GROUP BY celex, art || '.' || letter""",
-    "mentioned_families": """WITH f AS (SELECT p_partkey, list_concat(['Article ' || p_size, 'Article ' || (p_size + 2), 'Annex I', 'Annex III'], list_concat(list_transform([0, 1, 2], lambda k: 'Article ' || (p_partkey + k)), ['Article 7'])) AS l FROM part)
+    "mentioned_families": """WITH f AS (SELECT p_partkey, list_concat(['Article ' || p_size, 'Article ' || (p_size + 2), 'Annex I', 'Annex III'], ['Article ' || p_partkey, 'Article ' || (p_partkey + 2), 'Article 7']) AS l FROM part)
 SELECT p_partkey, CAST(unnest(range(0, len(l))) AS INTEGER) AS place, unnest(l) AS family FROM f""",
     "guidance_references": """WITH t AS (SELECT p_partkey AS k, p_size AS n, (['2017/745', '2017/746', '2024/1689', NULL])[1 + p_partkey % 4] AS number FROM part)
 SELECT CAST(k AS VARCHAR) AS source, number, CASE k % 3 WHEN 0 THEN 'Article ' || n WHEN 1 THEN 'Annex IV' ELSE 'Regulation (EU) ' || number END AS ref_text, (['named', 'near', 'whole'])[1 + k % 3] AS how FROM t WHERE number IS NOT NULL""",

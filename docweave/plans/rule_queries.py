@@ -99,7 +99,7 @@ def expanded_ranges(spark, sf_dir):
 
 
 def folded_titles(spark, sf_dir):
-    doc = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("**A**–B ’ "), F.substring("text", 1, 40)).alias("t"))
+    doc = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("**A**–B ’ "), "text").alias("t"))
     return doc.select("item_id", text.folded(F.col("t")).alias("folded"))
 
 
@@ -121,5 +121,5 @@ WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])(shall|must)([^a-z0-9_]|$)') THE
     "reference_forms": f"""WITH {SQL} SELECT l_orderkey, l_linenumber, 'article' || l_suppkey || '(' || l_linenumber || ')(a)' AS ref_key, 'Article ' || l_suppkey AS family, 'Article ' || l_suppkey || '(' || l_linenumber || ')' AS human, '2017/745' AS act,
 'article_' || l_suppkey || '_' || l_linenumber || '_point_a' AS slug, 'Article ' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') || '(' || lpad(CAST(l_linenumber AS VARCHAR), 12, '0') || '), point (a)' AS "natural" FROM leaf""",
     "expanded_ranges": "SELECT p_partkey, CAST(unnest(CASE WHEN p_size % 2 = 0 THEN range(p_size, p_size + 4) ELSE [p_size, p_size + 2, p_size + 9] END) AS INTEGER) AS article FROM part",
-    "folded_titles": "SELECT item_id, trim(regexp_replace('a-b '' ' || lower(substr(text, 1, 40)), '\\s+', ' ', 'g')) AS folded FROM benchmark",
+    "folded_titles": """SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace('a b '' ' || lower(regexp_replace(text, '\\*\\*|__|\\*', '', 'g')), '[-‐‑‒–—―−]', ' ', 'g'), '[‘’‚‛`´ʼ]', '''', 'g'), '\\s+', ' ', 'g')) AS folded FROM benchmark""",
 }

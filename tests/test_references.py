@@ -66,8 +66,11 @@ def test_ranges_and_parse():
 
 
 def test_families_of_lists():
-    found = [f for f, _, _ in references.families_in("Articles 111/113, Annexes I and III, Articles 5 to 7 and Article 6(1)(f), not annex i")]
-    assert found == ["Article 111", "Article 113", "Annex I", "Annex III", "Article 5", "Article 6", "Article 7", "Article 6"]
+    found = [f for f, _, _ in references.families_in("Articles 111/113, Annexes I and III, Arts. 4a-4c, Articles 5 to 7 and Article 6(1)(f), Recitals 44 to 46")]
+    assert found == ["Article 111", "Article 113", "Annex I", "Annex III", "Article 4a", "Article 4c", "Article 5", "Article 7", "Article 6", "Recital 44", "Recital 46"]
+    assert references.families_in("articles of faith, annexed") == [] == references.families_in(None)
+    assert references.parent_chain("Article 5(1)(a)") == ["Article 5(1)", "Article 5"] and references.parent_chain("Annex I") == []
+    assert [references.base_family(x) for x in ("article 5A(1)", "ANNEX ix, point 3", "Recital 4", "Section 2")] == ["Article 5a", "Annex IX", "Recital 4", "Section 2"]
 
 
 NAMES = {"MDR": "2017/745", "IVDR": "2017/746", "AIA": "2024/1689"}
