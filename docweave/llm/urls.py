@@ -9,7 +9,8 @@ so without labels nothing is rejected.
 
 Only DataFrame functions are used. Pages are first counted by host and generalised path; the tree is grown on these
 counts, and its verdicts return to the pages by a salted join, so a hot host or path does not meet in one task.
-Segments beyond LEVELS are one last segment.
+Paths have as many levels as they have segments; below a node of fewer than
+COUNT pages every segment is rare, so what is left of a path is generalised at once, and one deep url adds no level.
 
 Defined results: a null url, or one without ://, has an empty host and path and its own template; a null page_id is
 kept; repeated rows are kept and judged alike; other columns stay.
@@ -17,13 +18,14 @@ kept; repeated rows are kept and judged alike; other columns stay.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm._frames import PREFIX, materialise, read
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-LEVELS = 8
 #: A segment stays a literal if it has this share of its node's pages, and this many.
 SHARE, COUNT = 0.02, 5
 #: Chi-square of two degrees of freedom at a chance of 0.001.
@@ -63,14 +65,11 @@ def general(path: Column) -> Column:
 
 def templates(counted: DataFrame) -> DataFrame:
     """counted: host, shape, n, blocked, allowed. Adds the template of each, with the template's purity."""
-    pieces = F.split(F.regexp_replace("shape", "^/", ""), "/")
-    tail = F.array_join(F.slice("pieces", LEVELS, F.greatest(F.size("pieces"), F.lit(1))), "/")
-    segments = F.when(F.size("pieces") > LEVELS, F.concat(F.slice("pieces", 1, LEVELS - 1), F.array(tail))).otherwise(F.col("pieces"))
-    rows = counted.withColumn("pieces", pieces).withColumn("pieces", segments).withColumn("template", F.lit(""))
-    depth = rows.agg(F.max(F.size("pieces"))).first()[0] or 0
-    for level in range(depth):
-        rows = rows.withColumn("segment", F.coalesce(F.get("pieces", F.lit(level)), F.lit("")))
-        live = rows.filter(F.size("pieces") > level)
+    rare = lambda segment: F.regexp_replace(segment, r"[^/{}.\-_]*[^/{}.\-_n0-9][^/{}.\-_]*", "*")
+    live = counted.withColumn("pieces", F.split(F.regexp_replace("shape", "^/", ""), "/")).withColumn("template", F.lit(""))
+    live, done, level = live.filter("pieces is not null"), [live.filter("pieces is null")], 0
+    while not live.isEmpty():
+        live = live.withColumn("segment", F.get("pieces", F.lit(level)))
         sums = [F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]
         child = live.groupBy("host", "template", "segment").agg(*sums)
         node = child.groupBy("host", "template").agg(*[F.sum(c).alias("all_" + c) for c in ("n", "blocked", "allowed")])
@@ -81,9 +80,15 @@ def templates(counted: DataFrame) -> DataFrame:
         part = F.col("n") / F.col("all_n")
         # Of the child against the rest of the node.
         chi = sum((F.when((whole > 0) & (part < 1), (own - whole * part) * (own - whole * part) / (whole * part * (1 - part))).otherwise(0.0) for own, whole in sets), F.lit(0.0))
-        named = F.when(~literal, F.regexp_replace("segment", r"[^/{}.\-_]*[^/{}.\-_n0-9][^/{}.\-_]*", "*")).when(chi < DIFFERENT, F.lit("+")).otherwise(F.concat(F.lit("="), F.col("segment")))
-        names = joined.select("host", "template", "segment", named.alias("named"))
-        rows = materialise(rows.join(names, ["host", "template", "segment"], "left").withColumn("template", F.when(F.size("pieces") > level, F.concat("template", F.lit("/"), F.coalesce("named", F.lit("")))).otherwise(F.col("template"))).drop("named", "segment"))
+        named = F.when(~literal, rare(F.col("segment"))).when(chi < DIFFERENT, F.lit("+")).otherwise(F.concat(F.lit("="), F.col("segment")))
+        names = joined.select("host", "template", "segment", named.alias("named"), (F.col("all_n") < COUNT).alias("small"))
+        rows = live.join(names, ["host", "template", "segment"])
+        left = F.transform(F.slice("pieces", F.lit(level + 1), F.size("pieces")), rare)
+        template = F.when(F.col("small"), F.concat("template", F.lit("/"), F.array_join(left, "/"))).otherwise(F.concat("template", F.lit("/"), "named"))
+        rows = materialise(rows.withColumn("template", template).withColumn("ended", F.col("small") | (F.size("pieces") <= level + 1)).drop("named", "segment", "small"))
+        done.append(rows.filter("ended").drop("ended"))
+        live, level = rows.filter("not ended").drop("ended"), level + 1
+    rows = reduce(DataFrame.unionByName, done)
     judged = rows.groupBy("host", "template").agg(F.sum("blocked").alias("all_blocked"), F.sum(F.col("blocked") + F.col("allowed")).alias("labelled"))
     purity = (F.col("all_blocked") + 1) / (F.col("labelled") + 2)
     return rows.join(judged, ["host", "template"]).select("host", "shape", "template", purity.alias("purity"))

@@ -25,8 +25,6 @@ def brute(all_urls):
         shape = re.sub(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{8,}(?![0-9A-Za-z])", "{hex}", path)
         shape = re.sub("[0-9]+", "{n}", shape)
         pieces = (shape[1:] if shape.startswith("/") else shape).split("/")
-        if len(pieces) > urls.LEVELS:
-            pieces = pieces[: urls.LEVELS - 1] + ["/".join(pieces[urls.LEVELS - 1 :])]
         rows.append({"host": host, "path": path, "rule": rule(host, path), "pieces": pieces, "template": ""})
     for level in range(max(len(r["pieces"]) for r in rows)):
         nodes = defaultdict(lambda: defaultdict(list))
@@ -84,3 +82,8 @@ def test_mixed_template_is_rejected_by_purity(spark):
 
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_deep_paths(spark):
+    deep = [f"http://s.example.com/de/a/b/c/d/e/f/g/h/i/{'x' if k % 2 else 'y'}/{k}" for k in range(40)] + [f"http://d.net/{'/'.join(['p'] * 12)}/{chr(97 + k)}" for k in range(4)]
+    check(spark, deep + EXTRA + ["http://one.net/" + "/".join(f"s{k}q" for k in range(60)), "http://one.net/" + "very" * 20_000])
