@@ -3,7 +3,8 @@
 A level is a monotone sequence in Elias-Fano form: of each value the low 24 bits in 3 bytes, the rest in unary in
 a bit vector. The first level holds 40-bit fingerprints of bigrams. In the second, a value is the bigram's rank and
 24 bits of the following word's fingerprint, so that the unary part is the monotone pointers from a bigram to its
-words, and a word is found by a successor search relative to its context only. Beside the levels lie one-byte codes
+words, and a word is found by a successor search relative to its context only: a directory of the zeros before each 32
+bytes leads to the place in the mapped bits where the context's words begin. Beside the levels lie one-byte codes
 of a codebook: the bigram's count, its backoff weight, and the word's discounted probability. All parts are in one
 file, which is mapped into memory and has no name any more.
 """
@@ -49,18 +50,50 @@ def codebook(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return back.astype(np.uint8), kinds.astype(np.float32)
 
 
-class Level:
-    """An encoded sequence, searched through the starts of its buckets of equal high part."""
+#: Bytes of a unary part whose zeros the directory counts together.
+BLOCK = 32
+_ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.uint8)
+#: The place of each zero of a byte, the first bit leading.
+_PLACE = np.array([([k for k in range(8) if not b >> (7 - k) & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
+
+
+def padded(bits: np.ndarray) -> np.ndarray:
+    """A unary part in whole blocks."""
+    return np.concatenate([bits, np.zeros(-len(bits) % BLOCK, np.uint8)]) if len(bits) % BLOCK else bits
 
-    def __init__(self, low: np.ndarray, bits: np.ndarray, buckets: int):
-        self.low = low
-        high = np.flatnonzero(np.unpackbits(bits))[: len(low)] - np.arange(len(low))
-        self.starts = np.zeros(buckets + 1, np.int64)
-        np.cumsum(np.bincount(high, minlength=buckets), out=self.starts[1:])
+
+class Level:
+    """An encoded sequence, searched in its own bits: a directory of zeros before each block finds a bucket of equal high part."""
+
+    def __init__(self, low: np.ndarray, bits: np.ndarray, buckets: int | None = None):
+        """buckets: how many high parts there can be; by default as many as the bits have."""
+        self.low, self.bits, self.buckets = low, padded(bits).reshape(-1, BLOCK), buckets
+        zeros = np.concatenate([_ZEROS[self.bits[a : a + 4096]].sum(axis=1, dtype=np.int64) for a in range(0, len(self.bits), 4096)]) if len(bits) else np.empty(0, np.int64)
+        self.before = np.concatenate(([0], np.cumsum(zeros)))
+
+    def begin(self, high: np.ndarray) -> np.ndarray:
+        """The place of the first value whose high part is not less: behind as many zeros as that, the ones count the values."""
+        out = np.full(len(high), len(self.low), np.int64)
+        out[high == 0] = 0
+        if self.buckets is not None and len(high) and high.max() > self.buckets:
+            raise ValueError("there is no such bucket")
+        for a in range(0, len(high), 1 << 15):
+            ask = a + np.flatnonzero((high[a : a + (1 << 15)] > 0) & (high[a : a + (1 << 15)] <= self.before[-1]))
+            zero = high[ask] - 1
+            block = np.searchsorted(self.before, zero, side="right") - 1
+            rest, rows = zero - self.before[block], self.bits[block]
+            upto = np.cumsum(_ZEROS[rows], axis=1, dtype=np.int64)
+            byte = (upto <= rest[:, None]).sum(axis=1)
+            at = np.arange(len(ask))
+            rest = rest - np.where(byte > 0, upto[at, np.maximum(byte - 1, 0)], 0)
+            out[ask] = np.minimum((block * BLOCK + byte) * 8 + _PLACE[rows[at, byte], rest] - zero, len(self.low))
+        return out
 
     def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         """The place of each value, or -1: successor search among those of its bucket."""
-        a, end = self.starts[high], self.starts[high + 1]
+        edges, back = np.unique(np.concatenate([high, high + 1]), return_inverse=True)
+        begins = self.begin(edges)[back]
+        a, end = begins[: len(high)], begins[len(high) :]
         b, low = end.copy(), low.astype(np.uint32)
         open_ = np.flatnonzero(a < b)
         while len(open_):
@@ -85,10 +118,10 @@ class Trie:
         count_codes, self.count_book = codebook(counts)
         backoff_codes, self.backoff_book = codebook(backoff)
         share_codes, self.share_book = codebook((word_counts - discount) / total[parents] if len(parents) else np.empty(0))
-        parts = [*encode(bigrams), *encode(parents.astype(np.uint64) << U(LOW) | words.astype(np.uint64)), count_codes, backoff_codes, share_codes]
+        (low, bits), (low_, bits_) = encode(bigrams), encode(parents.astype(np.uint64) << U(LOW) | words.astype(np.uint64))
+        parts = [low, padded(bits), low_, padded(bits_), count_codes, backoff_codes, share_codes]
         low, bits, low_, bits_, self.counts, self.backoffs, self.shares = _mapped(parts)
-        self.contexts = Level(low, bits, 1 << 16)
-        self.followers = Level(low_, bits_, max(1, len(bigrams)))
+        self.contexts, self.followers = Level(low, bits), Level(low_, bits_)
 
     def ask(self, bigrams: np.ndarray, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes plus 1 (0: unknown) of bigrams' counts and backoffs, and of followers (rank among bigrams asked for, word)."""
