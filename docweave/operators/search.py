@@ -10,7 +10,7 @@ from docweave.sources.corpus import first_by
 
 K1, B = 1.2, 0.75
 RRF_K, LEXICAL_WEIGHT = 60, 0.5
-#: Questions whose vectors are put into the plan itself; more have to be asked in several calls.
+#: Questions whose vectors are put into the plan at once; more are asked in several scans.
 MOST_QUESTIONS = 256
 
 
@@ -23,9 +23,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(vectors: DataFrame, questions: list[tuple[int, list[float]]]) -> DataFrame:
-    """question, id, cosine of every vector (id, embedding) for each question; one scan, without a join."""
+    """question, id, cosine of every vector (id, embedding) for each question; a scan for MOST_QUESTIONS of them, without a join."""
     if len(questions) > MOST_QUESTIONS:
-        raise ValueError(f"at most {MOST_QUESTIONS} questions at once")
+        return dense(vectors, questions[:MOST_QUESTIONS]).unionByName(dense(vectors, questions[MOST_QUESTIONS:]))
+    if not questions:
+        return vectors.select(F.lit(0).cast("long").alias("question"), "id", F.lit(0.0).alias("cosine")).limit(0)
     asked = F.array(*[F.struct(F.lit(int(q)).cast("long").alias("question"), F.array(*[F.lit(float(x)) for x in v]).alias("vector")) for q, v in questions])
     rows = vectors.select("id", "embedding", F.explode(asked).alias("q"))
     return rows.select("q.question", "id", cosine(F.col("embedding"), F.col("q.vector")).alias("cosine"))

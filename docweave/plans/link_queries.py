@@ -36,7 +36,7 @@ def catalogue_links(spark, sf_dir):
 
 
 def curated_targets(spark, sf_dir):
-    pathed = corpus.with_paths(corpus.nodes(spark, sf_dir).filter("depth <= 2"))
+    pathed = corpus.with_paths(corpus.nodes(spark, sf_dir).filter("depth <= 2"), corpus.LEVELS)
     node = pathed.join(tree.display_path(pathed), "id").select("id", "celex", "depth", F.when(F.col("kind") == "article", F.concat(F.lit("Article "), F.col("ord") % 200)).otherwise(F.col("display_ref")).alias("display_ref"))
     customer = table(spark, sf_dir, "customer")
     wanted = customer.select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("ARTICLE "), F.col("c_custkey"))).otherwise(F.concat(F.lit("C:"), F.col("c_custkey"))).alias("ref"), F.concat(F.lit("REG"), F.col("c_custkey") % 5).alias("celex")).distinct()
@@ -96,7 +96,7 @@ def phantom_guard(spark, sf_dir):
 
 def uncovered_citations(spark, sf_dir):
     """Points of returned lines that a customer's retrieved orders do not cover."""
-    pathed = corpus.with_paths(corpus.nodes(spark, sf_dir))
+    pathed = corpus.with_paths(corpus.nodes(spark, sf_dir), corpus.LEVELS)
     line = corpus.leaves(spark, sf_dir).filter("l_returnflag = 'R'").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     wanted = line.select(F.col("o_custkey").alias("case_id"), F.concat(F.lit("L:"), "l_orderkey", F.lit("."), "l_linenumber").alias("id"))
     found = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("case_id"), F.concat(F.lit("O:"), "o_orderkey").alias("id"))

@@ -25,7 +25,7 @@ def _provisions(spark, sf_dir):
     ]
     text = F.element_at(F.array(*forms), (F.col("l_partkey") % 6 + 1).cast("int"))
     texts = line.select(F.concat(F.lit("L:"), o, F.lit("."), n).alias("id"), text.alias("said"))
-    tree = corpus.with_paths(corpus.nodes(spark, sf_dir)).drop("text").join(texts, "id", "left")
+    tree = corpus.with_paths(corpus.nodes(spark, sf_dir), corpus.LEVELS).drop("text").join(texts, "id", "left")
     number = F.when(F.col("kind") == "point", F.chr(F.lit(96) + F.col("ord"))).otherwise(F.col("ord").cast("string"))
     return cut(tree.select("celex", F.col("key").alias("seq"), "id", "kind", number.alias("number"), "parent_id", "path", F.col("said").alias("text")))
 

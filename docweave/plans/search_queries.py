@@ -1,4 +1,4 @@
-"""Search, fusion, ranking and confidence queries, with their SQL. Question 0 is vector 0 and the first words of item 0."""
+"""Search, fusion, ranking and confidence queries, with their SQL. Question q, a multiple of 50, is vector q and the whole text of item q / 50."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from docweave.operators import search
 from docweave.sources.corpus import first_by, table
 
-QUESTIONS = (0, 1, 2)
+#: Questions are the vectors whose id is a multiple of this, of which there is an item.
+EACH = 50
 K = 20
 
 
@@ -15,14 +16,15 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _asked(vectors):
-    return [(r.id, list(r.embedding)) for r in vectors.filter(F.col("id").isin(*QUESTIONS)).collect()]
+def _texts(spark, sf_dir):
+    """The whole texts of the questions."""
+    item = table(spark, sf_dir, "benchmark").select((F.col("item_id") * EACH).alias("question"), "text")
+    return item.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question")), "question", "left_semi")
 
 
-def _texts(spark, sf_dir):
-    """The first five words of the benchmark items of the questions."""
-    item = table(spark, sf_dir, "benchmark").filter(F.col("item_id").isin(*QUESTIONS))
-    return item.select(F.col("item_id").alias("question"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("text"))
+def _asked(spark, sf_dir, vectors):
+    """The questions' vectors: at most as many as there are items."""
+    return [(r.id, list(r.embedding)) for r in vectors.join(_texts(spark, sf_dir).select(F.col("question").alias("id")), "id", "left_semi").select("id", "embedding").orderBy("id").collect()]
 
 
 def _documents(spark, sf_dir):
@@ -31,7 +33,7 @@ def _documents(spark, sf_dir):
 
 def dense_top_k(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    scored = search.dense(vectors, _asked(vectors)).withColumn("cosine", F.round("cosine", 6))
+    scored = search.dense(vectors, _asked(spark, sf_dir, vectors)).withColumn("cosine", F.round("cosine", 6))
     return first_by(scored, ["question"], [F.desc("cosine"), "id"], K)
 
 
@@ -42,7 +44,7 @@ def bm25_top_k(spark, sf_dir):
 
 def _fused(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    near = search.ranks(search.dense(vectors, _asked(vectors)).withColumn("cosine", F.round("cosine", 6)), "cosine")
+    near = search.ranks(search.dense(vectors, _asked(spark, sf_dir, vectors)).withColumn("cosine", F.round("cosine", 6)), "cosine")
     words = search.ranks(search.bm25(_documents(spark, sf_dir), _texts(spark, sf_dir)).withColumn("score", F.round("score", 6)), "score", 8 * K)
     return search.reciprocal_rank_fusion(near, words), vectors
 
@@ -64,7 +66,7 @@ def hybrid_retrieve(spark, sf_dir):
 def rerank_by_label(spark, sf_dir):
     """Blend of a scorer and the cosine, scaled within question and label."""
     vectors = _vectors(spark, sf_dir)
-    scored = search.dense(vectors, _asked(vectors)).join(vectors.select("id", "label"), "id").join(_documents(spark, sf_dir), "id")
+    scored = search.dense(vectors, _asked(spark, sf_dir, vectors)).join(vectors.select("id", "label"), "id").join(_documents(spark, sf_dir), "id")
     asked = _texts(spark, sf_dir).withColumnRenamed("text", "asked")
     scored = scored.join(asked, "question").select("question", "label", "id", F.col("cosine"), search.overlap(F.col("asked"), F.col("text")).alias("strong"))
     return search.blend(scored, ["question", "label"], "strong", "cosine").select("question", "label", "id", F.round("blended", 6).alias("blended"))
@@ -73,7 +75,7 @@ def rerank_by_label(spark, sf_dir):
 def confidence(spark, sf_dir):
     """Mean of the three best cosines of each question, neutral 0.75 without any, with a level."""
     vectors = _vectors(spark, sf_dir)
-    best = first_by(search.dense(vectors, _asked(vectors)).filter("id <> question"), ["question"], [F.desc("cosine"), "id"], 3)
+    best = first_by(search.dense(vectors, _asked(spark, sf_dir, vectors)).filter("id <> question"), ["question"], [F.desc("cosine"), "id"], 3)
     mean = best.groupBy("question").agg(F.avg("cosine").alias("mean"))
     score = F.coalesce("mean", F.lit(0.75))
     level = F.when(score >= 0.85, "HIGH").when(score >= 0.65, "MEDIUM").when(score >= 0.4, "LOW").otherwise("VERY_LOW")
@@ -89,10 +91,10 @@ def members_by_community(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (dense_top_k, bm25_top_k, rank_fusion, hybrid_retrieve, rerank_by_label, confidence, members_by_community)}
 
 _BASE = """
-asked AS (SELECT vec_id AS question, embedding AS q FROM embeddings WHERE vec_id IN (0, 1, 2)),
+texts AS (SELECT item_id * 50 AS question, text AS asked_text FROM benchmark WHERE item_id * 50 IN (SELECT vec_id FROM embeddings)),
+asked AS (SELECT vec_id AS question, embedding AS q FROM embeddings WHERE vec_id IN (SELECT question FROM texts)),
 near AS (SELECT question, vec_id AS id, label, round(list_sum(list_transform(list_zip(embedding, q), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
   / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS cosine FROM embeddings, asked),
-texts AS (SELECT item_id AS question, array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') AS asked_text FROM benchmark WHERE item_id IN (0, 1, 2)),
 wanted AS (SELECT DISTINCT question, unnest(regexp_extract_all(lower(asked_text), '[a-z0-9]+')) AS term FROM texts),
 words AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 size AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),

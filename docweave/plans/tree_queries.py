@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docweave.functions.storage import cut
 from docweave.operators import graph, tree
 from docweave.sources import corpus
 from docweave.sources.corpus import SQL
@@ -12,7 +13,7 @@ KINDS = {"R": "document", "N": "chapter", "C": "article", "O": "paragraph", "L":
 
 
 def _pathed(spark, sf_dir):
-    return corpus.with_paths(corpus.nodes(spark, sf_dir))
+    return corpus.with_paths(cut(corpus.nodes(spark, sf_dir)), corpus.LEVELS)
 
 
 def tree_closure(spark, sf_dir):
@@ -20,7 +21,7 @@ def tree_closure(spark, sf_dir):
 
 
 def tree_subtree(spark, sf_dir):
-    pathed = _pathed(spark, sf_dir)
+    pathed = cut(_pathed(spark, sf_dir))
     return tree.subtree(pathed, pathed.filter("kind = 'chapter'"), 6)
 
 
@@ -29,30 +30,36 @@ def tree_anchor(spark, sf_dir):
 
 
 def tree_flatten(spark, sf_dir):
-    flat = tree.flatten(_pathed(spark, sf_dir), "article")
+    flat = tree.flatten(cut(_pathed(spark, sf_dir)), "article")
     return flat.select("id", tree.cap_text(F.col("text"), 3000).alias("text"), F.length("text").alias("full_length"))
 
 
 def tree_context(spark, sf_dir):
-    found = tree.context_prefix(_pathed(spark, sf_dir))
+    found = tree.context_prefix(cut(_pathed(spark, sf_dir)))
     return found.select("id", "text", tree.strip_context(F.col("text")).alias("body"))
 
 
 def tree_display(spark, sf_dir):
-    return tree.display_path(_pathed(spark, sf_dir))
+    return tree.display_path(cut(_pathed(spark, sf_dir)))
 
 
 def graph_upsert_edges(spark, sf_dir):
     """Edges of known types whose both ends exist, once for each pair."""
-    node = corpus.nodes(spark, sf_dir).select("id")
-    edge = corpus.edges(spark, sf_dir).filter(F.col("type").isin("CITES", "AMENDS", "HAS_PART"))
-    kept = edge.join(node.withColumnRenamed("id", "src"), "src", "left_semi").join(node.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    node = cut(corpus.nodes(spark, sf_dir).select("id", "parent_id"))
+    edge = corpus.edges(spark, sf_dir, node).filter(F.col("type").isin("CITES", "AMENDS", "HAS_PART"))
+    kept = edge.join(node.select(F.col("id").alias("src")), "src", "left_semi").join(node.select(F.col("id").alias("dst")), "dst", "left_semi")
     return kept.groupBy("src", "type", "dst").agg(F.min("ref_text").alias("ref_text"))
 
 
 def _graph(spark, sf_dir):
-    node, edge = corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir)
-    return node, edge, tree.closure(corpus.with_paths(node))
+    """Nodes, edges and closure, each written once: the reads below use them several times."""
+    node = cut(corpus.nodes(spark, sf_dir))
+    return node, cut(corpus.edges(spark, sf_dir, node)), cut(tree.closure(corpus.with_paths(node, corpus.LEVELS)))
+
+
+def _node_edge(spark, sf_dir):
+    node = cut(corpus.nodes(spark, sf_dir))
+    return node, cut(corpus.edges(spark, sf_dir, node))
 
 
 def graph_expand(spark, sf_dir):
@@ -76,19 +83,19 @@ def graph_amendments(spark, sf_dir):
 
 
 def graph_roles(spark, sf_dir):
-    node, edge, _ = _graph(spark, sf_dir)
+    node, edge = _node_edge(spark, sf_dir)
     roles = edge.filter("type = 'OBLIGATION_OF'").select(F.col("dst").alias("role")).distinct()
     related = roles.select(F.col("role").alias("src"), F.concat(F.lit("ROLE:"), (F.substring_index("role", ":", -1).cast("int") * 3 + 1) % 25).alias("dst"))
     return graph.role_obligations(roles, related, node, edge)
 
 
 def graph_chain(spark, sf_dir):
-    node, edge, _ = _graph(spark, sf_dir)
+    node, edge = _node_edge(spark, sf_dir)
     return graph.chain(node.filter("kind = 'article'"), edge, ("TRIGGERS",), 2)
 
 
 def graph_drilldown(spark, sf_dir):
-    node, edge, _ = _graph(spark, sf_dir)
+    node, edge = _node_edge(spark, sf_dir)
     return graph.drilldown(edge.filter("type = 'CITES'").select(F.col("dst").alias("id")), node)
 
 

@@ -48,10 +48,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, type, dst, ref_text (null for parts of a whole)."""
+def edges(spark: SparkSession, sf_dir: str, node: DataFrame | None = None) -> DataFrame:
+    """src, type, dst, ref_text (null for parts of a whole). node: the nodes, if they are there already."""
     none = F.lit(None).cast("string")
-    has_part = nodes(spark, sf_dir).filter("parent_id is not null").select(F.col("parent_id").alias("src"), F.lit("HAS_PART").alias("type"), F.col("id").alias("dst"), none.alias("ref_text"))
+    has_part = (nodes(spark, sf_dir) if node is None else node).filter("parent_id is not null").select(F.col("parent_id").alias("src"), F.lit("HAS_PART").alias("type"), F.col("id").alias("dst"), none.alias("ref_text"))
     leaf = leaves(spark, sf_dir)
     cites = leaf.select(F.concat(F.lit("L:"), "l_orderkey", F.lit("."), "l_linenumber").alias("src"), F.lit("CITES").alias("type"), F.concat(F.lit("C:"), "l_suppkey").alias("dst"), F.concat(F.lit("Article "), "l_suppkey").alias("ref_text"))
     part = table(spark, sf_dir, "part")
@@ -67,11 +67,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def with_paths(node: DataFrame, levels: int = 6) -> DataFrame:
+#: Levels of the tree above: documents to points.
+LEVELS = 5
+
+
+def with_paths(node: DataFrame, levels: int | None = None) -> DataFrame:
     """Adds path (ids from the root to the node itself) and key (their places, padded, so that text order is pre-order).
 
-    One join for each level of the tree, on ids; a level's parents are those of the level before.
+    One join for each level of the tree, on ids; a level's parents are those of the level before. levels: how many the tree
+    has, counted if not given; nodes whose parents are missing, or whose depth is not theirs plus one, are left out.
     """
+    if levels is None:
+        levels = 1 + (node.agg(F.max("depth")).first()[0] or 0)
     place = F.lpad(F.col("ord").cast("string"), 10, "0")
     level = node.filter("parent_id is null").withColumn("path", F.array("id")).withColumn("key", place)
     out = level
