@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests) a folder of our own."""
+    """spark.checkpoint.dir of the session; only where it is unset, in local mode (tests), a folder of our own.
+
+    A cluster without it is refused: each machine would write to its own disk.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     conf = context.getConf().get("spark.checkpoint.dir", None)
     if conf is None and current.isDefined():
         return current.get()
+    if conf is None and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
     folder = conf or f"file://{os.path.join(tempfile.gettempdir(), 'docweave-' + uuid.uuid4().hex)}"
     if not current.isDefined():
         context.setCheckpointDir(folder)
@@ -26,3 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows in reliable storage, without their lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours, wherever it is; one that is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

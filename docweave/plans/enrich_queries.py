@@ -52,7 +52,7 @@ def unanchored_acts(spark, sf_dir):
 
 def composite_confidence(spark, sf_dir):
     line = corpus.leaves(spark, sf_dir)
-    score, level = enrich.composite({"similarity": F.col("l_suppkey") % 11 / 10, "coverage": F.col("l_partkey") % 5 / 4, "checks": F.lit(0.5), "force": F.when(F.col("l_returnflag") == "N", 0.7).otherwise(1.0), "role": F.col("l_linenumber") / 7})
+    score, level = enrich.composite({"coverage": F.col("l_suppkey") % 11 / 10, "relevance": F.col("l_partkey") % 5 / 4, "faithfulness": F.lit(0.5), "completeness": F.when(F.col("l_returnflag") == "N", 0.7).otherwise(1.0), "force": F.col("l_linenumber") / 7})
     return line.select("l_orderkey", "l_linenumber", score.alias("score"), level.alias("level"))
 
 
@@ -79,7 +79,7 @@ each AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, targe
 SELECT case_id, CAST(rank AS INTEGER) AS rank, target AS id FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY inside, pos, place, target) AS rank FROM each) WHERE rank <= 3""",
     "unanchored_acts": f"WITH {SQL} SELECT l_orderkey AS case_id, 'REG' || (l_suppkey % 3) AS celex FROM leaf GROUP BY 1, 2 HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 0 AND count(*) FILTER (WHERE l_returnflag = 'A') = 0",
     "composite_confidence": f"""WITH {SQL}, s AS (SELECT l_orderkey, l_linenumber, round(0.35 * ((l_suppkey % 11) / 10.0) + 0.2 * ((l_partkey % 5) / 4.0) + 0.2 * 0.5 + 0.1 * CASE WHEN l_returnflag = 'N' THEN 0.7 ELSE 1.0 END + 0.15 * (CAST(l_linenumber AS DOUBLE) / 7), 3) AS score FROM leaf)
-SELECT l_orderkey, l_linenumber, score, CASE WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.65 THEN 'MEDIUM' WHEN score >= 0.4 THEN 'LOW' ELSE 'VERY_LOW' END AS level FROM s""",
+SELECT l_orderkey, l_linenumber, score, CASE WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.65 THEN 'MEDIUM' WHEN score >= 0.4 THEN 'LOW' ELSE 'CRITICAL' END AS level FROM s""",
     "community_samples": f"""WITH {SQL}, m AS (SELECT celex || '-' || (ord % 9) AS community, depth, id, '[' || kind || ' ' || ord || '] ' || text AS line FROM node WHERE kind IN ('article', 'paragraph')),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY depth, id) AS r FROM m) WHERE r <= 5)
 SELECT community, string_agg(line, chr(10) ORDER BY r) AS text FROM k GROUP BY community""",

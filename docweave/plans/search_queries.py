@@ -78,7 +78,7 @@ def confidence(spark, sf_dir):
     best = first_by(search.dense(vectors, _asked(spark, sf_dir, vectors)).filter("id <> question"), ["question"], [F.desc("cosine"), "id"], 3)
     mean = best.groupBy("question").agg(F.avg("cosine").alias("mean"))
     score = F.coalesce("mean", F.lit(0.75))
-    level = F.when(score >= 0.85, "HIGH").when(score >= 0.65, "MEDIUM").when(score >= 0.4, "LOW").otherwise("VERY_LOW")
+    level = F.when(score >= 0.85, "HIGH").when(score >= 0.65, "MEDIUM").when(score >= 0.4, "LOW").otherwise("CRITICAL")
     return _texts(spark, sf_dir).select("question").join(mean, "question", "left").select("question", F.round(score, 3).alias("score"), level.alias("level"))
 
 
@@ -128,6 +128,6 @@ exact AS (SELECT question, vec_id AS id, list_sum(list_transform(list_zip(embedd
   / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS cosine FROM embeddings, asked WHERE vec_id <> question),
 mean AS (SELECT question, avg(cosine) AS m FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY cosine DESC, id) AS r FROM exact) WHERE r <= 3 GROUP BY question),
 s AS (SELECT question, coalesce(m, 0.75) AS m FROM texts LEFT JOIN mean USING (question))
-SELECT question, round(m, 3) AS score, CASE WHEN m >= 0.85 THEN 'HIGH' WHEN m >= 0.65 THEN 'MEDIUM' WHEN m >= 0.4 THEN 'LOW' ELSE 'VERY_LOW' END AS level FROM s""",
+SELECT question, round(m, 3) AS score, CASE WHEN m >= 0.85 THEN 'HIGH' WHEN m >= 0.65 THEN 'MEDIUM' WHEN m >= 0.4 THEN 'LOW' ELSE 'CRITICAL' END AS level FROM s""",
     "members_by_community": "SELECT label, CAST(rank AS INTEGER) AS rank, id FROM (SELECT label, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings WHERE label IN (1, 3, 5)) WHERE rank <= 6",
 }

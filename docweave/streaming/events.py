@@ -25,26 +25,46 @@ def windowed(log: DataFrame) -> DataFrame:
 
 
 def run_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows of what is there now. The sink holds as many rows as there are windows and types."""
-    name = f"windows_{uuid.uuid4().hex}"
-    query = windowed(read_log(spark, sf_dir)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    """All windows of what is there now, in files: each batch writes all windows as its version, the last counts."""
+    folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+
+    query = windowed(read_log(spark, sf_dir)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/rows/{versions(spark, f'{folder}/rows')[-1]}")
 
 
-def latest_state(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
-    """Each key's last event, kept in files: every batch is merged with the state before it and written as a new version."""
-    folder = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
-    current: dict[str, str | None] = {"path": None}
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the batches that folder has a finished version of, in order; it may not be there yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [(s.getPath().getName(), s.getPath()) for s in files.listStatus(path)]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(name) for name, at in found if name.isdigit() and files.exists(done(at, "_SUCCESS")))
+
+
+def keep_latest(log: DataFrame, folder: str, key: str) -> DataFrame:
+    """Each key's last event of a stream (key, ts, event_id, event_type, value), kept in folder: a batch is merged with the last version before it.
+
+    Versions are found by their numbers, so a run that starts again after a failure goes on from the state that its log of
+    batches says it has, and a batch that is done twice gives the same version.
+    """
+    spark = log.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if current["path"] is None else batch.unionByName(batch.sparkSession.read.parquet(current["path"]))
+        before = [n for n in versions(batch.sparkSession, f"{folder}/state") if n < number]
+        rows = batch if not before else batch.unionByName(batch.sparkSession.read.parquet(f"{folder}/state/{before[-1]}"))
         last = rows.groupBy(key).agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("x")).select(key, "x.*")
-        path = f"{folder}/{number}"
-        last.write.mode("overwrite").parquet(path)
-        current["path"] = path
+        last.write.mode("overwrite").parquet(f"{folder}/state/{number}")
 
-    log = read_log(spark, sf_dir).select(key, "ts", "event_id", "event_type", "value")
-    query = log.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(current["path"])
+    log.select(key, "ts", "event_id", "event_type", "value").writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/state/{versions(spark, f'{folder}/state')[-1]}")
+
+
+def latest_state(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
+    """Each key's last event of what is there now."""
+    return keep_latest(read_log(spark, sf_dir), f"{shared_dir(spark)}/state-{uuid.uuid4().hex}", key)
