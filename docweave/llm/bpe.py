@@ -14,6 +14,7 @@ null id is an error; other columns are kept as they are, one of the name of an a
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -101,24 +102,32 @@ def _lists(flat: array, offsets: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.empty(0, np.int32)))
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """df with the text replaced by its token ids (array<int>)."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, digest: str | None = None) -> DataFrame:
+    """df with the text replaced by its token ids (array<int>).
+
+    digest: a column for the SHA-256 of the bytes that the ids decode to, made in the same pass, so that a task needs no second worker.
+    """
     path = ranks_path or default_ranks_path()
     if not 4 * AHEAD <= overlap_chars < chunk_chars:
         raise ValueError("the overlap has to be shorter than a chunk")
-    others = [c for c in df.columns if c not in (text, ids)]
+    others = [c for c in df.columns if c not in (text, ids, digest)]
     body = F.coalesce(F.col(text), F.lit(""))
-    added = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(digest, T.StringType(), False)] if digest else [])
 
     def whole(batch: pa.RecordBatch, c: Codec) -> list[pa.Array]:
-        flat, offsets = array("i"), [0]
+        flat, offsets, digests = array("i"), [0], []
         for value in batch.column(text):
             flat.extend(c.encode(value.as_py() or ""))
+            if digest:
+                digests.append(hashlib.sha256(b"".join(map(c.vocabulary.__getitem__, flat[offsets[-1] :]))).hexdigest())
             offsets.append(len(flat))
-        return [_lists(flat, offsets)]
+        return [_lists(flat, offsets)] + ([pa.array(digests, pa.string())] if digest else [])
 
-    short = append_columns(df.filter(F.length(body) <= chunk_chars), added, whole, others, lambda: Codec(path))
-    return short.unionByName(_encode_long(df.filter(F.length(body) > chunk_chars), text, ids, path, chunk_chars, overlap_chars))
+    short = append_columns(df.filter(F.length(body) <= chunk_chars), T.StructType(fields), whole, others, lambda: Codec(path))
+    long = _encode_long(df.filter(F.length(body) > chunk_chars).drop(*([digest] if digest else [])), text, ids, path, chunk_chars, overlap_chars)
+    if digest:
+        long = decode(long, ids, PREFIX + "bytes", path).withColumn(digest, F.sha2(PREFIX + "bytes", 256)).drop(PREFIX + "bytes")
+    return short.unionByName(long)
 
 
 def _encode_long(df: DataFrame, text: str, ids: str, path: str, size: int, overlap: int) -> DataFrame:
@@ -226,5 +235,5 @@ def ids_digest(ids: Column) -> Column:
 
 
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return decode(encoded).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    encoded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), digest="decoded_sha256")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), "decoded_sha256")

@@ -245,31 +245,30 @@ def drop_duplicates(docs: DataFrame, percent: int = CORPUS_PERCENT) -> DataFrame
     place, flag, rest = "__dw_place", "__dw_flag", "__dw_row"
 
     def mark(batch: pa.RecordBatch) -> list[pa.Array]:
+        """Whether the id is in the bit set, and of those rows size and hashes of the set."""
         at = batch.column(place).fill_null(0).to_numpy(zero_copy_only=False)
-        return [pa.array((np.frombuffer(wanted.value, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))]
-
-    def keys(batch: pa.RecordBatch) -> list[pa.Array]:
+        known = batch.column(place).is_valid().to_numpy(zero_copy_only=False)
+        chosen = known & (np.frombuffer(wanted.value, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+        rows = np.flatnonzero(chosen)
         n, one, two = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
-        column = batch.column("text")
+        column = batch.column("text").take(pa.array(rows))
         for a, b in slices(column, SLICE_BYTES):
             flat, begins = shingle_sets(column.slice(a, b - a))
-            n[a:b] = np.diff(begins)
-            one[a:b], two[a:b] = _set_hashes(flat, begins)
-        return [pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
-
-    long = F.col("doc_id").cast("long")
-    placed = docs.withColumn(place, F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(long), F.lit(bits))))
-    marked = append_columns(placed, T.StructType([T.StructField(flag, T.BooleanType())]), mark)
-    unsure = F.col(flag) & F.col("doc_id").isNotNull()
-    some = marked.filter(unsure).select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias(rest))
-    keyed = append_columns(some, T.StructType([T.StructField(c, T.LongType()) for c in ("n", "one", "two")]), keys, ["doc_id", rest])
+            n[rows[a:b]] = np.diff(begins)
+            one[rows[a:b]], two[rows[a:b]] = _set_hashes(flat, begins)
+        return [pa.array(chosen), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+
+    placed = docs.select(F.struct(*docs.columns).alias(rest), F.col("text"), F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))).alias(place))
+    added = T.StructType([T.StructField(flag, T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n", "one", "two")]])
+    marked = append_columns(placed, added, mark, [rest])
+    keyed = marked.filter(flag).withColumn("doc_id", F.col(f"{rest}.doc_id"))
     # Equal rows, and rows of one id and set, are reduced before they are shuffled; a wordless text is alike to its equals only.
     same = F.when(F.col("n") == 0, F.xxhash64(F.to_json(rest))).alias("same")
     order = F.struct("one", "two", F.xxhash64(F.to_json(rest)), F.col(f"{rest}.text"))
     sets = keyed.groupBy("doc_id", "one", "two", same).agg(F.min_by(rest, order).alias(rest))
     left = sets.join(known, ["doc_id", "one", "two"], "left").filter(F.coalesce(F.col("kept"), F.lit(True)))
     one_each = left.groupBy("doc_id", "group", "same").agg(F.min_by(rest, order).alias(rest))
-    return marked.filter(~unsure).select(docs.columns).unionByName(one_each.select(f"{rest}.*"))
+    return marked.filter(~F.col(flag)).select(f"{rest}.*").unionByName(one_each.select(f"{rest}.*"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
