@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import bpe, minhash, mixing, pii, toxicity
-from docweave.llm._frames import held_out, read, shared_dir
+from docweave.functions.storage import remove, shared_dir
+from docweave.llm._frames import held_out, read
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +51,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row stays; columns of the names that are added (ids, n_tokens, decoded_sha256) are replaced.
     """
-    decoded = bpe.decode(bpe.encode(docs))
-    return decoded.select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")], F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, digest="decoded_sha256")
+    return encoded.select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")], F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
@@ -74,4 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")  # nothing reads it any more
     return docs
