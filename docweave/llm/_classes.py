@@ -32,7 +32,7 @@ def bounded_ids(rows: DataFrame, label: str, per_class: int) -> DataFrame:
 
 
 def _limits(rows: DataFrame, label: str, per_class: int) -> Column:
-    """For each label the place below which twice per_class rows are expected."""
+    """For each label the place below which twice per_class rows are expected. Labels are few: their counts come to the driver."""
     counts = rows.groupBy(label).count().collect()
     limits = [x for r in sorted(counts, key=lambda r: r[0]) for x in (F.lit(r[0]), F.lit(min(2**63 - 1, (2**63 - 1) // r[1] * 2 * per_class)))]
     return F.create_map(*limits)[F.col(label)] if limits else F.lit(-1)

@@ -8,7 +8,9 @@ boundary (one pre-token longer than the overlap) the two chunks are joined and e
 Decoding concatenates the bytes of the ids.
 
 Defined results: a null or empty text has no ids; equal rows are encoded alike and all kept; an unknown or
-null id is an error; other columns are kept as they are, one of the name of an added column is replaced.
+null id is an error; other columns are kept as they are, one of the name of an added column is replaced. Long texts
+are numbered as they are read, so the input has to come in the same order when a lost task is done again, as files do;
+write the result of a shuffle before.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Words are 64-bit hashes (exact but for about one chance in 10**5 that any two of
 taken for a seen one with a chance of T / 16 million.
 
 Defined results: a null or empty text is one token, its end; equal rows are scored alike and all count in training;
-a null doc_id hashes as no characters; without training rows each token has the base chance of 1 and score 0.
+a null doc_id hashes as no characters; without training rows each token has the base chance of 1 and score 0; other
+columns are left out.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ partitioning. Documents are exploded by their count and shuffled globally: dealt
 seed, doc_id and copy.
 
 A hot source never meets in one task: counts are summed before they are shuffled, and rates come to the rows by
-broadcast while there are at most MOST_BROADCAST sources, else by a join on source and SALTS salts.
+broadcast while there are at most MOST_BROADCAST sources and their distributions take at most BROADCAST_BYTES, else by a
+join on source and SALTS salts.
 
 Defined results: a null source is a source; a null doc_id hashes as no id; rows that repeat a doc_id get the same
 count; sources without a target weight, or of weight 0, are left out; other columns stay; without rows no rows.
@@ -22,7 +23,7 @@ from docweave.llm._frames import PREFIX, read
 SEED = 20_240_601
 #: Without given weights a source's weight is its number of rows to this power.
 TEMPER = 0.5
-MOST_BROADCAST = 10_000
+MOST_BROADCAST, BROADCAST_BYTES = 10_000, 64 << 20
 SALTS = 32
 
 
@@ -67,7 +68,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temper:
     source, cdf, salt, number = (PREFIX + x for x in ("source", "cdf", "salt", "copy"))
     known = rates(docs, weights, temper, size).select(F.col("source").alias(source), _distribution(F.col("rate")).alias(cdf))
     same = F.col("source").eqNullSafe(F.col(source))
-    if known.count() <= MOST_BROADCAST:
+    sources, numbers = known.agg(F.count("*"), F.coalesce(F.sum(F.size(cdf)), F.lit(0))).first()
+    if sources <= MOST_BROADCAST and 8 * numbers <= BROADCAST_BYTES:
         placed = docs.join(F.broadcast(known), same)
     else:
         salted = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
