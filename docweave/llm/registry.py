@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.llm.asof import OP13_SQL, op13_tolerant_as_of
 from docweave.llm.bpe import op3_byte_level_bpe
 from docweave.llm.covertree import OP5_SQL, op5_exact_top_k
 from docweave.llm.hnsw import op9_hnsw
 from docweave.llm.language import op10_language_id
+from docweave.llm.lines import OP11_SQL, op11_line_rules
 from docweave.llm.lm import op1_ef_trie_lm
 from docweave.llm.minhash import op7_minhash_near_dedup
 from docweave.llm.mixing import OP8_SQL, op8_mixing
+from docweave.llm.negatives import OP12_SQL, op12_hard_negatives
 from docweave.llm.pii import op2_pii
 from docweave.llm.toxicity import op6_toxicity
 from docweave.llm.urls import op4_url_filter
@@ -28,9 +31,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_hnsw": op9_hnsw,
     "op10_language_id": op10_language_id,
+    "op11_line_rules": op11_line_rules,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_tolerant_as_of": op13_tolerant_as_of,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
     "op8_mixing": OP8_SQL,
+    "op11_line_rules": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_tolerant_as_of": OP13_SQL,
 }
