@@ -6,20 +6,26 @@ log-likelihoods, over all of it and over each window of a few words, and a logis
 rows that the models have not seen turns these into a score.
 
 At most ROWS_PER_CLASS labelled rows of each class, and SAMPLE_BYTES of their texts, are learnt from (documented
-bounds); everything else covers all rows.
+bounds); everything else covers all rows. A FOLDS-th of each class calibrates, and the models learn from the rest. Where a class has too few
+rows for that (under FEW), the models that calibrate are fitted anew for each fold, so that every row is measured by models that have not
+seen it, and those that score learn from all rows.
 
 Defined results: a null or empty text is scored as no words; a null label, a null id in the labels and labels of
 unknown documents teach nothing; an id with several labels counts as toxic if one of them is 1; where only one
-class is labelled all scores are its share (0 or 1), and without any labels 0. Repeated rows are all kept.
+class is labelled all scores are its share (0 or 1), and without any labels, or labelled texts of one class only, its share of the labels;
+one labelled row of a class is enough to score. Repeated rows are all kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docweave.llm._charkn import CharKN, score_words
 from docweave.llm._classes import SLICE_BYTES, bounded_ids, bounded_sample, fit
@@ -31,6 +37,8 @@ ORDER, SHARED = 5, 2
 WINDOW_WORDS = 16
 THRESHOLD = 0.3
 FEATURES = 4
+FOLDS, FEW = 4, 8
+
 
 def features(model: CharKN, column: pa.Array) -> np.ndarray:
     """Of each text: log-likelihood ratio a byte, of the worst window a word, of words clearly toxic, of the worst word."""
@@ -75,36 +83,44 @@ def score(docs: DataFrame, labels: DataFrame, eligible=None, rows_per_class: int
         known = known.filter(eligible)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).filter(F.col("label").isin(0, 1))
     shares = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    share = shares.get(1, 0) / max(1, sum(shares.values()))
     field = T.StructType([T.StructField(out, T.DoubleType(), False)])
+    same = lambda batch: [pa.array(np.full(batch.num_rows, share))]
     if len(shares) < 2:
-        return append_columns(docs, field, lambda batch: [pa.array(np.full(batch.num_rows, float(next(iter(shares), 0))))], keep)
+        return append_columns(docs, field, same, keep)
     # About four times rows_per_class ids are expected, so they are broadcast; their rows are bounded again, as an id may have many.
     chosen = docs.select("doc_id", "text").join(F.broadcast(bounded_ids(known, "label", rows_per_class)), "doc_id")
-    sample = materialise(bounded_sample(materialise(chosen.filter("text is not null").distinct()), "label", rows_per_class).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0))
-    blob = fit(sample.filter(~F.col("fold")).select("text", "label"), 2, ORDER, SHARED)
-    if blob is None:
-        return append_columns(docs, field, lambda batch: [pa.array(np.zeros(batch.num_rows))], keep)
-    model = spark.sparkContext.broadcast(blob)
+    drawn = bounded_sample(materialise(chosen.filter("text is not null").distinct()), "label", rows_per_class)
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit("fold"), "doc_id", "text"), "doc_id"))
+    sample = materialise(drawn.withColumn("fold", place % FOLDS))
+    sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        return append_columns(docs, field, same, keep)
     names = [f"{PREFIX}f{k}" for k in range(FEATURES)]
 
-    load = lambda: CharKN.load(model.value)
+    def learnt(rows: DataFrame) -> Broadcast:
+        return spark.sparkContext.broadcast(fit(rows.select("text", "label"), 2, ORDER, SHARED))
 
-    def measure(batch: pa.RecordBatch, kn: CharKN) -> list[pa.Array]:
-        return list(map(pa.array, features(kn, batch.column("text")).T.copy()))
+    def measured(rows: DataFrame, model: Broadcast) -> pd.DataFrame:
+        work = lambda batch, kn: list(map(pa.array, features(kn, batch.column("text")).T.copy()))
+        return append_columns(rows, T.StructType([T.StructField(n, T.DoubleType()) for n in names]), work, ["label"], lambda: CharKN.load(model.value)).toPandas()
 
-    seen = append_columns(sample.filter("fold"), T.StructType([T.StructField(n, T.DoubleType()) for n in names]), measure, ["label"], load).toPandas()
-    x, y = seen[names].to_numpy(), seen["label"].to_numpy().astype(float)
-    if len(set(y)) < 2:
-        fitted = np.zeros(FEATURES + 1)
+    if min(sizes.values()) < FEW:
+        folds = [(sample.filter(F.col("fold") == k), sample.filter(F.col("fold") != k)) for k in range(FOLDS)]
+        seen = pd.concat([measured(held, learnt(rest)) for held, rest in folds if not held.isEmpty() and not rest.isEmpty()])
+        model = learnt(sample)
     else:
-        weight = np.array([shares[int(v)] / max(1, (y == v).sum()) for v in y])
-        fitted = logistic(x, y, weight * len(y) / weight.sum())
+        model = learnt(sample.filter(F.col("fold") != 0))
+        seen = measured(sample.filter(F.col("fold") == 0), model)
+    x, y = seen[names].to_numpy(), seen["label"].to_numpy().astype(float)
+    weight = np.array([shares[int(v)] / max(1, (y == v).sum()) for v in y])
+    fitted = logistic(x, y, weight * len(y) / weight.sum())
 
     def judge(batch: pa.RecordBatch, kn: CharKN) -> list[pa.Array]:
         z = features(kn, batch.column("text")) @ fitted[1:] + fitted[0]
         return [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))]
 
-    return append_columns(docs, field, judge, keep, load)
+    return append_columns(docs, field, judge, keep, lambda: CharKN.load(model.value))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from docweave.llm import registry
 
 def plain(value):
     """Nulls as None; whole numbers as int, as a column with nulls may hold floats."""
-    if value is None or value != value or str(value) == "<NA>":
+    if value is None or str(value) in ("<NA>", "nan", "NaT"):
         return None
     return int(value) if isinstance(value, float) and value.is_integer() else value
 
