@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions.storage import cut
+from docweave.operators.vectors import cosines, ranks_of
 from docweave.sources.corpus import first_by
 
 K1, B = 1.2, 0.75
 RRF_K, LEXICAL_WEIGHT = 60, 0.5
-#: Questions whose vectors are put into the plan at once; more are asked in several scans.
-MOST_QUESTIONS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,14 +23,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(vectors: DataFrame, questions: list[tuple[int, list[float]]]) -> DataFrame:
-    """question, id, cosine of every vector (id, embedding) for each question; a scan for MOST_QUESTIONS of them, without a join."""
-    if len(questions) > MOST_QUESTIONS:
-        return dense(vectors, questions[:MOST_QUESTIONS]).unionByName(dense(vectors, questions[MOST_QUESTIONS:]))
-    if not questions:
-        return vectors.select(F.lit(0).cast("long").alias("question"), "id", F.lit(0.0).alias("cosine")).limit(0)
-    asked = F.array(*[F.struct(F.lit(int(q)).cast("long").alias("question"), F.array(*[F.lit(float(x)) for x in v]).alias("vector")) for q, v in questions])
-    rows = vectors.select("id", "embedding", F.explode(asked).alias("q"))
-    return rows.select("q.question", "id", cosine(F.col("embedding"), F.col("q.vector")).alias("cosine"))
+    """question, id, cosine of every vector (id, embedding) for each question: the whole ranking. vectors.nearest() gives its head alone."""
+    return cosines(vectors, questions)
 
 
 def terms(text: Column) -> Column:
@@ -81,14 +75,37 @@ def ranks(scored: DataFrame, score: str, most: int | None = None) -> DataFrame:
     return out if most is None else out.filter(F.col("rank") < most)
 
 
+def fused_candidates(vectors: DataFrame, questions: list[tuple[int, list[float]]], near: DataFrame, words: DataFrame, group: str | None = None, scopes: dict | None = None) -> DataFrame:
+    """question, id, cosine, fused of the rows near (question, id) and of those lexical hits (question, id, rank) that have a vector.
+
+    Their dense ranks are those of the whole ranking, which is counted, not made: so the best of them by fused score are the best of all, as
+    any other row has no lexical share and a worse dense rank than what near has of its group.
+    """
+    asked = vectors.sparkSession.createDataFrame([(int(q), [float(x) for x in v]) for q, v in questions], "question long, vector array<double>")
+    hits = words.select("question", "id").unionByName(near.select("question", "id")).distinct().join(asked, "question").join(vectors, "id")
+    if scopes and group:
+        inside = vectors.sparkSession.createDataFrame([(q, g) for q, some in scopes.items() if some is not None for g in some], T.StructType([T.StructField("question", T.LongType()), T.StructField(group, vectors.schema[group].dataType)]))
+        free = [q for q, _ in questions if scopes.get(q) is None]
+        hits = hits.filter(F.col("question").isin(free)).unionByName(hits.join(inside, ["question", group], "left_semi").select(hits.columns))
+    scored = hits.select("question", "id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("cosine")).filter("cosine is not null")
+    ranked = ranks_of(vectors, questions, cut(scored), group, scopes)
+    fused = reciprocal_rank_fusion(ranked.select("question", "id", "rank"), words)
+    return fused.withColumn("fused", F.round("fused", 8)).join(ranked.select("question", "id", "cosine"), ["question", "id"])
+
+
 def collapse(fused: DataFrame, anchors: DataFrame) -> DataFrame:
     """The best leaf of each anchor: question, anchor, id, fused. anchors: id, anchor."""
     return first_by(fused.join(anchors, "id"), ["question", "anchor"], [F.desc("fused"), "id"]).select("question", "anchor", "id", "fused")
 
 
+def share_of(k: int, groups: int) -> int:
+    """What a group may have of k."""
+    return max(3, -(-k // max(1, groups)))
+
+
 def quota(found: DataFrame, k: int, group: str, groups: int) -> DataFrame:
     """At most max(3, ceil(k / groups)) rows of each group, and k in all, by fused, then anchor."""
-    per = max(3, -(-k // max(1, groups)))
+    per = share_of(k, groups)
     kept = first_by(found, ["question", group], [F.desc("fused"), "anchor"], per, "in_group").drop("in_group")
     return first_by(kept, ["question"], [F.desc("fused"), "anchor"], k)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from docweave.operators import search
+from docweave.functions.storage import cut, remove, shared_dir
+from docweave.operators import inverted, search
+from docweave.operators.vectors import nearest
 from docweave.sources.corpus import first_by, table
 
 #: Questions are the vectors whose id is a multiple of this, of which there is an item.
@@ -33,8 +37,7 @@ def _documents(spark, sf_dir):
 
 def dense_top_k(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    scored = search.dense(vectors, _asked(spark, sf_dir, vectors)).withColumn("cosine", F.round("cosine", 6))
-    return first_by(scored, ["question"], [F.desc("cosine"), "id"], K)
+    return nearest(vectors, _asked(spark, sf_dir, vectors), K)
 
 
 def bm25_top_k(spark, sf_dir):
@@ -42,6 +45,15 @@ def bm25_top_k(spark, sf_dir):
     return first_by(scored, ["question"], [F.desc("score"), "id"], 8 * K)
 
 
+def bm25_indexed(spark, sf_dir):
+    """bm25_top_k through an index that is built, read and removed."""
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    inverted.build(_documents(spark, sf_dir), folder)
+    found = cut(inverted.search(spark, folder, _texts(spark, sf_dir), 8 * K, cut))
+    remove(spark, folder)
+    return found
+
+
 def _fused(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     near = search.ranks(search.dense(vectors, _asked(spark, sf_dir, vectors)).withColumn("cosine", F.round("cosine", 6)), "cosine")
@@ -56,10 +68,12 @@ def rank_fusion(spark, sf_dir):
 
 def hybrid_retrieve(spark, sf_dir):
     """Dense and lexical ranks, fused; leaves collapsed to anchors; a quota for each label; k anchors for each question."""
-    fused, vectors = _fused(spark, sf_dir)
-    fused = fused.withColumn("fused", F.round("fused", 8))
-    anchors = vectors.select("id", (F.col("id") % 50).alias("anchor"))
-    found = search.collapse(fused, anchors).join(vectors.select("id", "label"), "id")
+    vectors = _vectors(spark, sf_dir).withColumn("anchor", F.col("id") % 50)
+    asked = _asked(spark, sf_dir, vectors)
+    words = cut(search.ranks(search.bm25(_documents(spark, sf_dir), _texts(spark, sf_dir)).withColumn("score", F.round("score", 6)), "score", 8 * K))
+    near = nearest(vectors, asked, 1, "anchor")  # an anchor here has leaves of all labels, so its best leaf decides its label
+    fused = search.fused_candidates(vectors, asked, near, words)
+    found = search.collapse(fused, vectors.select("id", "anchor")).join(vectors.select("id", "label"), "id")
     return search.quota(found, K, "label", 10).select("question", "rank", "anchor", "id", "label", "fused")
 
 
@@ -75,7 +89,8 @@ def rerank_by_label(spark, sf_dir):
 def confidence(spark, sf_dir):
     """Mean of the three best cosines of each question, neutral 0.75 without any, with a level."""
     vectors = _vectors(spark, sf_dir)
-    best = first_by(search.dense(vectors, _asked(spark, sf_dir, vectors)).filter("id <> question"), ["question"], [F.desc("cosine"), "id"], 3)
+    best = nearest(vectors, _asked(spark, sf_dir, vectors), 4).filter("id <> question")  # the question's own vector is among the four
+    best = first_by(best.drop("rank"), ["question"], [F.desc("cosine"), "id"], 3)
     mean = best.groupBy("question").agg(F.avg("cosine").alias("mean"))
     score = F.coalesce("mean", F.lit(0.75))
     level = F.when(score >= 0.85, "HIGH").when(score >= 0.65, "MEDIUM").when(score >= 0.4, "LOW").otherwise("CRITICAL")
@@ -88,7 +103,7 @@ def members_by_community(spark, sf_dir):
     return first_by(vectors.filter("label in (1, 3, 5)"), ["label"], ["id"], max(1, K // 3)).select("label", "rank", "id")
 
 
-QUERIES = {f.__name__: f for f in (dense_top_k, bm25_top_k, rank_fusion, hybrid_retrieve, rerank_by_label, confidence, members_by_community)}
+QUERIES = {f.__name__: f for f in (dense_top_k, bm25_top_k, bm25_indexed, rank_fusion, hybrid_retrieve, rerank_by_label, confidence, members_by_community)}
 
 _BASE = """
 texts AS (SELECT item_id * 50 AS question, text AS asked_text FROM benchmark WHERE item_id * 50 IN (SELECT vec_id FROM embeddings)),
@@ -109,6 +124,7 @@ fused AS (SELECT r1.question, r1.id, r1.label, round(1.0 / (60 + r1.r) + coalesc
 ORACLE_SQL = {
     "dense_top_k": f"WITH {_BASE} SELECT question, id, cosine, CAST(rank AS INTEGER) AS rank FROM (SELECT question, id, cosine, row_number() OVER (PARTITION BY question ORDER BY cosine DESC, id) AS rank FROM near) WHERE rank <= 20",
     "bm25_top_k": f"WITH {_BASE} SELECT question, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM lex) WHERE rank <= 160",
+    "bm25_indexed": f"WITH {_BASE} SELECT question, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM lex) WHERE rank <= 160",
     "rank_fusion": f"WITH {_BASE} SELECT question, id, fused FROM fused",
     "hybrid_retrieve": f"""WITH {_BASE},
 best AS (SELECT * FROM (SELECT question, id % 50 AS anchor, id, label, fused, row_number() OVER (PARTITION BY question, id % 50 ORDER BY fused DESC, id) AS r FROM fused) WHERE r = 1),
