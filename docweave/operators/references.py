@@ -25,7 +25,7 @@ LOCATORS = (("referred", "to", "in"), ("pursuant", "to"), ("in", "accordance", "
 #: Anaphoric targets: of "this ...", and of "of this ...".
 THIS, OF_THIS = ("paragraph", "subparagraph", "article"), ("article", "paragraph")
 
-#: A span of more numbers than this is no list of provisions: it stands for its two ends.
+#: A span of more numbers than this is not listed: a list has its two ends, and resolve.resolve() looks up what the act has between them.
 MOST_RANGE = 10_000
 
 FOOTNOTE = re.compile(r"\s*\(\s+[0-9]+\s+\)")
@@ -379,32 +379,40 @@ def contained(spans: list[dict]) -> list[dict]:
 
 def references_in(text: str | None) -> list[dict]:
     """kind, start, end, match, groups (the parts) of each reference, without those strictly inside a longer one."""
-    clean = FOOTNOTE.sub("", text or "")
-    reader = Reader(clean)
+    return references_of(Reader(FOOTNOTE.sub("", text or "")))
+
+
+def references_of(reader: Reader) -> list[dict]:
     families = {"relative": reader.relative, "explicit": reader.explicit, "range": reader.range_, "external": reader.external, "amended": reader.amended}
-    found = [{"kind": kind, "start": a, "end": b, "match": clean[a:b], "groups": list(parts.items())} for kind, read in families.items() for a, b, parts in reader.all_of(read)]
+    found = [{"kind": kind, "start": a, "end": b, "match": reader.text[a:b], "groups": list(parts.items())} for kind, read in families.items() for a, b, parts in reader.all_of(read)]
     return contained(found)
 
 
-def qualifier_before(text: str, start: int) -> str | None:
-    """The article or annex that "of" or "to" ties to the act at start: 'Article 5(1), point (a) of' in front of it."""
-    head = Reader(text[:start].rstrip())
+#: Tokens that a qualifier in front of an act may have.
+MOST_QUALIFIER = 16
+
+
+def qualifier_before(reader: Reader, place: int) -> str | None:
+    """The article or annex that "of" or "to" ties to the act whose first token is at place: 'Article 5(1), point (a) of' in front of it."""
+    head = Reader("")
+    head.t = reader.t[max(0, place - MOST_QUALIFIER - 1) : place]  # with the token before, which glued() looks at
     if not head.t or not head.word(len(head.t) - 1, "of", "to"):
         return None
-    for i in range(max(0, len(head.t) - 16), len(head.t)):
+    for i in range(max(0, len(head.t) - MOST_QUALIFIER), len(head.t)):
         found = head.article(i) or head.annex(i)
         if found and found[0] == len(head.t) - 1 and head.t[i].kind == "word":
-            return text[head.t[i].start : head.t[-1].end]
+            return reader.text[head.t[i].start : head.t[-1].end]
     return None
 
 
 def located_references(text: str | None) -> list[dict]:
     """references_in, with the part "qualified" on external acts that an article or annex of theirs is named before."""
-    clean = FOOTNOTE.sub("", text or "")
-    out = references_in(clean)
+    reader = Reader(FOOTNOTE.sub("", text or ""))
+    places = {t.start: k for k, t in enumerate(reader.t)}
+    out = references_of(reader)
     for found in out:
         if found["kind"] == "external":
-            before = qualifier_before(clean, found["start"])
+            before = qualifier_before(reader, places[found["start"]])
             if before:
                 found["groups"] = [*found["groups"], ("qualified", before)]
     return out
@@ -419,7 +427,7 @@ def parse_reference(text: str | None) -> Parts:
 
 
 def between(first: int, last: int) -> list[str]:
-    """The numbers of a span; its ends if there are too many, nothing if it runs backwards."""
+    """The numbers of a span; its ends if there are too many to list, nothing if it runs backwards."""
     return [str(first), str(last)] if last - first > MOST_RANGE else [str(n) for n in range(first, last + 1)]
 
 

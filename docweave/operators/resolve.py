@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.storage import cut
-from docweave.operators import references, spans
+from docweave.operators import references, scan, spans
 
 #: Kinds that carry numbers which keys are made of.
 NUMBERED = ("chapter", "article", "paragraph", "subparagraph", "point", "annex")
@@ -77,16 +77,21 @@ def index(provisions: DataFrame) -> DataFrame:
 def with_context(provisions: DataFrame) -> DataFrame:
     """Adds ctx_chapter, ctx_article, ctx_paragraph, ctx_subparagraph: numbers carried on in document order.
 
-    An article ends the paragraph and subparagraph before it, a paragraph the subparagraph. An act's rows are one window,
-    which is as long as the act.
+    An article ends the paragraph and subparagraph before it, a paragraph the subparagraph. The last of each kind is carried on by a scan over ranges of
+    (celex, seq), so an act may be as long as the corpus; what has ended is older than what ended it.
     """
-    order = Window.partitionBy("celex").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lambda kind, w: F.last(F.when(F.col("kind") == kind, F.struct("number")), ignorenulls=True).over(w)["number"]
-    rows = provisions.withColumn("ctx_chapter", carried("chapter", order)).withColumn("ctx_article", carried("article", order)).withColumn("__articles", F.sum((F.col("kind") == "article").cast("int")).over(order))
-    inside = Window.partitionBy("celex", "__articles").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("ctx_paragraph", carried("paragraph", inside)).withColumn("__paragraphs", F.sum((F.col("kind") == "paragraph").cast("int")).over(inside))
-    deeper = Window.partitionBy("celex", "__articles", "__paragraphs").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ctx_subparagraph", carried("subparagraph", deeper)).drop("__articles", "__paragraphs")
+    kinds = ("chapter", "article", "paragraph", "subparagraph")
+    rows = scan.ranged(provisions, ["celex"], ["seq"])
+    last = scan.finished(scan.carried(rows, ["seq"], {f"__{k}": F.when(F.col("kind") == k, F.struct("seq", "number")) for k in kinds}))
+    article, paragraph, sub = (F.col(f"__{k}") for k in kinds[1:])
+    older = lambda x, than: than["seq"].isNotNull() & (x["seq"] < than["seq"])
+    context = {
+        "ctx_chapter": F.col("__chapter.number"),
+        "ctx_article": article["number"],
+        "ctx_paragraph": F.when(~older(paragraph, article), paragraph["number"]),
+        "ctx_subparagraph": F.when(~older(sub, article) & ~older(sub, paragraph), sub["number"]),
+    }
+    return last.withColumns(context).drop(*[f"__{k}" for k in kinds])
 
 
 def act_id(kind: Column, series: Column, number: Column, suffix: Column) -> Column:
@@ -103,13 +108,22 @@ def extracted(provisions: DataFrame) -> DataFrame:
 
 
 def numbers_of(p: Column) -> Column:
-    """The numbers of a range, an enumeration or a list of an annex's points; empty for other references."""
+    """The numbers of a range, an enumeration or a list of an annex's points; empty for other references and for spans too wide to list."""
     listed = F.split(F.coalesce(p["listed"], p["points"]), " ")
     first, last = (F.regexp_extract(p[k], r"^\(?([0-9]+)", 1).cast("long") for k in ("first", "last"))
-    span = F.when(last - first > references.MOST_RANGE, F.array(first, last)).when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    span = F.when((first <= last) & (last - first <= references.MOST_RANGE), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     return F.when(p["first"].isNotNull(), span.cast("array<string>")).when(listed.isNotNull(), listed).otherwise(F.array().cast("array<string>"))
 
 
+def wide_spans(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """celex, id, seq, at, item, match, target: of spans of more numbers than are listed, what the index has between the ends."""
+    p = F.col("p")
+    first, last = (F.regexp_extract(p[k], r"^\(?([0-9]+)", 1).cast("decimal(38, 0)") for k in ("first", "last"))
+    wide = rows.filter(p["first"].isNotNull()).select("celex", "id", "seq", "at", "match", p["unit"].alias("key_kind"), first.alias("a"), last.alias("b")).filter(F.col("b") - F.col("a") > references.MOST_RANGE)
+    number = known.filter(F.col("key").rlike("^[0-9]{1,38}$")).select("celex", "key_kind", "target", F.col("key").cast("decimal(38, 0)").alias("n"))
+    return wide.join(number, ["celex", "key_kind"]).filter(F.col("n").between(F.col("a"), F.col("b"))).select("celex", "id", "seq", "at", F.col("n").cast("string").alias("item"), "match", "target")
+
+
 def _candidate(kind: str | Column, *parts: Column) -> Column:
     key = _joined(*parts)
     return F.when(key.isNotNull(), F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("key_kind"), key.alias("key")))
@@ -168,7 +182,9 @@ def resolve(provisions: DataFrame) -> DataFrame:
     context = {k: F.col(f"ctx_{k}") for k in ("chapter", "article", "paragraph", "subparagraph")}
     keyed = rows.withColumn("c", candidates(F.col("ref_kind"), F.col("p"), F.col("item"), context))
     tried = keyed.filter(F.size("c") > 0).select("celex", "id", "seq", "at", "item", "match", F.posexplode("c").alias("rank", "c")).select("celex", "id", "seq", "at", "item", "match", "rank", "c.key_kind", "c.key")
-    hit = tried.join(index(provisions), ["celex", "key_kind", "key"]).groupBy("celex", "id", "seq", "at", "item", "match").agg(F.min_by("target", "rank").alias("target"))
+    known = index(provisions)
+    hit = tried.join(known, ["celex", "key_kind", "key"]).groupBy("celex", "id", "seq", "at", "item", "match").agg(F.min_by("target", "rank").alias("target"))
+    hit = hit.unionByName(wide_spans(rows.filter("ref_kind = 'range'"), known))
     inside = hit.select("celex", F.col("id").alias("source"), F.lit("CITES").alias("type"), "target", F.col("match").alias("ref_text"), "seq", "at")
     p = F.col("p")
     whole = F.concat_ws(" ", p["qualified"], F.col("match"))

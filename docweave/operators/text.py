@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -148,3 +149,8 @@ def parent_references(ref: Column) -> Column:
     none = F.array().cast("array<string>")
     chain = F.when(F.size(brackets) > 0, F.transform(F.sequence(F.size(brackets), F.lit(1), F.lit(-1)), lambda n: F.concat(base, F.array_join(F.slice(brackets, F.lit(1), n - 1), ""))))
     return F.when(base != "", F.coalesce(chain, none)).otherwise(none)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once a row: inside a lambda an expression would be worked out for each element."""
+    return F.transform(F.array(value), use)[0]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.storage import cut
+from docweave.operators import scan
+
 CONTEXT_MARK = " | "
 HEADINGS = " > "
 
@@ -35,13 +38,64 @@ def own_body(title: Column, text: Column) -> Column:
     return F.when(text.isNotNull() & (F.trim(text) != "") & ~title.eqNullSafe(text), F.trim(text))
 
 
-def flatten(pathed: DataFrame, root_kind: str) -> DataFrame:
-    """Of each node of a kind: its own body and those below it, in pre-order, joined by a space; null if there is none."""
-    bodies = pathed.withColumn("body", own_body(F.col("title"), F.col("text"))).filter("body is not null")
-    below = bodies.select(F.explode("path").alias("root"), "key", "body")
-    heads = pathed.filter(F.col("kind") == root_kind).select(F.col("id").alias("root"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "body"))), lambda x: x["body"]), " ")
-    return heads.join(below.join(heads, "root", "left_semi").groupBy("root").agg(joined.alias("text")), "root", "left").withColumnRenamed("root", "id")
+def in_order(pathed: DataFrame) -> DataFrame:
+    """The nodes in pre-order (column key), dealt out by ranges of it, for the scans below."""
+    return scan.ranged(pathed, [], ["key"])
+
+
+def numbered(ordered: DataFrame) -> DataFrame:
+    """Adds begin and end: a node's place in pre-order, and the last place below it. Nodes at or below one are those whose begin lies in its interval.
+
+    begin is a running count. end comes from the sizes of subtrees, summed up level by level, the deepest first.
+    """
+    placed = scan.finished(scan.running(ordered, ["key"], {"begin": F.lit(1).cast("long")})).withColumn("begin", F.col("begin") - 1)
+    sizes = None
+    for depth in sorted((r.depth for r in ordered.select("depth").distinct().collect()), reverse=True):
+        level = placed.filter(F.col("depth") == depth).select("id", "parent_id")
+        if sizes is None:
+            own = level.withColumn("size", F.lit(1).cast("long"))
+        else:
+            below = sizes.filter(F.col("level") == depth + 1).groupBy(F.col("parent_id").alias("id")).agg(F.sum("size").alias("below"))
+            own = level.join(below, "id", "left").select("id", "parent_id", (1 + F.coalesce("below", F.lit(0))).alias("size"))
+        own = own.withColumn("level", F.lit(depth))
+        sizes = own if sizes is None else sizes.unionByName(own)
+        if depth:
+            sizes = cut(sizes)  # else each level would work out all below it again
+    return placed.join(sizes.select("id", "size"), "id").withColumn("end", F.col("begin") + F.col("size") - 1).drop("size")
+
+
+def marked(ordered: DataFrame, marks: dict[str, Column], what: Column | None = None) -> DataFrame:
+    """Adds an array for each mark: of the nodes that it holds for, those at or above the row's, the nearest last: (depth, node), node being the id or what.
+
+    In pre-order a node is below the last node of a lower or equal depth; so for each depth that a mark occurs at one value is carried on. No
+    path is opened and no pair of nodes is made.
+    """
+    what = F.col("id") if what is None else what
+    depths = {name: sorted(r.depth for r in ordered.filter(holds).select("depth").distinct().collect()) for name, holds in marks.items()}
+    values = {f"__{name}_{d}": F.when(F.col("depth") <= d, F.struct(F.when(marks[name] & (F.col("depth") == d), what).alias("node"))) for name, some in depths.items() for d in some}
+    rows = scan.carried(ordered, ["key"], values) if values else ordered
+    kind = ordered.select(what.alias("w")).schema["w"].dataType.simpleString()
+    for name, some in depths.items():
+        found = F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"__{name}_{d}.node").alias("node")) for d in some]) if some else F.array()
+        rows = rows.withColumn(name, F.filter(found.cast(f"array<struct<depth:int,node:{kind}>>"), lambda x: x["node"].isNotNull()))
+    return rows.drop(*values)
+
+
+def flatten(pathed: DataFrame, root_kind: str, most: int | None = None) -> DataFrame:
+    """Of each node of a kind: id, text (its own body and those below it, in pre-order, joined by a space; null if there is none) and full_length.
+
+    most: only bodies that begin within so many characters, and one more, are gathered, so that a list is no longer than that whatever lies
+    below the node; they are known from running sums of the lengths before any list is made.
+    """
+    ordered = in_order(pathed.select("id", "kind", "depth", "key", own_body(F.col("title"), F.col("text")).alias("body")))
+    size = F.coalesce(F.length("body") + 1, F.lit(0))
+    summed = scan.running(ordered, ["key"], {"reached": size}).withColumn("start", F.col("reached") - size)
+    rows = marked(summed, {"roots": F.col("kind") == root_kind}, F.struct("id", "start"))
+    below = rows.filter("body is not null").select(F.explode("roots.node").alias("root"), "key", "body", "start")
+    listed = F.struct("key", "body") if most is None else F.when(F.col("start") - F.col("root.start") <= most + 1, F.struct("key", "body"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(listed)), lambda x: x["body"]), " ")
+    text = below.groupBy(F.col("root.id").alias("id")).agg(joined.alias("text"), (F.sum(F.length("body") + 1) - 1).cast("int").alias("full_length"))
+    return pathed.filter(F.col("kind") == root_kind).select("id").join(text, "id", "left")
 
 
 def cap_text(text: Column, most: int) -> Column:

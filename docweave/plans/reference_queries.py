@@ -83,11 +83,11 @@ def composed_provisions(spark, sf_dir):
 
 
 def quoted_passages(spark, sf_dir):
-    """The quotes in sentences that put each document and benchmark item between quotation marks: one line, 40 to 600 characters."""
+    """The quotes in sentences that put each document and benchmark item between quotation marks: one line, 40 to 600 characters, wherever they begin."""
     both = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text"))
     said = both.select("id", F.concat(F.lit('He said "'), "text", F.lit('" and "short"')).alias("text"))
     found = spans.spans(said, "text", "quotes", spans.quotes_in)
-    return found.select("id", F.explode("quotes").alias("q")).filter("q.start = 9").select("id", "q.start", "q.end")
+    return found.select("id", F.explode("quotes").alias("q")).select("id", "q.start", "q.end", F.col("q.match").alias("quote"))
 
 
 QUERIES = {f.__name__: f for f in (resolved_references, provision_index, mentioned_families, guidance_references, composed_provisions, quoted_passages)}
@@ -121,8 +121,12 @@ SELECT * FROM last UNION ALL SELECT celex, 'some_point', art || '.' || letter, m
 SELECT p_partkey, CAST(unnest(range(0, len(l))) AS INTEGER) AS place, unnest(l) AS family FROM f""",
     "guidance_references": """WITH t AS (SELECT p_partkey AS k, p_size AS n, (['2017/745', '2017/746', '2024/1689', NULL])[1 + p_partkey % 4] AS number FROM part)
 SELECT CAST(k AS VARCHAR) AS source, number, CASE k % 3 WHEN 0 THEN 'Article ' || n WHEN 1 THEN 'Annex IV' ELSE 'Regulation (EU) ' || number END AS ref_text, (['named', 'near', 'whole'])[1 + k % 3] AS how FROM t WHERE number IS NOT NULL""",
-    "quoted_passages": """SELECT id, 9 AS start, CAST(9 + length(text) AS INTEGER) AS "end" FROM (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark)
-WHERE length(text) BETWEEN 40 AND 600 AND NOT regexp_matches(text, '["“”\n]')""",
+    "quoted_passages": """WITH t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark),
+said AS (SELECT id, 'He said "' || text || '" and "short"' AS s FROM t WHERE text IS NOT NULL),
+cut AS (SELECT id, regexp_split_to_array(s, '["“][^"“”\n]{40,600}["”]') AS gaps, regexp_extract_all(s, '["“]([^"“”\n]{40,600})["”]', 1) AS quotes FROM said),
+placed AS (SELECT id, gaps, quotes, unnest(range(1, len(quotes) + 1)) AS k FROM cut),
+located AS (SELECT id, quotes[k] AS quote, list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(quotes[1:k - 1], lambda x: length(x) + 2)), 0) + 1 AS first FROM placed)
+SELECT id, CAST(first AS INTEGER) AS start, CAST(first + length(quote) AS INTEGER) AS "end", quote FROM located""",
     "composed_provisions": f"""WITH {SQL}, t AS (SELECT l_orderkey, l_linenumber, {_choice("l_linenumber + l_orderkey", KINDS)} AS kind, coalesce({_choice("l_partkey + l_suppkey", TITLES)}, '') AS title, {_choice("l_suppkey", SUBJECTS)} || ' ' || {_choice("l_partkey", PREDICATES)} || ' ' || {_choice("l_orderkey", OBJECTS)} AS text FROM leaf),
 r AS (SELECT *, CASE WHEN kind = 'chapter' THEN 'STRUCTURAL.container_kind' WHEN kind = 'recital' THEN 'INTERPRETIVE.recital_kind' WHEN title LIKE 'Penalt%' THEN 'PENALTY.title' WHEN text LIKE '%shall be punishable%' THEN 'PENALTY.keyword' WHEN title = 'Scope' THEN 'SCOPE.title'
  WHEN title = 'Derogations' THEN 'EXEMPTS.title' WHEN text LIKE '%shall not apply%' AND regexp_matches(text, '{_B}(paragraph|Chapter){_E}') THEN 'EXEMPTS.shall_not_apply' WHEN text LIKE '%with the exception of%' THEN 'EXEMPTS.exception_of'

@@ -30,8 +30,13 @@ def tree_anchor(spark, sf_dir):
 
 
 def tree_flatten(spark, sf_dir):
-    flat = tree.flatten(cut(_pathed(spark, sf_dir)), "article")
-    return flat.select("id", tree.cap_text(F.col("text"), 3000).alias("text"), F.length("text").alias("full_length"))
+    flat = tree.flatten(cut(_pathed(spark, sf_dir)), "article", 3000)
+    return flat.select("id", tree.cap_text(F.col("text"), 3000).alias("text"), "full_length")
+
+
+def tree_intervals(spark, sf_dir):
+    """Each node's interval of places in pre-order."""
+    return tree.numbered(tree.in_order(_pathed(spark, sf_dir))).select("id", "begin", "end")
 
 
 def tree_context(spark, sf_dir):
@@ -73,8 +78,9 @@ def graph_reverse_cross(spark, sf_dir):
 
 
 def graph_citing(spark, sf_dir):
-    node, edge, closed = _graph(spark, sf_dir)
-    return graph.citing_provisions(node.filter("kind = 'chapter'"), node, edge, closed, ("article", "document"))
+    node = cut(corpus.nodes(spark, sf_dir))
+    ordered = tree.in_order(corpus.with_paths(node, corpus.LEVELS).select("id", "kind", "depth", "key"))
+    return graph.citing_in_order(ordered, corpus.edges(spark, sf_dir, node), F.col("kind") == "chapter", ("article", "document"))
 
 
 def graph_amendments(spark, sf_dir):
@@ -99,7 +105,7 @@ def graph_drilldown(spark, sf_dir):
     return graph.drilldown(edge.filter("type = 'CITES'").select(F.col("dst").alias("id")), node)
 
 
-QUERIES = {f.__name__: f for f in (tree_closure, tree_subtree, tree_anchor, tree_flatten, tree_context, tree_display, graph_upsert_edges, graph_expand, graph_reverse_cross, graph_citing, graph_amendments, graph_roles, graph_chain, graph_drilldown)}
+QUERIES = {f.__name__: f for f in (tree_closure, tree_subtree, tree_anchor, tree_flatten, tree_intervals, tree_context, tree_display, graph_upsert_edges, graph_expand, graph_reverse_cross, graph_citing, graph_amendments, graph_roles, graph_chain, graph_drilldown)}
 
 _BODY = "CASE WHEN text IS NOT NULL AND trim(text) <> '' AND title IS DISTINCT FROM text THEN trim(text) END"
 _REF = "upper(substr(kind, 1, 1)) || substr(kind, 2) || ' ' || ord"
@@ -108,14 +114,18 @@ ORACLE_SQL = {
     "tree_closure": f"WITH {SQL} SELECT anc, desc_id, dist FROM closure",
     "tree_subtree": f"WITH {SQL} SELECT anc AS root, id, dist AS level, key FROM closure JOIN pathed ON desc_id = id WHERE anc LIKE 'N:%' AND dist <= 6",
     "tree_anchor": f"WITH {SQL} SELECT id, coalesce(p2, p1) AS anchor FROM pathed",
+    "tree_intervals": f"""WITH {SQL}, placed AS (SELECT id, row_number() OVER (ORDER BY key) - 1 AS begin FROM pathed), sizes AS (SELECT anc AS id, count(*) AS n FROM closure GROUP BY anc)
+SELECT id, begin, begin + n - 1 AS "end" FROM placed JOIN sizes USING (id)""",
     "tree_flatten": f"""WITH {SQL}, bodies AS (SELECT id, {_BODY} AS body FROM node),
 full_text AS (SELECT n.id, string_agg(b.body, ' ' ORDER BY p.key) AS text FROM node n LEFT JOIN closure c ON c.anc = n.id LEFT JOIN bodies b ON b.id = c.desc_id AND b.body IS NOT NULL LEFT JOIN pathed p ON p.id = b.id WHERE n.kind = 'article' GROUP BY n.id),
 cut AS (SELECT id, text, substr(text, 1, 3000) AS head FROM full_text),
 placed AS (SELECT *, CASE WHEN strpos(head, '.') > 0 THEN 3000 - strpos(reverse(head), '.') + 1 ELSE 0 END AS period FROM cut)
 SELECT id, CASE WHEN length(text) <= 3000 THEN text WHEN period > 1500 THEN substr(text, 1, period) ELSE head END AS text, CAST(length(text) AS INTEGER) AS full_length FROM placed""",
     "tree_context": f"""WITH {SQL}, headed AS (SELECT id, {_REF} || ' - ' || title AS heading FROM node WHERE title IS NOT NULL),
-above AS (SELECT desc_id, string_agg(heading, ' > ' ORDER BY dist DESC) AS headings FROM closure JOIN headed ON anc = id WHERE dist > 0 GROUP BY desc_id)
-SELECT id, CASE WHEN body IS NOT NULL THEN coalesce(headings || ' | ', '') || body END AS text, body FROM (SELECT id, {_BODY} AS body FROM node) LEFT JOIN above ON desc_id = id""",
+above AS (SELECT p.id, concat_ws(' > ', a.heading, b.heading, c.heading, d.heading) AS headings FROM pathed p
+  LEFT JOIN headed a ON a.id = p.p0 AND p.p0 <> p.id LEFT JOIN headed b ON b.id = p.p1 AND p.p1 <> p.id LEFT JOIN headed c ON c.id = p.p2 AND p.p2 <> p.id LEFT JOIN headed d ON d.id = p.p3 AND p.p3 <> p.id)
+SELECT n.id, CASE WHEN body IS NOT NULL THEN CASE WHEN headings <> '' THEN headings || ' | ' ELSE '' END || body END AS text, body
+FROM (SELECT id, {_BODY} AS body FROM node) n JOIN above ON above.id = n.id""",
     "tree_display": f"""WITH {SQL}, refs AS (SELECT id, {_REF} AS ref FROM node)
 SELECT c.desc_id AS id, string_agg(r.ref, ' / ' ORDER BY c.dist DESC) AS display_path, max(CASE WHEN c.dist = 0 THEN r.ref END) AS display_ref FROM closure c JOIN refs r ON c.anc = r.id GROUP BY c.desc_id""",
     "graph_upsert_edges": f"WITH {SQL} SELECT src, type, dst, min(ref_text) AS ref_text FROM edge WHERE type IN ('CITES', 'AMENDS', 'HAS_PART') AND src IN (SELECT id FROM node) AND dst IN (SELECT id FROM node) GROUP BY src, type, dst",
