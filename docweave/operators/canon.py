@@ -2,19 +2,18 @@
 
 Terms have term_id, term, term_key, celex, category, source_id, definition. Roles have role_id ({celex}::role::{term_key}), term,
 term_key, celex, source_type. Defined results: null texts link nothing, a null celex takes part in nothing, of repeated
-edges the first stays; an act's terms are one bounded group, acts are dealt over the cluster.
+edges the first stays; provision ids are unique.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.operators import rules
+from docweave.functions.storage import cut
+from docweave.operators import patterns, rules
 from docweave.operators.references import Reader
 from docweave.operators.text import definition_body, first_sentence, term_key
 
@@ -42,45 +41,59 @@ def plural_column(term: Column) -> Column:
     return F.when(term.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(term, "y$", ""), F.lit("ies"))).when(term.rlike("(s|x|z|ch|sh)$"), F.concat(term, F.lit("es"))).otherwise(F.concat(term, F.lit("s")))
 
 
-def names_role(text: Column, term: Column) -> Column:
-    """The text has the role's name, or its plural, as words."""
-    quoted = lambda t: F.regexp_replace(t, r"([.^$|()\[\]{}*+?\\-])", r"\\$1")
-    low = F.lower(term)
-    return F.regexp_like(F.lower(text), F.concat(F.lit(r"\b(?:"), quoted(plural_column(low)), F.lit("|"), quoted(low), F.lit(r")\b")))
+def named_in(texts: DataFrame, roles: DataFrame) -> DataFrame:
+    """id, role_id: texts (id, celex, text) that have the name of a role of their act, or its plural, as words: one automaton of all names, one pass."""
+    low = F.lower("term")
+    names = roles.select("celex", "role_id", F.explode(F.array(low, plural_column(low))).alias("pattern")).distinct()
+    found = patterns.occurrences(texts.select("id", F.lower("text").alias("text")), names.select("pattern"), whole_words=True).select("id", "pattern").distinct()
+    return found.join(texts.select("id", "celex"), "id").join(names, ["celex", "pattern"]).select("id", "role_id").distinct()
 
 
 # --- roles -------------------------------------------------------------------------------------------------------
 
 
-def lists_only(definition: str, names: list[str]) -> bool:
-    """The first clause of a definition is nothing but the names of at least two of the roles."""
-    clause = re.split("[.;]", definition, maxsplit=1)[0].lower()
-    found = [n for n in names if re.search(rf"\b{re.escape(n)}\b", clause)]
-    for n in sorted(found, key=len, reverse=True):
-        clause = re.sub(rf"\b{re.escape(n)}\b", " ", clause)
-    return len(found) > 1 and not [w for w in re.findall(r"[^\s,:;()]+", clause) if w not in BETWEEN]
+def first_clause(definition: Column) -> Column:
+    return F.lower(F.element_at(F.split(F.coalesce(definition, F.lit("")), "[.;]"), 1))
+
+
+def only_names(clause: Column, names: Column) -> Column:
+    """A clause is nothing but at least two of the names that it has (in lower case), the longest taken out first, and words between."""
+    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(names), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    spaced = F.concat(F.lit(" "), F.regexp_replace(clause, r"[\s,:;()]+", "  "), F.lit(" "))
+    rest = F.aggregate(ordered, spaced, lambda s, t: F.replace(s, F.concat(F.lit(" "), F.regexp_replace(t, r"\s+", "  "), F.lit(" ")), F.lit("  ")))
+    left = F.filter(F.split(rest, r"\s+"), lambda w: (w != "") & ~w.isin(*BETWEEN))
+    return (F.size(F.array_distinct(names)) > 1) & (F.size(left) == 0)
 
 
-def promoted(terms: list[dict], components: dict[str, list[str]], derived: set[str]) -> dict[str, str]:
-    """term_id and why (actor or composite) of an act's terms that are roles: actors, and what is made of roles, until nothing is added.
+def promoted(terms: DataFrame, components: DataFrame, derived: DataFrame) -> DataFrame:
+    """term_id of the terms that are roles: actors, and what is made of roles, until nothing is added.
 
-    components: the curated parts of a composite by its key. derived: keys of curated roles that count as there.
+    A semi-naive fixpoint: which names stand in which definitions, and which parts make which composite, is found once; each round joins what the
+    round before has added with that, and looks at the terms it touches alone. It ends when a round adds nothing, after as many rounds as roles are
+    nested. No act is one group.
     """
-    out = {t["term_id"]: "actor" for t in terms if t["category"] == "actor"}
-    here = {t["term_key"] for t in terms}
+    own = cut(terms.filter("celex is not null").select("term_id", "celex", "term_key", F.lower("term").alias("name"), "category", first_clause(F.col("definition")).alias("clause")))
+    clauses = own.filter("category <> 'actor' or category is null")
+    said = patterns.occurrences(clauses.select(F.col("term_id").alias("id"), F.col("clause").alias("text")), own.select(F.col("name").alias("pattern")), whole_words=True)
+    said = said.select(F.col("id").alias("term_id"), F.col("pattern").alias("name")).distinct().join(clauses.select("term_id", "celex", "clause"), "term_id")
+    named = cut(said.join(own.select("celex", "name", F.col("term_id").alias("part_id")), ["celex", "name"]).filter("part_id <> term_id"))
+    known = own.select("celex", F.col("term_key").alias("part"), F.col("term_id").alias("part_id"))
+    also = derived.select("celex", F.col("term_key").alias("part")).distinct().withColumn("given", F.lit(True))
+    parts = clauses.select("term_id", "celex", "term_key").join(components.select("celex", "term_key", "part").distinct(), ["celex", "term_key"])
+    # Parts that the act neither defines nor derives are not asked for.
+    parts = cut(parts.join(known, ["celex", "part"], "left").join(also, ["celex", "part"], "left").filter("part_id is not null or given").select("term_id", "part", "part_id", F.coalesce("given", F.lit(False)).alias("given")))
+    out = delta = cut(own.filter("category = 'actor'").select("term_id"))
+    touched = parts.select("term_id").distinct()
     while True:
-        keys = {t["term_key"] for t in terms if t["term_id"] in out}
-        names = [t["term"].lower() for t in terms if t["term_id"] in out]
-        new = []
-        for t in terms:
-            if t["term_id"] in out:
-                continue
-            parts = [c for c in components.get(t["term_key"], ()) if c in here or c in derived]
-            if (parts and all(c in keys or c in derived for c in parts)) or lists_only(t["definition"] or "", names):
-                new.append(t["term_id"])
-        if not new:
+        new = F.col("term_id").alias("part_id")
+        touched = touched.unionByName(named.join(delta.select(new), "part_id").select("term_id")).unionByName(parts.join(delta.select(new), "part_id").select("term_id")).distinct().join(out, "term_id", "left_anti")
+        have = out.select(new, F.lit(True).alias("have"))
+        whole = parts.join(touched, "term_id", "left_semi").join(have, "part_id", "left").groupBy("term_id", "part").agg(F.max(F.coalesce("have", F.col("given"))).alias("there")).groupBy("term_id").agg(F.min("there").alias("all")).filter("all").select("term_id")
+        lists = named.join(touched, "term_id", "left_semi").join(have, "part_id").groupBy("term_id", "clause").agg(F.collect_set("name").alias("names")).filter(only_names(F.col("clause"), F.col("names"))).select("term_id")
+        delta = cut(whole.unionByName(lists).distinct())
+        if delta.isEmpty():
             return out
-        out.update(dict.fromkeys(new, "composite"))
+        out, touched = cut(out.unionByName(delta)), delta.limit(0)
 
 
 def actor_roles(terms: DataFrame, components: DataFrame, derived: DataFrame, standalone: DataFrame) -> DataFrame:
@@ -89,24 +102,9 @@ def actor_roles(terms: DataFrame, components: DataFrame, derived: DataFrame, sta
     components: celex, term_key, part. derived: celex, term_key, term, roles that only composites name: added where the act has
     terms, not the role, and a composite with it. standalone: celex, term_key, term, added unless the role is there.
     """
-    parts: dict[str, dict[str, list[str]]] = {}
-    for r in components.collect():  # curated
-        parts.setdefault(r.celex, {}).setdefault(r.term_key, []).append(r.part)
-    also: dict[str, set[str]] = {}
-    for r in derived.collect():
-        also.setdefault(r.celex, set()).add(r.term_key)
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda t: t["term_id"])
-        celex = rows[0]["celex"]
-        kept = promoted(rows, parts.get(celex, {}), also.get(celex, set()))
-        return table.filter(pa.compute.is_in(table.column("term_id"), value_set=pa.array(list(kept), pa.string()))) if kept else table.slice(0, 0)
-
-    import pyarrow.compute  # noqa: F401
-
     columns = ["term", "term_key", "celex", "category", "source_id", "definition"]
     own = terms.filter("celex is not null").select("term_id", *columns)
-    found = own.groupBy("celex").applyInArrow(run, own.schema).select(*columns, F.lit("defined_term").alias("source_type"))
+    found = own.join(promoted(own, components, derived), "term_id", "left_semi").select(*columns, F.lit("defined_term").alias("source_type"))
     none = [F.lit(None).cast("string").alias("source_id"), F.lit("").alias("definition")]
     composite = components.select("celex", F.col("part").alias("term_key")).distinct()
     more = derived.join(found.select("celex").distinct(), "celex", "left_semi").join(composite, ["celex", "term_key"], "left_semi").join(found.select("celex", "term_key"), ["celex", "term_key"], "left_anti")
@@ -121,15 +119,11 @@ def includes(roles: DataFrame, components: DataFrame) -> DataFrame:
     part = roles.select("celex", F.col("term_key").alias("part_key"), F.col("term").alias("part_term"), F.col("role_id").alias("part"))
     wide = roles.filter("category <> 'actor'").select("celex", "term_key", F.col("role_id").alias("role"), "source_id", "definition")
     curated = wide.join(components.select("celex", "term_key", F.col("part").alias("part_key")), ["celex", "term_key"]).join(part, ["celex", "part_key"]).filter("role <> part").select("role", "part", "source_id")
-    open_ = wide.join(curated.select("role").distinct(), "role", "left_anti")
-    clause = F.lower(F.element_at(F.split(definition_body(F.col("definition")), "[.;]"), 1))
-    named = open_.withColumn("clause", clause).join(part, "celex").filter("role <> part").filter(F.regexp_like("clause", F.concat(F.lit(r"\b"), F.regexp_replace(F.lower("part_term"), r"([.^$|()\[\]{}*+?\\-])", r"\\$1"), F.lit(r"\b"))))
-    # What is left of the clause without the names, the longest first, and the words between.
-    lists = named.groupBy("role", "clause").agg(F.array_sort(F.collect_list(F.struct((-F.length("part_term")).alias("n"), F.lower("part_term").alias("t")))).alias("names"))
-    spaced = F.concat(F.lit(" "), F.regexp_replace("clause", r"[\s,:;()]+", "  "), F.lit(" "))
-    rest = F.aggregate("names", spaced, lambda s, x: F.replace(s, F.concat(F.lit(" "), F.regexp_replace(x["t"], r"\s+", "  "), F.lit(" ")), F.lit("  ")))
-    left = reduce(lambda c, w: F.replace(c, F.lit(f" {w} "), F.lit(" ")), BETWEEN * 2, F.regexp_replace(rest, r"\s+", "  "))
-    only = lists.filter(F.size("names") > 1).filter(F.trim(left) == "").select("role")
+    open_ = cut(wide.join(curated.select("role").distinct(), "role", "left_anti").withColumn("clause", first_clause(definition_body(F.col("definition")))))
+    said = patterns.occurrences(open_.select(F.col("role").alias("id"), F.col("clause").alias("text")), part.select(F.lower("part_term").alias("pattern")), whole_words=True)
+    said = said.select(F.col("id").alias("role"), F.col("pattern").alias("name")).distinct()
+    named = open_.join(said, "role").join(part.withColumn("name", F.lower("part_term")), ["celex", "name"]).filter("role <> part")
+    only = named.groupBy("role", "clause").agg(F.collect_set("name").alias("names")).filter(only_names(F.col("clause"), F.col("names"))).select("role")
     return curated.unionByName(named.join(only, "role", "left_semi").select("role", "part", "source_id")).dropDuplicates(["role", "part"])
 
 
@@ -147,10 +141,13 @@ def obligations(provisions: DataFrame, roles: DataFrame) -> DataFrame:
     title that is the role's name obliges.
     """
     rows = provisions.filter("text is not null and text <> ''").select("id", "celex", F.coalesce("title", F.lit("")).alias("title"), first_sentence(F.col("text")).alias("sentence"))
-    both = rows.join(F.broadcast(roles.select("celex", "role_id", "term")) if roles.count() <= 10_000 else roles.select("celex", "role_id", "term"), "celex")
-    low = F.lower("title")
-    in_title, in_text = names_role(F.col("title"), F.col("term")), names_role(F.col("sentence"), F.col("term"))
-    name = F.lower("term")
+    rows = cut(rows)
+    asked = roles.filter("term is not null and term <> ''").select("celex", "role_id", "term").distinct()
+    met = [named_in(rows.select("id", "celex", F.col(c).alias("text")), asked).withColumn(f"in_{c}", F.lit(True)) for c in ("sentence", "title")]
+    hits = met[0].join(met[1], ["id", "role_id"], "full").select("id", "role_id", *[F.coalesce(f"in_{c}", F.lit(False)).alias(f"in_{c}") for c in ("sentence", "title")])
+    both = hits.join(rows, "id").join(asked.select("role_id", "term").distinct(), "role_id")
+    low, name = F.lower("title"), F.lower("term")
+    in_title, in_text = F.col("in_title"), F.col("in_sentence")
     rest = F.trim(F.regexp_replace(F.replace(F.replace(low, plural_column(name), F.lit("")), name, F.lit("")), r"^[ .,:;-]+|[ .,:;-]+$", ""))
     is_title = in_title & rest.isin("", "the", "a", "an")
     modality = F.coalesce(rules.role_modality(F.col("title"), F.col("sentence")), F.when(is_title, "obligation"))

@@ -16,8 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.storage import cut
 from docweave.operators import graph, search
 from docweave.operators.text import reference_key
+from docweave.operators.vectors import nearest
 from docweave.sources.corpus import first_by
 
 #: Most provisions of a lookup by one reference, of a role's obligations, and least budget of a role.
@@ -280,12 +282,14 @@ def retrieve(
     many = min(WIDER * k, WIDEST) if widen or rerank is not None else k
     celex = corpus.node.select("id", "celex")
     scope = questions.select("case_id", "acts")
-    near = search.dense(corpus.vectors, vectors_of).select(F.col("question").alias("case_id"), "id", F.round("cosine", 6).alias("cosine")).join(celex, "id").join(scope, "case_id")
-    near = near.filter(admitted(F.col("celex"), F.col("acts"))).select(F.col("case_id").alias("question"), "id", "cosine", "celex")
+    scopes = {r.case_id: tuple(r.acts) if r.acts else None for r in scope.filter(F.col("case_id").isin([q for q, _ in vectors_of])).collect()}
+    # An anchor lies in the act of its leaves.
+    vectors = cut(corpus.vectors.join(celex, "id").join(corpus.anchors, "id").select("id", "embedding", "celex", "anchor"))
+    near = nearest(vectors, vectors_of, many, "celex", "anchor", by_group=False, scopes=scopes)
     lexical = search.bm25(documents, questions.select(F.col("case_id").alias("question"), "text")).join(celex, "id").join(scope.withColumnRenamed("case_id", "question"), "question").filter(admitted(F.col("celex"), F.col("acts")))
-    words = search.ranks(lexical.withColumn("score", F.round("score", 6)).select("question", "id", "score"), "score", 8 * many)
-    fused = search.reciprocal_rank_fusion(search.ranks(near.select("question", "id", "cosine"), "cosine"), words)
-    best = search.collapse(fused.withColumn("fused", F.round("fused", 8)), corpus.anchors).join(near.select("question", "id", "cosine"), ["question", "id"])
+    words = cut(search.ranks(lexical.withColumn("score", F.round("score", 6)).select("question", "id", "score"), "score", 8 * many))
+    fused = cut(search.fused_candidates(vectors, vectors_of, near, words, "celex", scopes))
+    best = search.collapse(fused, corpus.anchors).join(fused.select("question", "id", "cosine"), ["question", "id"])
     best = best.join(celex.withColumnRenamed("id", "anchor"), "anchor").join(scope.withColumnRenamed("case_id", "question"), "question")
     several = F.coalesce(F.size("acts"), F.lit(0)) > 1
     per = F.when(several, F.greatest(F.lit(3), F.ceil(F.lit(many) / F.size("acts")))).otherwise(F.lit(many))
