@@ -17,12 +17,7 @@ from docweave.sources.corpus import first_by
 # Routes that a missing role does not matter for, routes that need definitions of statuses or of roles.
 NO_CLARIFICATION = ("definition_lookup", "provision_lookup", "reverse_reference", "community_summary_search", "classification_chain", "role_obligations")
 STATUS_ROUTES, ROLE_ROUTES = ("legal_qualification", "cross_regulation"), ("role_obligations", "cross_regulation")
-# Words by which one asks of one's own duties, and for what a company is.
-PERSONAL = ("we", "my", "our", "you", "your", "us", "i")
-OWN_KIND = ("company", "organisation", "organization", "business", "firm", "startup", "sme", "entity", "hospital", "institution", "developer")
-# Words of a request to show a text, and of one for an analysis.
-SHOWING = ("show", "display", "quote", "print", "reproduce", "read", "render", "give")
-ANALYSING = ("how", "why", "apply", "applies", "application", "comply", "compliance", "liable", "liability", "scenario", "my", "if", "assess", "assessment", "integrate")
+# Fixed value: words of a request that only wants to see a text.
 MOST_SHOWN_WORDS = 16
 GUIDANCE_WORDS = ("mdcg", "guidance")
 #: Candidates for each act, more where guidance is among them.
@@ -78,7 +73,7 @@ def curated_targets(cases: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def asks_personally(question: Column) -> Column:
     """The question is of the asker's own duties."""
-    return rules.says(question, PERSONAL) | rules.in_turn(question, ("as",), OWN_KIND)
+    return question.rlike(rules.PERSONAL)
 
 
 def needs_role(detected: DataFrame, recognised: DataFrame, most: int = 6) -> DataFrame:
@@ -90,8 +85,8 @@ def needs_role(detected: DataFrame, recognised: DataFrame, most: int = 6) -> Dat
     options = detected.select("case_id", F.explode("acts").alias("act")).join(recognised, "act").groupBy("case_id", "term").agg(F.min("priority").alias("priority"), F.array_sort(F.collect_set("act")).alias("acts"))
     listed = first_by(options, ["case_id"], ["priority", "term"], most).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("options"))
     q = F.coalesce(F.col("question"), F.lit(""))
-    gate = ~F.col("route").isin(*NO_CLARIFICATION) & (F.size("refs") == 0) & (F.size("roles") == 0) & (F.size("acts") > 0) & rules.says(q, rules.DUTIES, rules.DUTY_PHRASES)
-    gate = gate & ~rules.says(q, rules.RELATING) & ~rules.says(q, rules.SURVEYING, rules.SURVEY_PHRASES) & asks_personally(q)
+    gate = ~F.col("route").isin(*NO_CLARIFICATION) & (F.size("refs") == 0) & (F.size("roles") == 0) & (F.size("acts") > 0) & rules.asks(q, "obligation")
+    gate = gate & ~rules.compares(q) & ~rules.asks(q, "survey") & asks_personally(q)
     rows = detected.join(listed, "case_id", "left").withColumn("options", F.coalesce("options", F.array().cast("array<string>")))
     ask = gate & (F.size("options") > 1)
     return rows.select("case_id", ask.alias("ask"), F.when(ask, F.col("options")).otherwise(F.array().cast("array<string>")).alias("options"))
@@ -99,10 +94,8 @@ def needs_role(detected: DataFrame, recognised: DataFrame, most: int = 6) -> Dat
 
 def shows_text(detected: DataFrame) -> DataFrame:
     """case_id, ref, act: questions that only ask to see one provision of one act."""
-    words = rules.words_of(F.col("question"))
-    first = F.slice(words, 1, 4)
-    opens = F.arrays_overlap(first, F.array(*map(F.lit, SHOWING))) | (F.slice(words, 1, 2) == F.array(F.lit("what"), F.lit("does"))) | (F.slice(words, 1, 2) == F.array(F.lit("what"), F.lit("is")))
-    plain = ~rules.says(F.col("question"), ANALYSING + rules.DUTIES + ("high",), rules.DUTY_PHRASES) & (F.size(F.split(F.trim("question"), r"\s+")) <= MOST_SHOWN_WORDS)
+    q = F.coalesce(F.col("question"), F.lit(""))
+    opens, plain = rules.asks(q, "display"), ~rules.asks(q, "analysis") & (F.size(F.split(F.trim(q), r"\s+")) <= MOST_SHOWN_WORDS)
     return detected.filter(opens & plain & (F.size("refs") == 1) & (F.size("named_acts") == 1)).select("case_id", F.col("refs")[0].alias("ref"), F.col("named_acts")[0].alias("act"))
 
 
