@@ -59,7 +59,7 @@ def citing_provisions(targets: DataFrame, node: DataFrame, edge: DataFrame, clos
 def citing_in_order(ordered: DataFrame, edge: DataFrame, target: Column, kinds: tuple[str, ...], below: int = 6) -> DataFrame:
     """citing_provisions of the nodes that target holds for, by a scan of the nodes in pre-order (tree.in_order) instead of a closure."""
     seen = tree.marked(ordered, {"targets": target, "near": F.col("kind").isin(*kinds)})
-    seen = cut(seen.select("id", "depth", "targets", F.element_at(F.col("near.node"), -1).alias("nearest")))
+    seen = cut(seen.select("id", "depth", "targets", F.try_element_at(F.col("near.node"), F.lit(-1)).alias("nearest")))
     cites = edge.filter("type = 'CITES'").select("src", "dst")
     hit = cites.join(seen.filter(F.size("targets") > 0).select(F.col("id").alias("dst"), "depth", F.explode("targets").alias("t")), "dst").filter(F.col("depth") - F.col("t.depth") <= below)
     citers = hit.select(F.col("t.node").alias("target"), "src").distinct()

@@ -35,6 +35,13 @@ MARGIN = 10.0**-DIGITS
 FIRST = 4
 
 
+POSTINGS = "shard int, term string, block int, top double, locals array<int>, parts array<double>, bucket int"
+
+
+def _postings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+
+
 def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -55,7 +62,7 @@ def build(documents: DataFrame, folder: str, shard: int = SHARD, block: int = BL
     rows = held.select(_bucket(F.col("term")).alias("bucket"), "shard", "term", "block", "top", F.col("x.local").alias("locals"), F.col("x.part").alias("parts"))
     spread = rows.repartition("bucket", F.floor(F.col("shard") / 8)).sortWithinPartitions("bucket", "term", "shard", "block")
     spread.write.partitionBy("bucket").parquet(f"{folder}/postings")
-    spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.sum(F.size("locals")).alias("df")).write.parquet(f"{folder}/terms")
+    _postings(spark, folder).groupBy("term").agg(F.sum(F.size("locals")).alias("df")).write.parquet(f"{folder}/terms")
 
 
 def weights(spark: SparkSession, folder: str, questions: DataFrame) -> DataFrame:
@@ -83,7 +90,7 @@ def search(spark: SparkSession, folder: str, questions: DataFrame, k: int, cut,
     """question, id, score, rank: the k best documents of questions (question, text). cut keeps a table that is read several times."""
     asked = cut(weights(spark, folder, questions))
     buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
-    postings = spark.read.parquet(f"{folder}/postings").filter(F.col("bucket").isin(buckets))
+    postings = _postings(spark, folder).filter(F.col("bucket").isin(buckets))
     bounded = cut(bounds(postings, asked))
     few = cut(first_by(bounded, ["question"], [F.desc("bound"), "shard", "block"], max(2, -(-FIRST * k // block))).drop("rank"))
     early = cut(scored(postings, asked, few))

@@ -93,12 +93,12 @@ def cosines(vectors: DataFrame, questions: Questions) -> DataFrame:
 
 
 class _Best:
-    """Of a slot the k best anchors, each with its best row: (cosine, id, anchor)."""
+    """Of a slot the k best anchors, each with its best row: (-cosine, id, anchor, group)."""
 
     def __init__(self, k: int):
         self.k, self.rows, self.worst = k, [], -np.inf
 
-    def offer(self, scores: np.ndarray, ids: np.ndarray, anchors: np.ndarray) -> None:
+    def offer(self, scores: np.ndarray, ids: np.ndarray, anchors: np.ndarray, groups: np.ndarray) -> None:
         near = np.flatnonzero(scores >= self.worst)
         if not len(near):
             return
@@ -109,7 +109,7 @@ class _Best:
                 break
             if anchors[i] not in seen:
                 seen.add(anchors[i])
-                new.append((-scores[i], ids[i], anchors[i]))
+                new.append((-scores[i], ids[i], anchors[i], groups[i]))
         rows, seen = [], set()
         for row in sorted(self.rows + new, key=lambda r: r[:2]):
             if row[2] not in seen and len(rows) < self.k:
@@ -129,7 +129,9 @@ def nearest(vectors: DataFrame, questions: Questions, k: int, group: str | None
     prepare(vectors.sparkSession)
     extra = list(dict.fromkeys(c for c in (group, anchor) if c))
     names = ["question", "id", *extra, "cosine"]
-    schema = T.StructType([T.StructField("question", T.LongType()), *[T.StructField(c, vectors.schema[c].dataType) for c in ("id", *extra)], T.StructField("cosine", T.DoubleType())])
+    names = names + (["__slot"] if group else [])  # the group that a row is ranked in, if its question is ranked group by group
+    kinds_of = {"question": T.LongType(), "cosine": T.DoubleType()} | ({"__slot": vectors.schema[group].dataType} if group else {})
+    schema = T.StructType([T.StructField(c, kinds_of[c] if c in kinds_of else vectors.schema[c].dataType) for c in names])
     within = scopes or {}
     apart = lambda q: group is not None and (by_group or len(within.get(q) or ()) > 1)
 
@@ -149,13 +151,11 @@ def nearest(vectors: DataFrame, questions: Questions, k: int, group: str | None
                     else:
                         slots = [((number, None), np.arange(len(at)) if scope is None else np.concatenate([kinds[g] for g in scope if g in kinds] or [np.empty(0, np.int64)]))]
                     for slot, rows in slots:
-                        best.setdefault(slot, _Best(k)).offer(scores[q, rows], ids[rows], anchors[rows])
-            rows = [(number, i, a, g, -s) for (number, g), x in best.items() for s, i, a in x.rows]
+                        best.setdefault(slot, _Best(k)).offer(scores[q, rows], ids[rows], anchors[rows], groups[rows] if group else anchors[rows])
+            rows = [(number, i, a, g, -s, slot) for (number, slot), x in best.items() for s, i, a, g in x.rows]
             if rows:
-                number, i, a, g, s = zip(*rows)
-                have = {"question": number, "id": i, "cosine": s} | ({anchor: a} if anchor else {})
-                if group and group != anchor:
-                    have[group] = g
+                number, i, a, g, s, slot = zip(*rows)
+                have = {"question": number, "id": i, "cosine": s, "__slot": slot} | ({group: g} if group else {}) | ({anchor: a} if anchor else {})
                 plain = lambda some: [x.item() if isinstance(x, np.generic) else x for x in some]
                 yield pa.RecordBatch.from_arrays([pa.array(plain(have[c])) for c in names], names=names).cast(out)
 
@@ -165,11 +165,13 @@ def nearest(vectors: DataFrame, questions: Questions, k: int, group: str | None
         return _of_length(vectors, matrix.shape[1], "id", *extra).mapInArrow(run, schema)
 
     parts = [one(*b) for b in blocks(questions)]
-    found = reduce(DataFrame.unionByName, parts).select(names) if parts else _empty(vectors, ["id", *extra]).select(names)
-    keys = ["question", group] if group else ["question"]
+    if not parts:
+        return _empty(vectors, ["id", *extra]).withColumn("rank", F.lit(0))
+    found = reduce(DataFrame.unionByName, parts).select(names)
+    keys = ["question", "__slot"] if group else ["question"]
     if anchor:
         found = first_by(found, [*keys, anchor], [F.desc("cosine"), "id"]).drop("rank")
-    return first_by(found, keys, [F.desc("cosine"), "id"], k)
+    return first_by(found, keys, [F.desc("cosine"), "id"], k).drop("__slot")
 
 
 def ranks_of(vectors: DataFrame, questions: Questions, wanted: DataFrame, group: str | None = None, scopes: Scopes | None = None) -> DataFrame:
