@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import act_queries, audit_queries, enrich_queries, graph_build_queries, link_queries, reference_queries, row_queries, rule_queries, search_queries, tree_queries
+from docweave.plans import act_queries, audit_queries, enrich_queries, graph_build_queries, link_queries, read_queries, reference_queries, row_queries, rule_queries, search_queries, tree_queries
 
-_MODULES = (tree_queries, search_queries, row_queries, rule_queries, link_queries, graph_build_queries, enrich_queries, reference_queries, act_queries, audit_queries)
+_MODULES = (tree_queries, search_queries, row_queries, rule_queries, link_queries, graph_build_queries, enrich_queries, reference_queries, act_queries, audit_queries, read_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
