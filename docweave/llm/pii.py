@@ -13,9 +13,12 @@ columns stay; repeated rows are all kept. All work on a text is linear in its le
 
 from __future__ import annotations
 
+import json
+import os
 import random
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -329,9 +332,22 @@ def examples(n: int = 960, seed: int = 11) -> list[tuple[str, list[Span]]]:
     return out
 
 
+#: Features and weights of SemiCrf.train(examples()), written by write_weights(); tests/llm/test_pii_weights.py trains anew and compares.
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.json")
+
+
 @lru_cache(maxsize=1)
 def trained() -> SemiCrf:
-    return SemiCrf.train(examples())
+    """The model of the shipped weights: a driver reads a file instead of training in each session."""
+    with open(WEIGHTS, encoding="utf-8") as f:
+        held = json.load(f)
+    return SemiCrf({name: k for k, name in enumerate(held)}, np.array(list(held.values())).reshape(len(held), len(KINDS)))
+
+
+def write_weights(path: str = WEIGHTS) -> None:
+    model = SemiCrf.train(examples())
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({name: [round(float(w), 9) for w in model.weights[k]] for name, k in model.names.items()}, f, ensure_ascii=False, indent=0)
 
 
 def _marks(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
@@ -354,30 +370,49 @@ def _gaps(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out + [(at, len(text))] if at < len(text) else out
 
 
+#: Characters that are read before a mark at first, and tokens at their begin that may be torn.
+READ_BEFORE, TORN = 160, 4
+#: Characters between marks whose windows are not worth telling apart.
+CLOSE = 228
+
+
+def _reach(text: str, first: int, last: int, a: int, b: int) -> tuple[int, int]:
+    """Where the AROUND tokens before a mark at a to b begin, and where those behind it end, in text[first:last], however long they are."""
+    size = READ_BEFORE
+    while True:
+        lo = max(first, a - size)
+        before = [m.start() for m in _TOKEN.finditer(text, lo, a)][TORN if lo > first else 0 :]
+        if lo == first or len(before) >= AROUND:
+            break
+        size *= 2
+    behind = [m.end() for m in islice(_TOKEN.finditer(text, b, last), AROUND)]
+    return before[-AROUND] if len(before) >= AROUND else first, behind[-1] if len(behind) == AROUND else last
+
+
 def added_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
     """Spans of the CRF in what the patterns left: marks and windows are cut at base spans."""
     out: list[Span] = []
     for first, last in _gaps(text, base):
-        groups: list[list[tuple[int, int]]] = []
-        end = 0
+        near_by: list[list[tuple[int, int]]] = []  # marks close to each other share a window
+        end = first
         for a, b in _marks(text, first, last):
-            if groups and a - end <= 12 * AROUND:
-                groups[-1].append((a, b))
+            if near_by and a - end <= CLOSE:
+                near_by[-1].append((a, b))
             else:
-                groups.append([(a, b)])
+                near_by.append([(a, b)])
                 end = b
             end = max(end, b)
+        groups: list[tuple[int, int, list[tuple[int, int]]]] = []
+        for marks in near_by:
+            lo, hi = _reach(text, first, last, marks[0][0], max(b for _, b in marks))
+            if groups and lo <= groups[-1][1]:
+                begin, end, before = groups.pop()
+                groups.append((begin, max(end, hi), before + marks))
+            else:
+                groups.append((lo, hi, marks))
         ready = first
-        for group in groups:
-            end = max(b for _, b in group)
-            lo, hi = max(first, ready, group[0][0] - 12 * AROUND), min(last, end + 12 * AROUND)
-            # A window never ends in a word.
-            tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-            while tokens and tokens[0][0] == lo and lo and text[lo - 1].isalnum() and text[lo].isalnum():
-                tokens.pop(0)
-                lo = tokens[0][0] if tokens else hi
-            while tokens and tokens[-1][1] < len(text) and text[tokens[-1][1] - 1].isalnum() and text[tokens[-1][1]].isalnum() and tokens[-1][1] == hi:
-                tokens.pop()
+        for lo, hi, group in groups:
+            tokens = [m.span() for m in _TOKEN.finditer(text, max(lo, ready), hi)]
             live, x, reach = [], 0, 0
             for a, b in tokens:
                 while x < len(group) and group[x][0] < b:
