@@ -33,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows written to path and read again. For loops: unlike a checkpoint, a table brings no constraints of the plans before it along, which grow with each round."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of ours, wherever it is; one that is not there is no error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
