@@ -8,7 +8,7 @@ rows that the models have not seen turns these into a score.
 At most ROWS_PER_CLASS labelled rows of each class, and SAMPLE_BYTES of their texts, are learnt from (documented
 bounds); everything else covers all rows. A FOLDS-th of each class calibrates, and the models learn from the rest. Where a class has too few
 rows for that (under FEW), the models that calibrate are fitted anew for each fold, so that every row is measured by models that have not
-seen it, and those that score learn from all rows.
+seen it, and those that score learn from all rows. With one row of a class nothing can be calibrated: a score is then the odds of the class times a likelihood ratio.
 
 Defined results: a null or empty text is scored as no words; a null label, a null id in the labels and labels of
 unknown documents teach nothing; an id with several labels counts as toxic if one of them is 1; where only one
@@ -92,7 +92,7 @@ def score(docs: DataFrame, labels: DataFrame, eligible=None, rows_per_class: int
     chosen = docs.select("doc_id", "text").join(F.broadcast(bounded_ids(known, "label", rows_per_class)), "doc_id")
     drawn = bounded_sample(materialise(chosen.filter("text is not null").distinct()), "label", rows_per_class)
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit("fold"), "doc_id", "text"), "doc_id"))
-    sample = materialise(drawn.withColumn("fold", place % FOLDS))
+    sample = materialise(drawn.withColumn("fold", (place + F.col("label")) % FOLDS))  # one row of each class lies in two folds
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return append_columns(docs, field, same, keep)
@@ -106,15 +106,21 @@ def score(docs: DataFrame, labels: DataFrame, eligible=None, rows_per_class: int
         return append_columns(rows, T.StructType([T.StructField(n, T.DoubleType()) for n in names]), work, ["label"], lambda: CharKN.load(model.value)).toPandas()
 
     if min(sizes.values()) < FEW:
-        folds = [(sample.filter(F.col("fold") == k), sample.filter(F.col("fold") != k)) for k in range(FOLDS)]
-        seen = pd.concat([measured(held, learnt(rest)) for held, rest in folds if not held.isEmpty() and not rest.isEmpty()])
+        inside = {(r.fold, r.label): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
+        whole = [k for k in range(FOLDS) if any(f == k for f, _ in inside) and all(inside.get((k, c), 0) < n for c, n in sizes.items())]  # both classes are left to learn from
+        parts = [measured(sample.filter(F.col("fold") == k), learnt(sample.filter(F.col("fold") != k))) for k in whole]
+        seen = pd.concat(parts) if parts else pd.DataFrame(columns=[*names, "label"])
         model = learnt(sample)
     else:
         model = learnt(sample.filter(F.col("fold") != 0))
         seen = measured(sample.filter(F.col("fold") == 0), model)
-    x, y = seen[names].to_numpy(), seen["label"].to_numpy().astype(float)
-    weight = np.array([shares[int(v)] / max(1, (y == v).sum()) for v in y])
-    fitted = logistic(x, y, weight * len(y) / weight.sum())
+    x, y = seen[names].to_numpy(dtype=float), seen["label"].to_numpy(dtype=float)
+    if len(set(y)) < 2:
+        # One row of a class cannot be learnt from and calibrate: the odds of the class, times the likelihood ratio of a word of the worst window.
+        fitted = np.array([np.log(share / (1 - share)), 0.0, 1.0, 0.0, 0.0])
+    else:
+        weight = np.array([shares[int(v)] / max(1, (y == v).sum()) for v in y])
+        fitted = logistic(x, y, weight * len(y) / weight.sum())
 
     def judge(batch: pa.RecordBatch, kn: CharKN) -> list[pa.Array]:
         z = features(kn, batch.column("text")) @ fitted[1:] + fitted[0]

@@ -38,3 +38,9 @@ def test_labelled_texts_of_one_class_only(spark):
     docs, labels = tables(spark, 1, 4)
     got = {r.score for r in toxicity.score(docs.filter("doc_id > 0"), labels).collect()}
     assert got == {1 / 55}
+
+
+def test_one_row_of_each_class(spark):
+    docs, _ = tables(spark, 1, 5)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, spark.createDataFrame([(0, 1), (10, 0)], "doc_id long, toxic int")).collect()}
+    assert all(0 <= s <= 1 for s in got.values()) and got[0] >= got[10]
