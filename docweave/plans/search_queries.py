@@ -28,7 +28,8 @@ def _texts(spark, sf_dir):
 
 def _asked(spark, sf_dir, vectors):
     """The questions' vectors: at most as many as there are items."""
-    return [(r.id, list(r.embedding)) for r in vectors.join(_texts(spark, sf_dir).select(F.col("question").alias("id")), "id", "left_semi").select("id", "embedding").orderBy("id").collect()]
+    item = table(spark, sf_dir, "benchmark").select((F.col("item_id") * EACH).alias("id"))
+    return sorted((r.id, list(r.embedding)) for r in vectors.join(item, "id", "left_semi").select("id", "embedding").collect())
 
 
 def _documents(spark, sf_dir):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions.storage import shared_dir
+from docweave.functions.storage import cut, remove, shared_dir
 
 DELAY, WIDTH = "10 minutes", "1 hour"
 
@@ -33,7 +33,9 @@ def run_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     query = windowed(read_log(spark, sf_dir)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows/{versions(spark, f'{folder}/rows')[-1]}")
+    found = cut(spark.read.parquet(f"{folder}/rows/{versions(spark, f'{folder}/rows')[-1]}"))
+    remove(spark, folder)  # a run of its own: nothing goes on from here
+    return found
 
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
@@ -67,4 +69,7 @@ def keep_latest(log: DataFrame, folder: str, key: str) -> DataFrame:
 
 def latest_state(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
     """Each key's last event of what is there now."""
-    return keep_latest(read_log(spark, sf_dir), f"{shared_dir(spark)}/state-{uuid.uuid4().hex}", key)
+    folder = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    found = cut(keep_latest(read_log(spark, sf_dir), folder, key))
+    remove(spark, folder)
+    return found
