@@ -38,11 +38,16 @@ def base_family(ref: Column) -> Column:
     return F.when(found != "", found)
 
 
+def padded(number: Column) -> Column:
+    """A number's digits, three at least; lpad alone would cut longer ones."""
+    return F.lpad(number, F.greatest(F.lit(3), F.length(number)), "0")
+
+
 def human_reference(node_id: Column) -> Column:
-    """{act}_art_N or {act}_0NN.00M -> Article N or Article N(M)."""
+    """{act}_art_N or {act}_0NN.00M -> Article N or Article N(M); numbers have three digits or more."""
     article = F.regexp_extract(node_id, r"_art_(\d+)$", 1)
-    number, paragraph = (F.regexp_extract(node_id, r"_(\d{3})\.(\d{3})$", k) for k in (1, 2))
-    whole = lambda c: c.cast("int").cast("string")
+    number, paragraph = (F.regexp_extract(node_id, r"_(\d{3,})\.(\d{3,})$", k) for k in (1, 2))
+    whole = lambda c: F.regexp_replace(c, "^0+(?=[0-9])", "")
     return F.when(article != "", F.concat(F.lit("Article "), article)).when(number != "", F.concat(F.lit("Article "), whole(number), F.lit("("), whole(paragraph), F.lit(")")))
 
 

@@ -89,7 +89,7 @@ def reference_forms(spark, sf_dir):
     """Forms of references made of line and supplier numbers."""
     line = corpus.leaves(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey")
     ref = F.concat(F.lit("Article "), "l_suppkey", F.lit("("), "l_linenumber", F.lit("), point (a)"))
-    node = F.concat(F.lit("32017R0745_"), F.lpad(F.col("l_suppkey").cast("string"), 3, "0"), F.lit("."), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"))
+    node = F.concat(F.lit("32017R0745_"), text.padded(F.col("l_suppkey").cast("string")), F.lit("."), text.padded(F.col("l_linenumber").cast("string")))
     return line.select("l_orderkey", "l_linenumber", text.reference_key(ref).alias("ref_key"), text.base_family(ref).alias("family"), text.human_reference(node).alias("human"), text.numeric_act(F.substring_index(node, "_", 1)).alias("act"), text.slug(ref).alias("slug"), text.natural_key(ref).alias("natural"))
 
 
