@@ -22,9 +22,9 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense(vectors: DataFrame, questions: list[tuple[int, list[float]]]) -> DataFrame:
-    """question, id, cosine of every vector (id, embedding) for each question: the whole ranking. vectors.nearest() gives its head alone."""
-    return cosines(vectors, questions)
+def dense(vectors: DataFrame, questions: list[tuple[int, list[float]]], extra: tuple = (), asked: dict[int, list[str]] | None = None) -> DataFrame:
+    """question, id, extra, cosine (and overlap, as in vectors.cosines) of every vector (id, embedding) for each question: the whole ranking. vectors.nearest() gives its head alone."""
+    return cosines(vectors, questions, extra, asked)
 
 
 def terms(text: Column) -> Column:

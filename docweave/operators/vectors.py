@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,23 +74,54 @@ def _empty(vectors: DataFrame, columns: list[str]) -> DataFrame:
     return vectors.select(F.lit(0).cast("long").alias("question"), *columns, F.lit(0.0).alias("cosine")).limit(0)
 
 
-def cosines(vectors: DataFrame, questions: Questions) -> DataFrame:
-    """question, id, cosine (not rounded) of all vectors (id, embedding) for each question."""
+def cosines(vectors: DataFrame, questions: Questions, extra: tuple = (), asked: dict[int, list[str]] | None = None) -> DataFrame:
+    """question, id, extra columns, cosine (not rounded) of all vectors (id, embedding) for each question.
+
+    asked: the different terms of each question; adds overlap, the share of them that a row has in its column terms (different ones), so that no
+    text is read again for each question; questions without terms have no rows.
+    """
     prepare(vectors.sparkSession)
-    schema = T.StructType([T.StructField("question", T.LongType()), T.StructField("id", vectors.schema["id"].dataType), T.StructField("cosine", T.DoubleType())])
+    fields = [T.StructField("question", T.LongType()), vectors.schema["id"], *[vectors.schema[c] for c in extra], T.StructField("cosine", T.DoubleType())]
+    schema = T.StructType(fields + ([] if asked is None else [T.StructField("overlap", T.DoubleType())]))
 
     def one(numbers: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        if asked is not None:
+            some = np.array([bool(asked.get(n)) for n in numbers.tolist()], bool)
+            numbers, matrix = numbers[some], matrix[some]
+            known = sorted({t for n in numbers.tolist() for t in asked[n]})
+            place = {t: k for k, t in enumerate(known)}
+            has = np.zeros((len(known), len(numbers)), np.uint8)
+            for q, n in enumerate(numbers.tolist()):
+                has[[place[t] for t in asked[n]], q] = 1
+            sizes = has.sum(axis=0, dtype=np.int64)
+
+        def shares(column: pa.Array, at: np.ndarray) -> np.ndarray:
+            """Of each row at these places the share of each question's terms that it has: a row for each question."""
+            lists = column.take(pa.array(at))
+            found = pc.index_in(lists.flatten(), value_set=pa.array(known, pa.string()))
+            found = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            counts = np.zeros((len(at), len(numbers)), np.int64)
+            for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
+                row = found[a:b]
+                counts[k] = has[row[row >= 0]].sum(axis=0, dtype=np.int64)
+            return (counts / sizes).T
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at, scores = _scores(batch, matrix)
-                ids = batch.column("id").take(pa.array(at))
+                kept = [batch.column(c).take(pa.array(at)) for c in ("id", *extra)]
+                more = None if asked is None else shares(batch.column("terms"), at)
                 for q, number in enumerate(numbers):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), ids, pa.array(scores[q])], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), *kept, pa.array(scores[q]), *([] if more is None else [pa.array(more[q])])], names=schema.names)
 
-        return _of_length(vectors, matrix.shape[1], "id").mapInArrow(run, schema)
+        return _of_length(vectors, matrix.shape[1], "id", *extra, *(["terms"] if asked is not None else [])).mapInArrow(run, schema)
 
     parts = [one(*b) for b in blocks(questions)]
-    return reduce(DataFrame.unionByName, parts) if parts else _empty(vectors, ["id"])
+    if parts:
+        return reduce(DataFrame.unionByName, parts)
+    none = _empty(vectors, ["id", *extra])
+    return none if asked is None else none.withColumn("overlap", F.lit(0.0))
 
 
 class _Best:

@@ -79,11 +79,14 @@ def hybrid_retrieve(spark, sf_dir):
 
 
 def rerank_by_label(spark, sf_dir):
-    """Blend of a scorer and the cosine, scaled within question and label."""
+    """Blend of a scorer and the cosine, scaled within question and label. Documents are read as terms once, for all questions."""
     vectors = _vectors(spark, sf_dir)
-    scored = search.dense(vectors, _asked(spark, sf_dir, vectors)).join(vectors.select("id", "label"), "id").join(_documents(spark, sf_dir), "id")
-    asked = _texts(spark, sf_dir).withColumnRenamed("text", "asked")
-    scored = scored.join(asked, "question").select("question", "label", "id", F.col("cosine"), search.overlap(F.col("asked"), F.col("text")).alias("strong"))
+    asked = _texts(spark, sf_dir).select("question", F.explode(search.terms(F.col("text"))).alias("term")).groupBy("question").agg(F.collect_set("term").alias("terms"))
+    asked = {r.question: r.terms for r in asked.collect()}  # as many as there are items, like their vectors
+    documents = _documents(spark, sf_dir).join(vectors.select("id"), "id", "left_semi")
+    documents = documents.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.array_distinct(search.terms(F.col("text")))))).alias("terms"))
+    documents = documents.withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
+    scored = search.dense(vectors.join(documents, "id"), _asked(spark, sf_dir, vectors), ("label",), asked).withColumnRenamed("overlap", "strong")
     return search.blend(scored, ["question", "label"], "strong", "cosine").select("question", "label", "id", F.round("blended", 6).alias("blended"))
 
 
