@@ -33,12 +33,31 @@ def with_paths(provisions: DataFrame) -> DataFrame:
             return provisions.drop("path").join(up.select("id", "path"), "id")
 
 
-def ancestor_numbers(provisions: DataFrame) -> DataFrame:
-    """id and, for each numbered kind, the number of the nearest ancestor of that kind (in_chapter, in_article, ...)."""
-    above = provisions.select("id", F.posexplode("path").alias("at", "anc")).filter("anc <> id")
+def _ancestor_numbers(provisions: DataFrame) -> DataFrame:
+    """parent (the nearest ancestor) and, for each numbered kind, the number of the nearest provision of that kind at or above it.
+
+    Children of one parent have the same ancestors, so paths are taken apart once a parent.
+    """
+    above = provisions.select(_ancestors().alias("above")).filter(F.size("above") > 0).groupBy(F.element_at("above", -1).alias("parent")).agg(F.any_value("above").alias("above"))
+    above = above.select("parent", F.posexplode("above").alias("at", "anc"))
     numbers = provisions.filter(F.col("kind").isin(*NUMBERED)).select(F.col("id").alias("anc"), "kind", "number")
     nearest = [F.max(F.when(F.col("kind") == k, F.struct("at", "number")))["number"].alias(f"in_{k}") for k in NUMBERED]
-    return above.join(numbers, "anc").groupBy("id").agg(*nearest)
+    return above.join(numbers, "anc").groupBy("parent").agg(*nearest)
+
+
+def _ancestors() -> Column:
+    return F.filter("path", lambda x: x != F.col("id"))
+
+
+def _with_ancestor_numbers(provisions: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (some of the provisions) with the numbers of their ancestors, null where there are none."""
+    return rows.withColumn("parent", F.try_element_at(_ancestors(), F.lit(-1))).drop("path").join(_ancestor_numbers(provisions), "parent", "left").drop("parent")
+
+
+def ancestor_numbers(provisions: DataFrame) -> DataFrame:
+    """id and, for each numbered kind, the number of the nearest ancestor of that kind (in_chapter, in_article, ...)."""
+    some = F.coalesce(*[F.col(f"in_{k}") for k in NUMBERED]).isNotNull()
+    return _with_ancestor_numbers(provisions, provisions.select("id", "path")).filter(some)
 
 
 def nearest_ancestor(provisions: DataFrame, kind: str) -> DataFrame:
@@ -56,7 +75,8 @@ def index(provisions: DataFrame) -> DataFrame:
 
     Points below paragraphs have a second key without the paragraph (key_kind some_point), where the first in order counts.
     """
-    rows = provisions.filter("number is not null and number <> ''").join(ancestor_numbers(provisions), "id", "left")
+    rows = provisions.filter("number is not null and number <> ''").select("celex", "id", "seq", "kind", "number", "path")
+    rows = _with_ancestor_numbers(provisions, rows)
     n, art, par, pt = F.col("number"), F.col("in_article"), F.col("in_paragraph"), F.col("in_point")
     kind = F.col("kind")
     key = (
@@ -68,10 +88,11 @@ def index(provisions: DataFrame) -> DataFrame:
         .when(kind == "roman_item", F.coalesce(_joined(art, par, pt, n), _joined(art, pt, n)))
         .when(kind.isin("annex_section", "annex_point"), _joined(F.col("in_annex"), n))
     )
-    keyed = rows.select("celex", kind.alias("key_kind"), key.alias("key"), "id", "seq").filter("key is not null")
-    last = keyed.groupBy("celex", "key_kind", "key").agg(F.max_by("id", "seq").alias("target"))
-    some = rows.filter((kind == "point") & par.isNotNull() & art.isNotNull()).groupBy("celex", _joined(art, n).alias("key")).agg(F.min_by("id", "seq").alias("target"))
-    return last.unionByName(some.select("celex", F.lit("some_point").alias("key_kind"), "key", "target"))
+    entry = lambda k, value: F.when(value.isNotNull(), F.struct(k.alias("key_kind"), value.alias("key")))
+    some = F.lit("some_point")
+    entries = F.array(entry(kind, key), entry(some, F.when((kind == "point") & par.isNotNull(), _joined(art, n))))
+    keyed = rows.select("celex", "id", "seq", F.explode(F.array_compact(entries)).alias("x")).groupBy("celex", "x.key_kind", "x.key").agg(F.max_by("id", "seq").alias("last"), F.min_by("id", "seq").alias("first"))
+    return keyed.select("celex", "key_kind", "key", F.when(F.col("key_kind") == some, F.col("first")).otherwise(F.col("last")).alias("target"))
 
 
 def with_context(provisions: DataFrame) -> DataFrame:
@@ -178,11 +199,12 @@ EDGE = ["celex", "source", "type", "target", "ref_text"]
 
 def resolve(provisions: DataFrame) -> DataFrame:
     """celex, source, type, target, ref_text: the edges of all references. CITES inside the act, CITES_EXTERNAL and AMENDS between acts."""
-    rows = cut(extracted(with_context(provisions.select("celex", "seq", "id", "kind", "number", "parent_id", "path", "text"))))
+    rows = extracted(with_context(provisions.select("celex", "seq", "id", "kind", "number", "text"))).drop("kind", "number", "text")
+    rows = cut(rows)
     context = {k: F.col(f"ctx_{k}") for k in ("chapter", "article", "paragraph", "subparagraph")}
     keyed = rows.withColumn("c", candidates(F.col("ref_kind"), F.col("p"), F.col("item"), context))
     tried = keyed.filter(F.size("c") > 0).select("celex", "id", "seq", "at", "item", "match", F.posexplode("c").alias("rank", "c")).select("celex", "id", "seq", "at", "item", "match", "rank", "c.key_kind", "c.key")
-    known = index(provisions)
+    known = cut(index(provisions))  # read twice
     hit = tried.join(known, ["celex", "key_kind", "key"]).groupBy("celex", "id", "seq", "at", "item", "match").agg(F.min_by("target", "rank").alias("target"))
     hit = hit.unionByName(wide_spans(rows.filter("ref_kind = 'range'"), known))
     inside = hit.select("celex", F.col("id").alias("source"), F.lit("CITES").alias("type"), "target", F.col("match").alias("ref_text"), "seq", "at")
