@@ -32,17 +32,21 @@ def terms(text: Column) -> Column:
 
 
 def bm25(documents: DataFrame, questions: DataFrame) -> DataFrame:
-    """question, id, score. documents: id, text. questions: question, text. Documents are shuffled only as terms of questions."""
+    """question, id, score. documents: id, text. questions: question, text.
+
+    Documents are shuffled once, by id, and only as terms of questions; those, with their weights, go to all tasks, so that a document's scores are
+    summed where it is and no row of a question and a document is shuffled.
+    """
     wanted = questions.select("question", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     words = documents.select("id", terms(F.col("text")).alias("words"))
     size = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    found = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").repartition("id")
+    tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    joined = tf.join(df, "term").join(F.broadcast(size))  # one row
-    return joined.withColumn("part", part).join(wanted, "term").groupBy("question", "id").agg(F.sum("part").alias("score"))
+    joined = tf.join(F.broadcast(df), "term").join(F.broadcast(size))  # one row
+    return joined.withColumn("part", part).join(F.broadcast(wanted), "term").groupBy("question", "id").agg(F.sum("part").alias("score"))
 
 
 def reciprocal_rank_fusion(dense_ranked: DataFrame, lexical_ranked: DataFrame) -> DataFrame:
