@@ -33,8 +33,7 @@ def _pages(spark, sf_dir):
 
 
 def parsed_acts(spark, sf_dir):
-    rows = legal_html.parse(_pages(spark, sf_dir))
-    return rows.select("id", "kind", "number", "title", "text", "parent_id", "depth")
+    return legal_html.parse(_pages(spark, sf_dir), ("id", "kind", "number", "title", "text", "parent_id", "depth"))
 
 
 def page_diagnosis(spark, sf_dir):
