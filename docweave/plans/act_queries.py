@@ -44,7 +44,7 @@ def page_diagnosis(spark, sf_dir):
 
 def parsed_integrity(spark, sf_dir):
     """Nodes whose parent, path or place in it is wrong, of the parsed acts: none but one row of counts."""
-    rows = cut(legal_html.parse(_pages(spark, sf_dir)).select("id", "parent_id", "path", "depth"))
+    rows = cut(legal_html.parse(_pages(spark, sf_dir), ("id", "parent_id", "path", "depth")))
     parent = rows.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
     both = rows.join(parent, "parent_id", "left")
     bad = (F.col("parent_id").isNotNull() & F.col("above").isNull()) | (F.col("above").isNotNull() & (F.concat("above", F.array("id")) != F.col("path"))) | (F.col("depth") != F.size("path") - 1)
