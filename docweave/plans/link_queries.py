@@ -65,8 +65,7 @@ def delegations(spark, sf_dir):
 
 def extracted_references(spark, sf_dir):
     """References in the points' own texts."""
-    node = corpus.nodes(spark, sf_dir).filter("kind = 'point'").select("id", "text")
-    found = spans.spans(node, "text", "spans").select("id", F.explode("spans").alias("s"))
+    found = spans.spans(corpus.points(spark, sf_dir), "text", "spans").select("id", F.explode("spans").alias("s"))
     return found.select("id", "s.kind", "s.start", "s.end", "s.match", F.col("s.groups")["article"].alias("article"), F.col("s.groups")["paragraph"].alias("paragraph"))
 
 
