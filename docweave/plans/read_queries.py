@@ -14,11 +14,11 @@ K = 8
 
 
 def _corpus(spark, sf_dir):
-    """Articles with the vectors of their numbers; each is its own anchor."""
-    node = cut(corpus.nodes(spark, sf_dir))
+    """Articles with the vectors of their numbers; each is its own anchor. What is read of other nodes is their edges, and which articles they lie in."""
+    node = corpus.nodes(spark, sf_dir).filter("kind = 'article'")
     vectors = _vectors(spark, sf_dir).select(F.concat(F.lit("C:"), "id").alias("id"), "embedding").join(node.select("id"), "id", "left_semi")
-    closed = tree.closure(corpus.with_paths(node, corpus.LEVELS))
-    return retrieve.Corpus(node, cut(corpus.edges(spark, sf_dir, node)), closed, vectors, None, vectors.select("id", F.col("id").alias("anchor")))
+    closed = tree.closure(corpus.pathed(spark, sf_dir), kind="article")
+    return retrieve.Corpus(node, corpus.edges(spark, sf_dir), closed, vectors, None, vectors.select("id", F.col("id").alias("anchor")))
 
 
 def _questions(spark, sf_dir):
