@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from docweave.operators import graph, references, tree
 from docweave.plans import tree_queries
 from docweave.sources import corpus
