@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.storage import cut
+from docweave.operators.lexical import B, K1, terms
 from docweave.operators.vectors import cosines, ranks_of
 from docweave.sources.corpus import first_by
 
-K1, B = 1.2, 0.75
 RRF_K, LEXICAL_WEIGHT = 60, 0.5
 
 
@@ -27,12 +27,8 @@ def dense(vectors: DataFrame, questions: list[tuple[int, list[float]]], extra: t
     return cosines(vectors, questions, extra, asked)
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-
-
 def bm25(documents: DataFrame, questions: DataFrame) -> DataFrame:
-    """question, id, score. documents: id, text. questions: question, text.
+    """question, id, score: of every document that has a term of the question; lexical.bm25_best() gives the head alone. documents: id, text. questions: question, text.
 
     Documents are shuffled once, by id, and only as terms of questions; those, with their weights, go to all tasks, so that a document's scores are
     summed where it is and no row of a question and a document is shuffled.
