@@ -2,7 +2,8 @@
 
 A scan multiplies Arrow batches of vectors with the matrix of the questions. nearest() keeps, in each task, the k best for each
 question (or for each question and group), so a task hands over k rows for them however many vectors it reads. ranks_of()
-counts, for rows whose place in a question's whole ranking is asked, how many vectors are better, without making that ranking.
+counts, for rows whose place in a question's whole ranking is asked, how many vectors are better, without making that ranking. ranking() makes it: a first scan counts
+how many cosines lie in each of BINS ranges, so the second knows how many rows come before a row's range, and rows are shuffled once.
 
 Questions come from the caller as (number, vector); those whose vectors take more than QUESTION_BYTES together are asked in several
 scans, so what a task gets is bounded.
@@ -19,7 +20,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ from docweave.sources.corpus import first_by
 
 DIGITS = 6
 QUESTION_BYTES = 16 << 20
+#: Ranges of cosines that a question's whole ranking is made in.
+BINS = 2_000
 
 Questions = list[tuple[int, list[float]]]
 #: The groups that a question's rows may have; None for all.
@@ -253,3 +256,47 @@ def ranks_of(vectors: DataFrame, questions: Questions, wanted: DataFrame, group:
         return wanted.withColumn("rank", F.lit(0)).limit(0)
     counted = reduce(DataFrame.unionByName, parts).groupBy("question", "id").agg(F.sum("better").alias("better"))
     return wanted.join(counted, ["question", "id"]).select(*wanted.columns, F.col("better").cast("int").alias("rank"))
+
+
+def ranking(vectors: DataFrame, questions: Questions) -> DataFrame:
+    """question, id, rank, from 0, of all vectors for each question, by cosine, then id.
+
+    What is held of a question on the driver and in a task is BINS counts; rows of one range of a question, and so equal cosines, are ranked in one window.
+    """
+    prepare(vectors.sparkSession)
+    schema = T.StructType([T.StructField("question", T.LongType()), vectors.schema["id"], T.StructField("cosine", T.DoubleType()), T.StructField("before", T.LongType())])
+
+    def bins(scores: np.ndarray) -> np.ndarray:
+        """The ranges of rounded cosines, the nearest first."""
+        return np.clip(np.floor((1 - scores) * (BINS / 2)), 0, BINS - 1).astype(np.int64)
+
+    def one(numbers: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        some = _of_length(vectors, matrix.shape[1], "id")
+
+        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(len(numbers) * BINS, np.int64)
+            for batch in batches:
+                at = bins(rounded(_scores(batch, matrix)[1])) + np.arange(len(numbers))[:, None] * BINS
+                counts += np.bincount(at.ravel(), minlength=len(counts))
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+
+        counts = np.zeros((len(numbers), BINS), np.int64)
+        for r in some.select("embedding").mapInArrow(sizes, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            counts[divmod(r.at, BINS)] = r.n
+        before = np.cumsum(counts, axis=1) - counts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, scores = _scores(batch, matrix)
+                scores, ids = rounded(scores), batch.column("id").take(pa.array(at))
+                for q, number in enumerate(numbers):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), ids, pa.array(scores[q]), pa.array(before[q][bins(scores[q])])], names=schema.names)
+
+        return some.mapInArrow(run, schema)
+
+    parts = [one(*b) for b in blocks(questions)]
+    if not parts:
+        return _empty(vectors, ["id"]).select("question", "id", F.lit(0).alias("rank"))
+    place = F.row_number().over(Window.partitionBy("question", "before").orderBy(F.desc("cosine"), "id"))
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place).select("question", "id", (F.col("before") + F.col("place") - 1).cast("int").alias("rank"))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from docweave.functions.storage import cut, remove, shared_dir
-from docweave.operators import inverted, search
-from docweave.operators.vectors import nearest
+from docweave.operators import inverted, lexical, search
+from docweave.operators.vectors import nearest, ranking
 from docweave.sources.corpus import first_by, table
 
 #: Questions are the vectors whose id is a multiple of this, of which there is an item.
@@ -42,8 +42,12 @@ def dense_top_k(spark, sf_dir):
 
 
 def bm25_top_k(spark, sf_dir):
-    scored = search.bm25(_documents(spark, sf_dir), _texts(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return first_by(scored, ["question"], [F.desc("score"), "id"], 8 * K)
+    return lexical.bm25_best(_documents(spark, sf_dir), _texts(spark, sf_dir), 8 * K)
+
+
+def _words(spark, sf_dir):
+    """bm25_top_k, with ranks from 0."""
+    return bm25_top_k(spark, sf_dir).select("question", "id", (F.col("rank") - 1).alias("rank"))
 
 
 def bm25_indexed(spark, sf_dir):
@@ -55,15 +59,10 @@ def bm25_indexed(spark, sf_dir):
     return found
 
 
-def _fused(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    near = search.ranks(search.dense(vectors, _asked(spark, sf_dir, vectors)).withColumn("cosine", F.round("cosine", 6)), "cosine")
-    words = search.ranks(search.bm25(_documents(spark, sf_dir), _texts(spark, sf_dir)).withColumn("score", F.round("score", 6)), "score", 8 * K)
-    return search.reciprocal_rank_fusion(near, words), vectors
-
-
 def rank_fusion(spark, sf_dir):
-    fused, _ = _fused(spark, sf_dir)
+    """All vectors for each question: the dense ranking is whole, the lexical one has 8 * K rows for a question, which are sent to all tasks."""
+    vectors = _vectors(spark, sf_dir)
+    fused = search.reciprocal_rank_fusion(ranking(vectors, _asked(spark, sf_dir, vectors)), F.broadcast(_words(spark, sf_dir)))
     return fused.select("question", "id", F.round("fused", 8).alias("fused"))
 
 
