@@ -70,7 +70,7 @@ def hybrid_retrieve(spark, sf_dir):
     """Dense and lexical ranks, fused; leaves collapsed to anchors; a quota for each label; k anchors for each question."""
     vectors = _vectors(spark, sf_dir).withColumn("anchor", F.col("id") % 50)
     asked = _asked(spark, sf_dir, vectors)
-    words = cut(search.ranks(search.bm25(_documents(spark, sf_dir), _texts(spark, sf_dir)).withColumn("score", F.round("score", 6)), "score", 8 * K))
+    words = cut(_words(spark, sf_dir))
     near = nearest(vectors, asked, 1, "anchor")  # an anchor here has leaves of all labels, so its best leaf decides its label
     fused = search.fused_candidates(vectors, asked, near, words)
     found = search.collapse(fused, vectors.select("id", "anchor")).join(vectors.select("id", "label"), "id")

@@ -48,3 +48,11 @@ def test_ranking(spark):
     near = search.dense(vectors.filter("id < 900"), questions).withColumn("cosine", F.round("cosine", 6))
     assert sorted(map(tuple, found.select("question", "id", "rank").collect())) == sorted(map(tuple, search.ranks(near, "cosine").collect()))
     assert ranking(vectors, []).count() == 0
+
+
+def test_hybrid_needs_the_head_alone(spark, sf_dir, monkeypatch):
+    """Before, the scores of all questions and documents were made and sorted by question."""
+    from docweave.plans import search_queries
+
+    monkeypatch.setattr(search, "bm25", None)
+    assert search_queries.hybrid_retrieve(spark, sf_dir).count() > 0
