@@ -74,9 +74,13 @@ def index(provisions: DataFrame) -> DataFrame:
     """celex, key_kind, key, target: compound keys of all numbered provisions; the last in document order counts.
 
     Points below paragraphs have a second key without the paragraph (key_kind some_point), where the first in order counts.
+    Where provisions have the numbers of their nearest ancestors (in_article, in_paragraph, ...; kinds that are not there have none) instead of path, nothing is joined.
     """
-    rows = provisions.filter("number is not null and number <> ''").select("celex", "id", "seq", "kind", "number", "path")
-    rows = _with_ancestor_numbers(provisions, rows)
+    rows = provisions.filter("number is not null and number <> ''")
+    if "path" not in provisions.columns:
+        rows = rows.withColumns({f"in_{k}": F.lit(None).cast("string") for k in NUMBERED if f"in_{k}" not in provisions.columns})
+    else:
+        rows = _with_ancestor_numbers(provisions, rows.select("celex", "id", "seq", "kind", "number", "path"))
     n, art, par, pt = F.col("number"), F.col("in_article"), F.col("in_paragraph"), F.col("in_point")
     kind = F.col("kind")
     key = (
@@ -91,7 +95,9 @@ def index(provisions: DataFrame) -> DataFrame:
     entry = lambda k, value: F.when(value.isNotNull(), F.struct(k.alias("key_kind"), value.alias("key")))
     some = F.lit("some_point")
     entries = F.array(entry(kind, key), entry(some, F.when((kind == "point") & par.isNotNull(), _joined(art, n))))
-    keyed = rows.select("celex", "id", "seq", F.explode(F.array_compact(entries)).alias("x")).groupBy("celex", "x.key_kind", "x.key").agg(F.max_by("id", "seq").alias("last"), F.min_by("id", "seq").alias("first"))
+    keyed = rows.select("celex", "id", "seq", F.explode(F.array_compact(entries)).alias("x")).select("celex", "id", "seq", "x.key_kind", "x.key")
+    # Nearly all keys are different, so rows are shuffled as they are: sums of a task would have id and seq twice, and be sorted for it.
+    keyed = keyed.repartition("celex", "key_kind", "key").groupBy("celex", "key_kind", "key").agg(F.max_by("id", "seq").alias("last"), F.min_by("id", "seq").alias("first"))
     return keyed.select("celex", "key_kind", "key", F.when(F.col("key_kind") == some, F.col("first")).otherwise(F.col("last")).alias("target"))
 
 
