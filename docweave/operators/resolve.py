@@ -10,14 +10,16 @@ provisions the first stays; a null or empty text has none.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.functions.storage import cut
-from docweave.operators import references, scan, spans
+from docweave.functions.storage import shared_dir, stored
+from docweave.operators import references, scan
 
 #: Kinds that carry numbers which keys are made of.
 NUMBERED = ("chapter", "article", "paragraph", "subparagraph", "point", "annex")
@@ -126,12 +128,77 @@ def act_id(kind: Column, series: Column, number: Column, suffix: Column) -> Colu
     return F.concat_ws("_", F.lit("ext"), F.lower(kind), F.lower(series), F.translate(number, "/", "_"), F.lower(suffix))
 
 
-def extracted(provisions: DataFrame) -> DataFrame:
-    """Each reference of each provision, numbered in its text (at), with its parts p; ranges and point lists one row a number (item)."""
-    found = spans.spans(provisions.filter("text is not null and text <> ''"), "text", "found").withColumn("x", F.explode(F.transform("found", lambda s, i: F.struct(i.alias("at"), s.alias("s")))))
-    rows = found.drop("found").select("*", F.col("x.at").alias("at"), F.col("x.s.kind").alias("ref_kind"), F.col("x.s.match").alias("match"), F.col("x.s.groups").alias("p")).drop("x")
+FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("match", T.StringType()), T.StructField("groups", T.MapType(T.StringType(), T.StringType()))]))
+CONTEXT = ("chapter", "article", "paragraph", "subparagraph")
+
+
+def _read(provisions: DataFrame, texts: bool) -> DataFrame:
+    """The provisions in the order of (celex, seq), dealt out by ranges of it: part and n (numbers of the range and the row, in that order), found (the references of
+    the text), and ctx_chapter, ... as far as the range tells; open has the bits of those that come from the ranges before. At the end of an act or
+    a range stands a row of its own (end), with what goes on into the next range.
+
+    A range is read as a stream: nothing of an act is kept but its four numbers. Without texts, references come without what they match.
+    """
+    import pyarrow as pa
+
+    numbers = [c for c in provisions.columns if c in {f"in_{k}" for k in NUMBERED}]
+    carried = ["celex", "id", "kind", "number", *numbers]
+    ordered = provisions.repartitionByRange("celex", "seq").sortWithinPartitions("celex", "seq").select(*carried, "text")
+    text = lambda name: T.StructField(name, T.StringType())
+    own = [T.StructField("found", FOUND), *[text(f"ctx_{k}") for k in CONTEXT], T.StructField("open", T.IntegerType()), T.StructField("end", T.BooleanType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType())]
+    schema = T.StructType([*[T.StructField(c, ordered.schema[c].dataType) for c in carried], *own])
+    kinds = [pa.list_(pa.struct([("kind", pa.string()), ("match", pa.string()), ("groups", pa.map_(pa.string(), pa.string()))])), *[pa.string()] * 4, pa.int32(), pa.bool_(), pa.int32(), pa.int64()]
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        row, act, now, unknown = part << 33, None, [None] * 4, 15
+        types = None
+
+        def ended():
+            values = [[act], *[[None] for _ in carried[1:]], [None], *[[x] for x in now], [unknown], [True], [part], [row]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=schema.names)
+
+        for b in batches:
+            found, contexts, opened, begun = [], [], [], 0
+            for at, (celex, kind, number, said) in enumerate(zip(*(b.column(c).to_pylist() for c in ("celex", "kind", "number", "text")), strict=True)):
+                if types is None:
+                    types, act = [*[b.schema.field(c).type for c in carried], *kinds], celex
+                if celex != act:
+                    if at > begun:
+                        yield pa.RecordBatch.from_arrays([*[b.column(c).slice(begun, at - begun) for c in carried], *[pa.array(v, t) for v, t in zip([found, *(list(x) for x in zip(*contexts, strict=True)), opened, [False] * len(opened), [part] * len(opened), list(range(row - len(opened), row))], kinds, strict=True)]], names=schema.names)
+                        found, contexts, opened, begun = [], [], [], at
+                    yield ended()
+                    act, now, unknown = celex, [None] * 4, 15
+                    row += 1
+                if kind in CONTEXT:
+                    k = CONTEXT.index(kind)
+                    now[k], unknown = number, unknown & ~(1 << k)
+                    if k in (1, 2):  # an article ends the paragraph and the subparagraph before it, a paragraph the latter
+                        now[k + 1 :], unknown = [None] * (3 - k), unknown & ((2 << k) - 1)
+                found.append([{"kind": x["kind"], "match": x["match"] if texts else None, "groups": x["groups"]} for x in references.located_references(said)] if said else None)
+                contexts.append(tuple(now))
+                opened.append(unknown)
+                row += 1
+            if opened:
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(begun) for c in carried], *[pa.array(v, t) for v, t in zip([found, *(list(x) for x in zip(*contexts, strict=True)), opened, [False] * len(opened), [part] * len(opened), list(range(row - len(opened), row))], kinds, strict=True)]], names=schema.names)
+        if types is not None:
+            yield ended()
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _items(rows: DataFrame) -> DataFrame:
+    """Each reference of _read() rows, numbered in its text (at), with its parts p and the whole context; ranges and point lists one row a number (item)."""
+    opened = lambda k: F.col("open").bitwiseAND(1 << k) != 0
+    ends = rows.filter("end").select("celex", "part", "n", *[F.when(~opened(k), F.struct(F.col(f"ctx_{x}").alias("x"))).alias(f"__{x}") for k, x in enumerate(CONTEXT)])
+    before = Window.partitionBy("celex").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    carries = ends.select(F.col("celex").alias("__celex"), F.col("part").alias("__part"), *[F.last(f"__{x}", ignorenulls=True).over(before).alias(f"__{x}") for x in CONTEXT])
+    carries = carries.filter(F.coalesce(*[F.col(f"__{x}") for x in CONTEXT]).isNotNull())  # fewer than ranges
+    cited = rows.filter("size(found) > 0").join(F.broadcast(carries), (F.col("part") == F.col("__part")) & F.col("celex").eqNullSafe(F.col("__celex")), "left")
+    context = [F.when(opened(k), F.col(f"__{x}.x")).otherwise(F.col(f"ctx_{x}")).alias(f"ctx_{x}") for k, x in enumerate(CONTEXT)]
+    each = cited.select("celex", "id", "n", *context, F.posexplode("found").alias("at", "s")).select("celex", "id", "n", *[f"ctx_{x}" for x in CONTEXT], "at", F.col("s.kind").alias("ref_kind"), F.col("s.match").alias("match"), F.col("s.groups").alias("p"))
     numbers = numbers_of(F.col("p"))
-    return rows.withColumn("item", F.explode(F.when(F.size(numbers) > 0, numbers).otherwise(F.array(F.lit(None).cast("string")))))
+    return each.select("*", F.posexplode(F.when(F.size(numbers) > 0, numbers).otherwise(F.array(F.lit(None).cast("string")))).alias("place", "item"))
 
 
 def numbers_of(p: Column) -> Column:
@@ -142,13 +209,23 @@ def numbers_of(p: Column) -> Column:
     return F.when(p["first"].isNotNull(), span.cast("array<string>")).when(listed.isNotNull(), listed).otherwise(F.array().cast("array<string>"))
 
 
+def _ends(p: Column) -> list[Column]:
+    return [F.regexp_extract(p[k], r"^\(?([0-9]+)", 1).cast("decimal(38, 0)") for k in ("first", "last")]
+
+
+def wide(ref_kind: Column, p: Column) -> Column:
+    """Whether a reference is a span of more numbers than are listed."""
+    first, last = _ends(p)
+    return F.coalesce((ref_kind == "range") & p["first"].isNotNull() & (last - first > references.MOST_RANGE), F.lit(False))
+
+
 def wide_spans(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """celex, id, seq, at, item, match, target: of spans of more numbers than are listed, what the index has between the ends."""
+    """celex, id, n, at, item, match, target: of spans of more numbers than are listed, what the index has between the ends."""
     p = F.col("p")
-    first, last = (F.regexp_extract(p[k], r"^\(?([0-9]+)", 1).cast("decimal(38, 0)") for k in ("first", "last"))
-    wide = rows.filter(p["first"].isNotNull()).select("celex", "id", "seq", "at", "match", p["unit"].alias("key_kind"), first.alias("a"), last.alias("b")).filter(F.col("b") - F.col("a") > references.MOST_RANGE)
-    number = known.filter(F.col("key").rlike("^[0-9]{1,38}$")).select("celex", "key_kind", "target", F.col("key").cast("decimal(38, 0)").alias("n"))
-    return wide.join(number, ["celex", "key_kind"]).filter(F.col("n").between(F.col("a"), F.col("b"))).select("celex", "id", "seq", "at", F.col("n").cast("string").alias("item"), "match", "target")
+    first, last = _ends(p)
+    spans = rows.filter(wide(F.col("ref_kind"), p)).select("celex", "id", "n", "at", "match", p["unit"].alias("key_kind"), first.alias("a"), last.alias("b"))
+    number = known.filter(F.col("key").rlike("^[0-9]{1,38}$")).select("celex", "key_kind", "target", F.col("key").cast("decimal(38, 0)").alias("number"))
+    return spans.join(number, ["celex", "key_kind"]).filter(F.col("number").between(F.col("a"), F.col("b"))).select("celex", "id", "n", "at", F.col("number").cast("string").alias("item"), "match", "target")
 
 
 def _candidate(kind: str | Column, *parts: Column) -> Column:
@@ -203,25 +280,36 @@ def candidates(ref_kind: Column, p: Column, item: Column, context: dict[str, Col
 EDGE = ["celex", "source", "type", "target", "ref_text"]
 
 
-def resolve(provisions: DataFrame) -> DataFrame:
-    """celex, source, type, target, ref_text: the edges of all references. CITES inside the act, CITES_EXTERNAL and AMENDS between acts."""
-    rows = extracted(with_context(provisions.select("celex", "seq", "id", "kind", "number", "text"))).drop("kind", "number", "text")
-    rows = cut(rows)
-    context = {k: F.col(f"ctx_{k}") for k in ("chapter", "article", "paragraph", "subparagraph")}
-    keyed = rows.withColumn("c", candidates(F.col("ref_kind"), F.col("p"), F.col("item"), context))
-    tried = keyed.filter(F.size("c") > 0).select("celex", "id", "seq", "at", "item", "match", F.posexplode("c").alias("rank", "c")).select("celex", "id", "seq", "at", "item", "match", "rank", "c.key_kind", "c.key")
-    known = cut(index(provisions))  # read twice
-    hit = tried.join(known, ["celex", "key_kind", "key"]).groupBy("celex", "id", "seq", "at", "item", "match").agg(F.min_by("target", "rank").alias("target"))
-    hit = hit.unionByName(wide_spans(rows.filter("ref_kind = 'range'"), known))
-    inside = hit.select("celex", F.col("id").alias("source"), F.lit("CITES").alias("type"), "target", F.col("match").alias("ref_text"), "seq", "at")
+def resolve(provisions: DataFrame, texts: bool = True) -> DataFrame:
+    """celex, source, type, target, ref_text: the edges of all references. CITES inside the act, CITES_EXTERNAL and AMENDS between acts.
+
+    Provisions have path, or the numbers of their nearest ancestors as index() takes them. They are read once, in document order, and stored as a table of what they
+    say; that table stays in the shared folder as long as the edges are read from it. From then on a row has the number of its provision in place of seq. The index
+    holds the kinds of keys that are asked for; candidates meet it once, and what they find is shuffled once, by source. Without texts, ref_text is null.
+    """
+    spark = provisions.sparkSession
+    numbers = [c for c in provisions.columns if c in {f"in_{k}" for k in NUMBERED}]
+    rows = stored(_read(provisions.select("celex", "seq", "id", "kind", "number", *numbers, "text"), texts), f"{shared_dir(spark)}/references-{uuid.uuid4().hex}", "zstd")
     p = F.col("p")
-    whole = F.concat_ws(" ", p["qualified"], F.col("match"))
-    external = rows.filter("ref_kind = 'external'").select("celex", F.col("id").alias("source"), F.lit("CITES_EXTERNAL").alias("type"), act_id(p["type"], p["series"], p["number"], p["suffix"]).alias("target"), whole.alias("ref_text"), "seq", "at")
+    cited = _items(rows).withColumn("c", candidates(F.col("ref_kind"), p, F.col("item"), {k: F.col(f"ctx_{k}") for k in CONTEXT}))
+    asked = cited.agg(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.transform("c", lambda x: x["key_kind"]))))).alias("kinds"), F.bool_or(wide(F.col("ref_kind"), p)).alias("wide")).first()
+    known = index(provisions if "path" in provisions.columns else rows.filter("not end").select("celex", F.col("n").alias("seq"), "id", "kind", "number", *numbers))
+    tried = cited.select("celex", "id", "n", "at", F.col("place").cast("string").alias("item"), "match", F.posexplode("c").alias("rank", "c")).select("celex", "id", "n", "at", "item", "match", "rank", "c.key_kind", "c.key")
+    edge = lambda df, kind, source, target, text: df.select("celex", source.alias("source"), "n", "at", "item", "rank", F.lit(kind).alias("type"), target.alias("target"), text.alias("ref_text"))
+    match = F.col("match") if texts else F.lit(None).cast("string")
+    every = edge(tried.join(known.filter(F.col("key_kind").isin(asked["kinds"])), ["celex", "key_kind", "key"]), "CITES", F.col("id"), F.col("target"), match)
+    if asked["wide"]:
+        every = every.unionByName(edge(wide_spans(cited, known).withColumns({"item": F.concat(F.lit("wide "), "item"), "rank": F.lit(0)}), "CITES", F.col("id"), F.col("target"), match))
+    whole = cited.withColumns({"item": F.col("place").cast("string"), "rank": F.lit(0)})
+    said = F.concat_ws(" ", p["qualified"], "match") if texts else match
+    every = every.unionByName(edge(whole.filter("ref_kind = 'external'"), "CITES_EXTERNAL", F.col("id"), act_id(p["type"], p["series"], p["number"], p["suffix"]), said))
     of = lambda who: act_id(p[f"{who}_type"], p[f"{who}_series"], p[f"{who}_number"], p[f"{who}_suffix"])
-    amends = rows.filter("ref_kind = 'amended'").select("celex", of("by").alias("source"), F.lit("AMENDS").alias("type"), of("base").alias("target"), F.col("match").alias("ref_text"), "seq", "at")
-    both = inside.unionByName(external).unionByName(amends).filter("source <> target")
-    first = both.groupBy("celex", "source", "target").agg(F.min(F.struct("seq", "at", "type", "ref_text")).alias("x"))
-    return first.select("celex", "source", "x.type", "target", "x.ref_text").select(EDGE)
+    first = lambda df: df.groupBy("celex", "source", "target").agg(F.min(F.struct("n", "at", "type", "ref_text")).alias("x"))
+    # one act may amend another in very many provisions: these are summed up before they go to its place
+    amends = first(edge(whole.filter("ref_kind = 'amended'"), "AMENDS", of("by"), of("base"), match)).select("celex", "source", "x.n", "x.at", F.concat(F.lit("amends "), "target").alias("item"), F.lit(0).alias("rank"), "x.type", "target", "x.ref_text")
+    every = every.unionByName(amends).repartition("celex", "source")
+    best = every.groupBy("celex", "source", "n", "at", "item", "type").agg(F.min(F.struct("rank", "target", "ref_text")).alias("x")).select("celex", "source", "n", "at", "type", "x.target", "x.ref_text")
+    return first(best.filter("source <> target")).select("celex", "source", "x.type", "target", "x.ref_text").select(EDGE)
 
 
 GUIDANCE = T.ArrayType(T.StructType([T.StructField("number", T.StringType()), T.StructField("ref_text", T.StringType()), T.StructField("how", T.StringType())]))
